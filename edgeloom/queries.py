@@ -1,4 +1,285 @@
-"""The registered queries and the SQL that says the same."""
+"""The registered queries over graph views, and the SQL that says the same.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Three views serve: the directed user graph, the undirected part graph, and the undirected nation graph of 25 vertices.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from edgeloom.functions import stats
+from edgeloom.functions.rng import digest
+from edgeloom.graph import Graph, canonical
+from edgeloom.operators import flow, generators, linalg, metrics, neighbors, normalize, sparsify, traverse
+from edgeloom.plans import summary, sweep
+from edgeloom.sources.views import nation_graph, part_graph, part_supplier_graph, supplier_graph, user_graph
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+USER = """p as (select lag(user_id) over (order by ts, event_id) src, user_id dst from events),
+e as (select src, dst, cast(count(*) as double) w from p where src is not null and src <> dst group by src, dst),
+v as (select distinct user_id id from events)"""
+PART = """x as (select distinct l_orderkey, l_partkey from lineitem),
+e as (select a.l_partkey src, b.l_partkey dst, cast(count(*) as double) w from x a join x b on a.l_orderkey = b.l_orderkey and a.l_partkey < b.l_partkey group by 1, 2),
+v as (select p_partkey id from part)"""
+NATION = """raw as (select cast(c_nationkey as bigint) a, cast(s_nationkey as bigint) b from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey),
+e as (select least(a, b) src, greatest(a, b) dst, cast(count(*) as double) w from raw where a <> b group by 1, 2),
+v as (select cast(n_nationkey as bigint) id from nation)"""
+BOTH = "n as (select src, dst, w from e union all select dst, src, w from e), d as (select v.id, count(n.src) deg from v left join n on n.src = v.id group by v.id)"
+#: Common neighbours of the ends of each edge.
+COMMON = f"""{BOTH}, c as (select e.src, e.dst, count(*) c from e join n a on a.src = e.src join n b on b.src = e.dst and b.dst = a.dst group by 1, 2),
+s as (select e.src, e.dst, e.w, cast(coalesce(c.c, 0) as bigint) common, du.deg du, dv.deg dv from e left join c using (src, dst) join d du on du.id = e.src join d dv on dv.id = e.dst)"""
+
+
+def h(seed: int, *keys: str) -> str:
+    return f"md5(concat_ws(':', '{seed}', {', '.join(keys)}))"
+
+
+def u(x: str) -> str:
+    return f"(cast(('0x' || substr({x}, 1, 8)) as bigint) / 4294967296.0)"
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _edges(name: str, view: Callable[[SparkSession, str], Graph], make: Callable[[Graph], DataFrame], sql: str | None = None) -> None:
+    query(name, sql)(lambda spark, d: make(view(spark, d)))
+
+
+def _symmetric_user(spark: SparkSession, d: str) -> Graph:
+    g = user_graph(spark, d)
+    return Graph(g.vertices, canonical(g.edges))
+
+
+# -- conversions ----------------------------------------------------------------------------------------------------------
+
+_edges("user_graph", user_graph, lambda g: g.edges, f"with {USER} select src, dst, w from e")
+_edges("part_graph", part_graph, lambda g: g.edges, f"with {PART} select src, dst, w from e")
+_edges("supplier_graph", supplier_graph, lambda g: g.edges, f"with {PART.replace('l_partkey', 'l_suppkey')} select src, dst, w from e")
+_edges("nation_graph", nation_graph, lambda g: g.edges, f"with {NATION} select src, dst, w from e")
+_edges("part_supplier_graph", part_supplier_graph, lambda g: g.edges, "select l_partkey src, l_suppkey + (select max(p_partkey) + 1 from part) dst, cast(count(*) as double) w from lineitem group by 1, 2")
+_edges("duw_to_uduw", user_graph, lambda g: normalize.to_undirected(g.edges).select("src", "dst"), f"with {USER} select src, dst from e where src < dst")
+_edges("dw_to_udw", user_graph, lambda g: normalize.to_undirected(g.edges), f"with {USER} select src, dst, w from e where src < dst")
+_edges("uduw_to_duw", part_graph, lambda g: normalize.to_directed(g.edges).select("src", "dst"), f"with {PART}, {BOTH} select src, dst from n")
+_edges("udw_to_dw", part_graph, lambda g: normalize.to_directed(g.edges), f"with {PART}, {BOTH} select src, dst, w from n")
+_edges("symmetrize", user_graph, lambda g: normalize.symmetrize(g.edges).select("src", "dst"), f"with {USER} select src, dst from e union select dst, src from e")
+_edges("symmetrize_weighted", user_graph, lambda g: normalize.symmetrize(g.edges, True), f"with {USER} select src, dst, w from e union select dst, src, w from e")
+_edges("unweight", user_graph, lambda g: normalize.unweight(g.edges), f"with {USER} select src, dst, cast(1 as double) w from e")
+_edges("squish", user_graph, lambda g: normalize.squish(g.edges.unionByName(g.edges.withColumn("w", F.col("w") + 1))), f"with {USER} select src, dst, w from e where src <> dst")
+_edges("sort_edges", user_graph, lambda g: normalize.sort_edges(g.edges), f"with {USER} select src, dst, w from e order by src, dst")
+_edges("zero_to_one_base", user_graph, lambda g: normalize.rebase(g.edges), f"with {USER} select src + 1 src, dst + 1 dst, w from e")
+_edges("is_symmetric", user_graph, lambda g: normalize.is_symmetric(g.edges), f"with {USER} select count(*) = 0 as symmetric from e a where not exists (select 1 from e b where b.src = a.dst and b.dst = a.src)")
+_edges("asymmetric_edges", user_graph, lambda g: normalize.asymmetric(g.edges), f"with {USER} select src, dst from e a where not exists (select 1 from e b where b.src = a.dst and b.dst = a.src)")
+_RENUMBER = f"""with {USER}, f as (select src, dst, row_number() over (order by src, dst) rn from e where src % 3 = 1),
+a as (select src id, 0 part, min(rn) rn from f group by 1 union all select dst, 1, min(rn) from f group by 1),
+m as (select id old_id, min(part * 1000000000 + rn) k from a group by 1), i as (select old_id, cast(row_number() over (order by k) - 1 as bigint) new_id from m)"""
+_edges("renumber_map", user_graph, lambda g: normalize.renumber(g.edges.where("src % 3 = 1"))[1], f"{_RENUMBER} select old_id, new_id from i")
+_edges("renumber_dense", user_graph, lambda g: normalize.renumber(g.edges.where("src % 3 = 1"))[0], f"{_RENUMBER} select a.new_id src, b.new_id dst, w from e join i a on a.old_id = e.src join i b on b.old_id = e.dst where e.src % 3 = 1")
+_edges("relabel_by_degree", part_graph, lambda g: normalize.relabel_by_degree(g).edges, f"with {PART}, {BOTH}, i as (select id, cast(row_number() over (order by deg desc, id desc) - 1 as bigint) r from d) select least(a.r, b.r) src, greatest(a.r, b.r) dst, w from e join i a on a.id = src join i b on b.id = dst")
+_edges("match_reference", user_graph, lambda g: normalize.match_reference(g.edges, g.edges.where("w > 1")), f"with {USER} select src, dst, w from e where w > 1")
+_edges("degrees", user_graph, normalize.degree_table, f"""with {USER}, o as (select src id, count(*) c, sum(w) s from e group by 1), i as (select dst id, count(*) c, sum(w) s from e group by 1)
+select v.id, coalesce(o.c, 0) out_deg, coalesce(i.c, 0) in_deg, coalesce(i.s, 0) in_weight, coalesce(o.s, 0) out_weight from v left join o using (id) left join i using (id)""")
+_edges("graph_overview", part_graph, lambda g: normalize.overview(g).withColumn("avg_degree", F.round("avg_degree", 6)).withColumn("density", F.round("density", 9)), f"""with {PART}, {BOTH}
+select count(*) n, cast(count(*) filter (deg = 0) as bigint) isolated, min(deg) min_degree, max(deg) max_degree, round(avg(deg), 6) avg_degree, (select count(*) from e) m, cast(0 as bigint) loops, round((select count(*) from e) / (count(*) * (count(*) - 1) / 2.0), 9) density from d""")
+
+# -- pruning --------------------------------------------------------------------------------------------------------------
+
+RATES = [0.1, 0.3, 0.5, 0.7, 0.9]
+_V = f"p(prune_rate, ratio) as (values {', '.join(f'(cast({r} as double), cast({1 - r!r} as double))' for r in RATES)})"
+
+
+def _ranked(rank: str, algo: str, run: int = 0) -> str:
+    return f"select src, dst, w, '{algo}' algo, prune_rate, {run} run from ({rank}) r, p where rank <= floor(ratio * (select count(*) from e) + 0.5)"
+
+
+def _by_score(score: str) -> str:
+    return f"select src, dst, w, row_number() over (order by {score} desc, src, dst) rank from s"
+
+
+_RANDOM = f"with {PART}, {_V} " + _ranked(f"select *, row_number() over (order by {h(7, 'src', 'dst')}, src, dst) rank from e", "random", 7)
+_edges("random_edge", part_graph, lambda g: sparsify.random_edges(g, RATES), _RANDOM)
+_edges("jaccard_scores", part_graph, lambda g: neighbors.jaccard(g).select("src", "dst", "common", F.round("score", 9).alias("score")), f"with {PART}, {COMMON} select src, dst, common, round(common / (du + dv - common), 9) score from s")
+_edges("gspar", part_graph, lambda g: sparsify.g_spar(g, RATES), f"with {PART}, {COMMON}, {_V} " + _ranked(_by_score("common / (du + dv - common)"), "gspar"))
+_edges("scan", part_graph, lambda g: sparsify.scan(g, RATES), f"with {PART}, {COMMON}, {_V} " + _ranked(_by_score("(common + 2) / sqrt(cast((du + 1) * (dv + 1) as double))"), "scan"))
+_LOCAL = "l as (select least(src, dst) src, greatest(src, dst) dst, max(w) w, max(case when deg = 1 then 1 else round(1 - ln(rk) / ln(deg), 9) end) sc from k group by 1, 2)"
+_edges("local_degree", part_graph, lambda g: sparsify.local_degree(g, RATES), f"""with {PART}, {BOTH}, {_V}, k as (select n.src, n.dst, n.w, a.deg, row_number() over (partition by n.src order by b.deg desc, n.dst) rk from n join d a on a.id = n.src join d b on b.id = n.dst), {_LOCAL} """ + _ranked("select src, dst, w, row_number() over (order by sc desc, src, dst) rank from l", "local_degree"))
+_SIMILAR = "j as (select src, dst, w, common / (du + dv - common) j, du deg from s union all select dst, src, w, common / (du + dv - common), dv from s), k as (select *, row_number() over (partition by src order by j desc, dst) rk from j)"
+_edges("local_similarity", part_graph, lambda g: sparsify.local_similarity(g, RATES), f"with {PART}, {COMMON}, {_V}, {_SIMILAR}, {_LOCAL} " + _ranked("select src, dst, w, row_number() over (order by sc desc, src, dst) rank from l", "local_similarity"))
+_UNION = "select least(src, dst) src, greatest(src, dst) dst, max(w) w from k where {} group by 1, 2"
+_edges("lspar", part_graph, lambda g: sparsify.l_spar(g, 0.5), f"with {PART}, {COMMON}, {_SIMILAR} " + _UNION.format("rk <= floor(power(deg, 0.5) + 1e-9)"))
+_edges("k_neighbor", part_graph, lambda g: sparsify.k_neighbor(g, 8), f"with {PART}, {BOTH}, k as (select *, row_number() over (partition by src order by {h(7, 'src', 'dst')}, dst) rk from n) " + _UNION.format("rk <= 8"))
+for _side, _key in (("out", "src"), ("in", "dst")):
+    _edges(f"{_side}_degree_cap", user_graph, lambda g, s=_side: sparsify.degree_cap(g, 20, s), f"with {USER}, k as (select *, row_number() over (partition by {_key} order by {h(6, 'src', 'dst')}, src, dst) rk from e) select src, dst, w from k where rk <= 20")
+_edges("sym_degree_cap", part_graph, lambda g: sparsify.symmetric_degree_cap(g, 60), f"""with {PART}, a as (select src v, src, dst, w, {h(6, 'src', 'dst')} h from e union all select dst, src, dst, w, {h(6, 'src', 'dst')} from e),
+k as (select *, row_number() over (partition by v order by h, src, dst) rk from a) select src, dst, max(w) w from k where rk <= 60 group by 1, 2 having count(*) = 2""")
+_edges("bernoulli_edge", user_graph, lambda g: sparsify.bernoulli(g.edges, 0.4), f"with {USER} select src, dst, w from e where {u(h(1, 'src', 'dst'))} < 0.6")
+_edges("bernoulli_symmetric", user_graph, lambda g: normalize.symmetrize(sparsify.bernoulli(g.edges, 0.4)).select("src", "dst"), f"with {USER}, k as (select src, dst from e where {u(h(1, 'src', 'dst'))} < 0.6) select src, dst from k union select dst, src from k")
+_edges("cut_sparsify", part_graph, lambda g: sparsify.cut_sparsify(g, 2000), f"with {PART} select src, dst, w from e where {u(h(7, 'src', 'dst'))} < least(1, 16 * 3 * ln(2000) / 100 / 10)")
+_edges("pruned_edges", user_graph, lambda g: normalize.removed(g.edges, sparsify.bernoulli(g.edges, 0.4)), f"with {USER} select src, dst, w from e where not {u(h(1, 'src', 'dst'))} < 0.6")
+_edges("over_degree", user_graph, lambda g: sparsify.over_degree(g.edges, 50), f"with {USER} select count(*) n from (select dst from e group by dst having count(*) > 50)")
+_edges("spanning_forest", _symmetric_user, traverse.spanning_forest)
+_edges("rank_degree", _symmetric_user, lambda g: traverse.rank_degree(g, 0.3))
+_edges("forest_fire", _symmetric_user, lambda g: traverse.forest_fire(g, 0.3))
+_edges("spanner", nation_graph, lambda g: flow.greedy_spanner(g, 3))
+
+# -- effective resistance ---------------------------------------------------------------------------------------------------
+
+_edges("laplacian", part_graph, linalg.laplacian, f"with {PART}, {BOTH} select src i, src j, sum(w) v from n group by 1 union all select src, dst, -w from n")
+_edges("incidence", part_graph, lambda g: linalg.incidence(g).withColumn("v", F.round("v", 9)), f"with {PART} select src, dst, src node, round(sqrt(w), 9) v from e union all select src, dst, dst, round(-sqrt(w), 9) from e")
+_edges("er_exact_small", nation_graph, lambda g: linalg.resistance_exact(g).withColumn("r", F.round("r", 9)))
+_edges("er_probability", nation_graph, lambda g: linalg.probabilities(linalg.resistance_exact(g)).withColumn("p", F.round("p", 9)).withColumn("r", F.round("r", 9)))
+_edges("er_approximate", nation_graph, lambda g: linalg.resistance(g, k=16).withColumn("r", F.round("r", 6)))
+_edges("er_sample", nation_graph, lambda g: linalg.er_sample(linalg.probabilities(linalg.resistance_exact(g)), linalg.draws(25, 0.5)))
+_edges("er_sample_min1", nation_graph, lambda g: linalg.er_sample_min1(linalg.resistance_exact(g), 25, 1.0))
+_SIGN = "case when substr(md5(concat_ws(':', '7', vector, {})), 1, 1) < '8' then -1 else 1 end"
+_QF = f"select vector, sum(w * power({_SIGN.format('src')} - {_SIGN.format('dst')}, 2)) q from e, (select unnest(range(10)) vector) group by 1"
+_edges("quadratic_form", part_graph, lambda g: linalg.random_forms(g.edges, 10), f"with {PART} select cast(vector as integer) vector, q from ({_QF})")
+
+# -- properties -------------------------------------------------------------------------------------------------------------
+
+_edges("global_clustering", part_graph, lambda g: traverse.global_clustering(g).withColumn("transitivity", F.round("transitivity", 9)), f"""with {PART}, {COMMON}, t as (select cast(sum(common) / 3 as bigint) t from s), w as (select cast(sum(deg * (deg - 1) // 2) as bigint) w from d)
+select t triangles, w triples, round(3 * t / w, 9) transitivity from t, w""")
+_edges("local_clustering", part_graph, lambda g: traverse.local_clustering(g).withColumn("score", F.round("score", 9)), f"""with {PART}, {COMMON}, t as (select id, sum(common) / 2 t from (select src id, common from s union all select dst, common from s) group by 1)
+select d.id, round(case when deg > 1 then 2 * coalesce(t, 0) / (deg * (deg - 1)) else 0 end, 9) score from d left join t using (id)""")
+_edges("directed_clustering", user_graph, lambda g: traverse.directed_clustering(g).withColumn("score", F.round("score", 9)), f"""with {USER}, d as (select src id, count(*) deg from e group by 1), t as (select x.src id, count(*) t from e x join e z on x.dst = z.src join e y on y.src = x.src and y.dst = z.dst group by 1)
+select v.id, round(case when deg > 1 then coalesce(t, 0) / (deg * (deg - 1)) else 0 end, 9) score from v left join d using (id) left join t using (id)""")
+_edges("degree_centrality", part_graph, metrics.degree_centrality, f"with {PART}, {BOTH} select id, cast(deg as double) score from d")
+_edges("laplacian_centrality", part_graph, linalg.laplacian_centrality, f"with {PART}, {BOTH}, m as (select n.src id, sum(d.deg) s from n join d on d.id = n.dst group by 1) select d.id, cast(deg * deg + deg + 2 * coalesce(s, 0) as double) score from d left join m using (id)")
+
+
+def _iterate(prelude: str, start: str, step: str, rounds: int, last: str) -> str:
+    return f"with {prelude}, x0 as materialized ({start}), " + ", ".join(f"x{i + 1} as materialized ({step.replace('XX', f'x{i}')})" for i in range(rounds)) + " " + last.replace("XX", f"x{rounds}")
+
+
+_PR = "o as materialized (select src, sum(w) s from e group by 1), t as materialized (select e.src, e.dst, w / s p from e join o using (src))"
+_edges("pagerank", user_graph, lambda g: linalg.pagerank(g, 10).withColumn("score", F.round("score", 9)), _iterate(f"{USER}, {_PR}", "select id, 1.0 / (select count(*) from v) score from v", "select v.id, 0.85 * coalesce(y.g, 0) + 0.15 / (select count(*) from v) * (select sum(score) from XX) score from v left join (select dst, sum(p * score) g from t join XX on id = src group by 1) y on y.dst = v.id", 10, "select id, round(score, 9) score from XX"))
+
+
+def _power_sql(alpha: float, beta: float, rounds: int) -> str:
+    step = f"select id, z / sqrt(sum(z * z) over ()) score from (select v.id, {alpha} * coalesce(y.g, 0) + {beta} z from v left join (select dst, sum(w * score) g from e join XX on id = src group by 1) y on y.dst = v.id)"
+    return _iterate(USER, "select id, 1.0 / sqrt((select count(*) from v)) score from v", step, rounds, "select id, round(score, 9) score from XX")
+
+
+_edges("katz", user_graph, lambda g: linalg.katz(g, 6).withColumn("score", F.round("score", 9)), _power_sql(0.5, 1.0, 6))
+_edges("eigenvector", user_graph, lambda g: linalg.eigenvector(g, 6).withColumn("score", F.round("score", 9)), _power_sql(1.0, 0.0, 6))
+_edges("hits", user_graph, lambda g: linalg.hits(g, 4).withColumn("score", F.round("score", 6)).withColumn("hub", F.round("hub", 6)))
+_edges("connected_components", part_graph, traverse.connected_components)
+_edges("kcore", nation_graph, traverse.core_numbers)
+_SRC = "(select id from v order by md5(concat_ws(':', '7', id)), id limit 5)"
+_BFS = _iterate(f"{PART}, {BOTH}, q as ({_SRC})", "select id source, id, 0 dist from q", "select source, id, min(dist) dist from (select source, id, dist from XX union all select x.source, n.dst, x.dist + 1 from XX x join n on n.src = x.id) group by 1, 2", 4, "select source, id, cast(dist as double) dist from XX")
+
+
+def _five(g: Graph) -> DataFrame:
+    return traverse.sample_vertices(g, 5).select(F.col("id").alias("source"))
+
+
+_edges("bfs_distances", part_graph, lambda g: traverse.distances(g, _five(g), depth=4), _BFS)
+_edges("eccentricity", part_graph, lambda g: traverse.eccentricity(traverse.distances(g, _five(g))))
+_edges("effective_diameter", part_graph, lambda g: traverse.effective_diameter(g, _five(g)))
+_edges("pseudo_diameter", part_graph, lambda g: traverse.pseudo_diameter(g, _five(g)))
+_edges("closeness_topk", _symmetric_user, lambda g: stats.top_n(traverse.closeness(g, g.vertices.select(F.col("id").alias("source"))).withColumn("score", F.round("score", 9)), 100))
+_edges("betweenness_pivot", _symmetric_user, lambda g: traverse.betweenness(g, _five(g)).withColumn("score", F.round("score", 6)))
+_edges("k_path", user_graph, traverse.k_path)
+_edges("label_communities", part_graph, lambda g: metrics.label_propagation(g, 2))
+_edges("modularity", user_graph, lambda g: metrics.modularity(g.with_edges(canonical(g.edges)), g.vertices.select("id", F.pmod("id", F.lit(7)).alias("comm"))).withColumn("modularity", F.round("modularity", 9)), f"""with {USER}, k as (select distinct least(src, dst) src, greatest(src, dst) dst from e), m as (select count(*) m from k),
+s as (select c, sum(i) l, count(*) d from (select src % 7 c, case when src % 7 = dst % 7 then 1 else 0 end i from k union all select dst % 7, 0 from k) group by 1)
+select count(*) communities, round(sum(l / m - power(d / (2.0 * m), 2)), 9) modularity from s, m""")
+_F1 = "with {v}, a as (select id % 7 c, id from v), b as (select id % 5 c, id from v), x as (select a.c ca, b.c cb, count(*) x from a join b using (id) group by 1, 2), na as (select c, count(*) n from a group by 1), nb as (select c, count(*) n from b group by 1) select round(avg(f), 9) f1 from (select ca, max(2 * x / (na.n + nb.n)) f from x join na on na.c = ca join nb on nb.c = cb group by 1)"
+_edges("cover_f1", user_graph, lambda g: metrics.cover_f1(*(g.vertices.select(F.pmod("id", F.lit(k)).alias("comm"), F.col("id").alias("node")) for k in (7, 5))).withColumn("f1", F.round("f1", 9)), _F1.format(v=USER))
+_edges("overlapping_communities", user_graph, lambda g: metrics.local_communities(Graph(g.vertices, canonical(g.edges)), traverse.sample_vertices(g, 8)))
+_edges("max_flow", nation_graph, lambda g: flow.max_flow(g, metrics.sample_pairs(g, 10, 10).select(F.col("source").alias("s"), F.col("id").alias("t"))))
+
+
+@query("global_min_cut")
+def _min_cut(spark: SparkSession, d: str) -> DataFrame:
+    return flow.global_min_cut(sparsify.random_edges(nation_graph(spark, d), RATES), ["algo", "prune_rate", "run"])
+
+
+@query("spsp_stretch")
+def _stretch(spark: SparkSession, d: str) -> DataFrame:
+    g = _symmetric_user(spark, d)
+    s = _five(g)
+    pruned = g.with_edges(sparsify.bernoulli(g.edges, 0.8))
+    pairs = s.join(F.broadcast(traverse.sample_vertices(g, 50, 8)), F.col("source") != F.col("id"))  # 250 rows at most
+    r = metrics.spsp_stretch(traverse.distances(g, s), traverse.distances(pruned, s), pairs)
+    return r.agg(*stats.ratio_stats(F.col("ratio")))
+
+
+_HIST = f"""k as (select algo, prune_rate, run, id, count(*) deg from (select algo, prune_rate, run, src id from a union all select algo, prune_rate, run, dst from a) group by all),
+g as (select q.*, v.id, coalesce(k.deg, 0) deg from (select distinct algo, prune_rate, run from a) q cross join v left join k using (algo, prune_rate, run, id)),
+l as (select *, min(deg) over w lo, max(deg) over w hi, count(*) over w n from g window w as (partition by algo, prune_rate, run)),
+b as (select algo, prune_rate, run, case when hi = lo then 50 else least(floor((deg - lo) * 100 / (hi - lo)), 99) end bin, count(*) / max(n) p from l group by all)"""
+_DIST = f"with {PART}, {_V}, r as ({_RANDOM.split(_V)[1].strip()}), a as (select algo, prune_rate, run, src, dst from r union all select 'original', 0.0, 0, src, dst from e), {_HIST}, s as (select b.algo, b.prune_rate, b.run, sum(sqrt(b.p * coalesce(o.p, 0))) s from b left join b o on o.bin = b.bin and o.algo = 'original' group by all)"
+_edges("degree_distribution_distance", part_graph, lambda g: metrics.degree_distance(sparsify.random_edges(g, RATES), g).withColumn("distance", F.round("distance", 9) + 0.0), f"{_DIST} select algo, cast(prune_rate as double) prune_rate, run, round(case when s <= 0 then 'Infinity'::double else -ln(s) end, 9) + 0.0 distance from s")
+
+
+def _agreement(g: Graph) -> DataFrame:
+    other = g.with_edges(sparsify.bernoulli(g.edges, 0.5))
+    a = stats.top_n_agreement(metrics.degree_centrality(g), metrics.degree_centrality(other))
+    return a.select("precision", F.round("correlation", 9).alias("correlation"))
+
+
+_edges("topn_agreement", part_graph, _agreement, f"""with {PART}, k as (select src, dst from e where {u(h(1, 'src', 'dst'))} < 0.5),
+a as (select v.id, count(x.id) deg from v left join (select src id from e union all select dst from e) x using (id) group by 1), b as (select v.id, count(x.id) deg from v left join (select src id from k union all select dst from k) x using (id) group by 1),
+ta as (select id, row_number() over (order by deg desc, id) r from a qualify r <= 100), tb as (select id, row_number() over (order by deg desc, id) r from b qualify r <= 100),
+z as (select row_number() over (order by ta.r) x, row_number() over (order by tb.r) y from ta join tb using (id)) select count(*) / 100 as precision, round(corr(x, y), 9) correlation from z""")
+_edges("cosine", part_graph, lambda g: normalize.degree_table(g).agg(F.round(stats.cosine(F.col("out_weight"), F.col("in_weight")), 9).alias("cosine")), f"with {PART}, o as (select v.id, coalesce(sum(w), 0) s from v left join e on src = id group by 1), i as (select v.id, coalesce(sum(w), 0) s from v left join e on dst = id group by 1) select round(sum(o.s * i.s) / sqrt(sum(o.s * o.s) * sum(i.s * i.s)), 9) cosine from o join i using (id)")
+
+# -- summaries --------------------------------------------------------------------------------------------------------------
+
+
+@query("variant_sizes", f"with {PART}, {_V}, r as ({_RANDOM.split(_V)[1].strip()}), c as (select algo, cast(prune_rate as double) asked, run, count(*) edges from r group by all union all select 'original', 0, 0, count(*) from e) select algo, asked, run, edges, round_even(1 - edges / (select max(edges) from c where algo = 'original'), 2) prune_rate from c")
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    g = part_graph(spark, d)
+    return sweep.variant_sizes(sparsify.random_edges(g, RATES), g)
+
+
+def _summary(spark: SparkSession, d: str) -> DataFrame:
+    g = user_graph(spark, d)
+    v = sweep.sweep(g, ["random"], runs=3)
+    t = metrics.degree_distance(v, g).where("algo <> 'original'")
+    s = summary.summarize(t, "Bhattacharyya_distance", "distance")
+    return s.select("prune_algo", "prune_rate", "Bhattacharyya_distance_count", *(F.round(f"Bhattacharyya_distance_{c}", 6).alias(f"Bhattacharyya_distance_{c}") for c in ("mean", "std")))
+
+
+query("variant_summary")(_summary)
+
+
+@query("figure_frame")
+def _figure(spark: SparkSession, d: str) -> DataFrame:
+    return summary.figure_frame(_summary(spark, d), ["original"], names={"random": "Random"})
+
+
+@query("rank_sweep")
+def _rank_sweep(spark: SparkSession, d: str) -> DataFrame:
+    g = part_graph(spark, d)
+    return sweep.variant_sizes(sweep.sweep(g, ["random", "gspar", "local_degree"], RATES), g)
+
+
+# -- generators -------------------------------------------------------------------------------------------------------------
+
+_W = "cast(1 as double) w"
+query("gen_ring", f"select i src, (i + 1) % 100 dst, {_W} from range(100) t(i) union all select (i + 1) % 100, i, {_W} from range(100) t(i)")(lambda spark, d: generators.ring(spark, 100))
+query("gen_complete", f"select a.i src, b.i dst, {_W} from range(60) a(i) join range(60) b(i) on a.i < b.i")(lambda spark, d: generators.complete(spark, 60))
+query("gen_dumbbell", f"select a.i src, b.i dst, {_W} from range(40) a(i) join range(40) b(i) on a.i < b.i and a.i // 20 = b.i // 20 union all select 19, 20, 1")(lambda spark, d: generators.dumbbell(spark, 40))
+query("gen_communities")(lambda spark, d: generators.communities(spark, [10, 20, 15], 5))
+query("gen_uniform", f"select cast(floor({u(h('7a', 'i'))} * 256) as bigint) src, cast(floor({u(h('7b', 'i'))} * 256) as bigint) dst, {_W} from range(2048) t(i)")(lambda spark, d: generators.uniform_graph(spark, 8, 8))
+query("gen_rmat")(lambda spark, d: generators.rmat(spark, 8, 8))
+query("gen_random_walk")(lambda spark, d: generators.random_walk(spark, 64, 500))
+query("gen_uniform_numbers", f"select i id, {u(h(7, 'i'))} x from range(1000) t(i)")(lambda spark, d: generators.random_numbers(spark, 1000))
+query("gen_normal_numbers")(lambda spark, d: generators.random_numbers(spark, 1000, "normal").withColumn("x", F.round("x", 9)))
+query("top_pairs", f"with {PART} select src, dst, w from e order by w desc, src, dst limit 20")(lambda spark, d: part_graph(spark, d).edges.orderBy(F.desc("w"), "src", "dst").limit(20))
+query("pick_source", f"with {USER} select src id from e group by 1 order by md5(concat_ws(':', '3', src)), 1 limit 1")(lambda spark, d: user_graph(spark, d).edges.select(F.col("src").alias("id")).distinct().orderBy(digest(3, "id"), "id").limit(1))
+query("empty_graph", f"with {USER} select id src, id dst, {_W} from v")(lambda spark, d: user_graph(spark, d).vertices.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w")))
