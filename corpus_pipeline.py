@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm import langid, packing, quality, simhash
+from edgeloom.llm import langid, neardup, packing, quality
 from edgeloom.llm.common import materialize
 
 #: A document's language counts as known from this share of the soft maximum on.
@@ -36,8 +36,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest id."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near duplicates, by five-word shingles at a similarity of 0.8: that of the smallest id."""
+    return neardup.one_of_each(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,7 +44,8 @@ def fingerprint_of(hashes: np.ndarray) -> int:
     count = np.zeros(64, np.int64)
     for lo in range(0, len(hashes), ROWS):
         bits = np.unpackbits(hashes[lo : lo + ROWS].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        count += bits.sum(0, dtype=np.int64)
+        for at in range(0, len(bits), 255):  # as many as a byte can count
+            count += bits[at : at + 255].sum(0, dtype=np.uint8)
     return int(np.packbits(2 * count > len(hashes), bitorder="little").view("<u8")[0])
 
 
@@ -179,20 +180,3 @@ def op9_byte_position_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = materialize(fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet")), "prints")
     return groups(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
-
-def one_of_each(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
-    """docs without near duplicates: of each component of groups() one row stays, that of the smallest (doc_id, text hash).
-
-    All columns stay as they are; they may have any names. Of rows equal in id and text one stays. Rows without words are one
-    component.
-    """
-    key = F.struct(F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull()).alias("h")).alias("key")
-    prints = materialize(fingerprints(docs.select(key, "text"), "key", "text", words), "prints")
-    kept = groups(prints, "key", bits).where(F.col("key").eqNullSafe(F.col("component"))).select("key").distinct()
-    kept = kept.select(F.col("key.doc_id").alias("_id"), F.col("key.h").alias("_h"))
-    rows = docs.select(F.struct("*").alias("row"), key)
-    same = F.col("key.doc_id").eqNullSafe(F.col("_id")) & (F.col("key.h") == F.col("_h"))
-    rows = rows.join(kept, same, "left_semi")
-    if prints.groupBy("key").count().where("count > 1").limit(1).count():
-        rows = rows.dropDuplicates(["key"])
-    return rows.select("row.*")
