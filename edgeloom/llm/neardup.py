@@ -134,6 +134,29 @@ def _in_lists(key: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np
     return low[far], far
 
 
+def _contract(edges: DataFrame) -> DataFrame:
+    """Fewer edges with the same components: a node met in many lists has an edge to its first partner alone, which gets edges to
+    the others. In a group of copies these are the same few for all members, and repeated ones go before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = parent = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (c.to_numpy() for c in batch.columns)
+            new = np.r_[b[0] != last, b[1:] != b[:-1]]
+            at = np.cumsum(new) - 1  # -1: goes on from the batch before
+            first = a[new][np.maximum(at, 0)] if new.any() else np.full(len(a), parent)
+            if at[0] < 0:
+                first = np.where(at < 0, parent, first)
+            other = a != first
+            pairs = np.unique(np.r_[np.c_[first[new], b[new]], np.c_[first[other], a[other]]], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in pairs.T], ["a", "b"])
+            last, parent = b[-1], first[-1]
+
+    return edges.repartition("b").sortWithinPartitions("b", "a").mapInArrow(run, "a long, b long")
+
+
 def links(nodes: DataFrame, similarity: float, long: int = LONG) -> DataFrame:
     """(a, b): edges between nodes whose components are those of all pairs that meet and verify.
 
@@ -168,10 +191,10 @@ def links(nodes: DataFrame, similarity: float, long: int = LONG) -> DataFrame:
         edges = met.where(near & (F.col("x.node") != F.col("first.node"))).select(F.col("first.node").alias("a"), F.col("x.node").alias("b"))
         guests = met.where(~near).select("key", F.col("x").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / long) - 1)).alias("part"))
         pairs = guests.join(met.select("key", "part", "x"), ["key", "part"]).where((_differ("x", "y") <= most) & (F.col("x.node") != F.col("y.node")))
-        edges = edges.union(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")))
+        edges = edges.union(pairs.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")))
     dealt = light.select("key", "x.*").repartition("key").sortWithinPartitions("key", "node")
     short = dealt.mapInArrow(run, "a long, b long")
-    return short if edges is None else short.union(edges)
+    return _contract(short if edges is None else short.union(edges))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
