@@ -1,17 +1,16 @@
-"""Near duplicates at a stated similarity: long SimHashes, an inverted index of byte positions, and verification by bits.
-
-Two texts whose sets of shingles have Jaccard similarity J (and like sizes) have cosine 2J / (1 + J), so each bit of their
-SimHashes differs with probability t = arccos(cosine) / pi. At 0.8 that is 15 per cent: of 64 bits about ten, in every byte one or
-more, so that no count of shared bytes is guaranteed. A print here therefore has 32 bytes. It is posted under fixed sets of k byte
-positions; k grows with the logarithm of the number of distinct prints, so lists stay short, and the number of sets is such that
-a pair at the stated similarity meets in one of them with probability RECALL at least. Pairs that meet share the minimum of k bytes
-and are verified by their differing bits: the bound is the mean at that similarity and 2.05 standard deviations, so of the pairs
-just at the similarity 98 per cent are linked, of those at 0.9 nearly all, of those below 0.6 hardly any.
-
-Exact copies are one print. A list of up to LONG prints gives a star for each linked set instead of all pairs. A longer list is
-never held by one task: each member is compared with the list's first print; only those not linked to it, few in a group of
-copies, are compared with all members, in parts of the list that are dealt out. That finds every link that has an end outside the
-first print's star, hence the same components as all pairs.
+"""Near duplicates at a stated similarity: MinHash bands find candidates, the exact Jaccard similarity of shingle sets confirms.
+
+Texts with the same set of shingles are one node. A node has `many` bands; a band's key comes from the least values of BAND
+hash functions over the node's shingles, of its own for each band. Two sets of Jaccard similarity J have the same key in a band with
+probability J^BAND, independently from band to band, so they meet with 1 - (1 - J^BAND)^many: at the stated similarity RECALL
+at least, whatever the number of texts. Sets without common shingles do not meet, so lists are as long as groups of similar texts.
+
+Every edge is a pair whose similarity was computed. All members of a list are first compared with one of them, another one in
+each band. Members that this connects need no more; the others, few in a group of copies, are compared with all members of
+their lists that they are not yet connected to. That gives the components of all pairs that meet and reach the similarity.
+
+The index of long SimHashes by byte positions (prints, links) links by bits alone. The stage does not use it: its sets of positions
+share the same bytes, so a pair with few equal bytes misses all of them, more often the larger k is, and bits are an estimate.
 """
 
 from __future__ import annotations
@@ -23,14 +22,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from edgeloom.llm.common import materialize
 from edgeloom.llm.components import components
 from edgeloom.llm.simhash import ROWS, _low, _with_end, shingle_hashes
 
 W = ["w0", "w1", "w2", "w3"]
-BYTES, RECALL, LONG, SHORT = 8 * len(W), 0.99, 4096, 24
+BYTES, RECALL, LONG, SHORT = 8 * len(W), 0.999, 4096, 24
+BAND = 5
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -70,9 +70,10 @@ def bound(similarity: float) -> tuple[float, int]:
 
 
 def position_sets(similarity: float, n: int) -> list[list[int]]:
-    """Sets of k byte positions: k such that n prints fill lists of about 64 by chance."""
+    """Sets of k byte positions: k such that n prints fill lists of about 64 by chance. Their number takes them as independent, which
+    they are not: 0.99 is not reached."""
     k = max(2, math.ceil((math.log2(max(n, 1)) - 6) / 8))
-    many = max(1, math.ceil(math.log(1 - RECALL) / math.log1p(-((1 - bound(similarity)[0]) ** (8 * k)))))
+    many = max(1, math.ceil(math.log(1 - 0.99) / math.log1p(-((1 - bound(similarity)[0]) ** (8 * k)))))
     g, out = np.random.default_rng(0), []
     while len(out) < many:
         p = g.permutation(BYTES)
@@ -197,21 +198,115 @@ def links(nodes: DataFrame, similarity: float, long: int = LONG) -> DataFrame:
     return _contract(short if edges is None else short.union(edges))
 
 
+def bands(similarity: float) -> int:
+    """How many bands a pair at the similarity needs to meet with probability RECALL."""
+    return max(1, math.ceil(math.log(1 - RECALL) / math.log1p(-(similarity**BAND)))) if similarity < 1 else 1
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text or "", words))
+
+
+def band_keys(s: np.ndarray, many: int) -> np.ndarray:
+    """The key of each band of a set of shingles; an empty set has none."""
+    if not len(s):
+        return np.zeros(0, np.uint64)
+    factors = np.random.default_rng(0).integers(0, 1 << 64, BAND * many, np.uint64) | np.uint64(1)
+    low = np.full(len(factors), np.iinfo(np.uint64).max)
+    for lo in range(0, len(s), 512):
+        x = s[lo : lo + 512, None] * factors
+        x ^= x >> np.uint64(32)
+        x *= _MIX[0]
+        np.minimum(low, x.min(0), out=low)
+    key = np.arange(many, dtype=np.uint64)
+    for v in low.reshape(BAND, many):
+        key = (key ^ v) * _MIX[1]
+        key ^= key >> np.uint64(29)
+    return key
+
+
+def sketches(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(key, s0 long, s1 long, bands array<long>) of docs (key, text): a digest of the shingle set, and its bands' keys."""
+    many = bands(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                sets = [shingle_set(t, words) for t in part.column(1).to_pylist()]
+                own = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
+                keys = [band_keys(s, many).view(np.int64) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(c)) for c in own.T), pa.array(keys, pa.list_(pa.int64()))], ["key", "s0", "s1", "bands"])
+
+    schema = StructType([docs.schema["key"], StructField("s0", LongType()), StructField("s1", LongType()), StructField("bands", ArrayType(LongType()))])
+    return docs.select("key", F.col("text").cast("string")).mapInArrow(run, schema)
+
+
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(node, set array<long>) of docs (node long, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                sets = [shingle_set(t, words).view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
+
+    return docs.select("node", F.col("text").cast("string")).mapInArrow(run, "node long, set array<long>")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have this Jaccard similarity at least."""
+    x, y = (sets.select(F.col("node").alias(n), F.col("set").alias(f"set_{n}")) for n in "ab")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    every = F.size("set_a") + F.size("set_b") - both
+    return pairs.join(x, "a").join(y, "b").where(both >= F.lit(similarity) * every - F.lit(1e-9)).select("a", "b")
+
+
+def similar(posted: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(id, label): the components of all pairs that stand in a list together and have the similarity.
+
+    posted: (key, node), a written table of the lists of two nodes and more; sets: (node, set) of their nodes, written.
+    """
+
+    def pair(x: Column, y: Column) -> list[Column]:
+        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+    centre = posted.groupBy("key").agg(F.min_by("node", F.xxhash64("key", "node")).alias("centre"))
+    stars = posted.join(centre, "key").where("node <> centre").select(*pair(F.col("node"), F.col("centre"))).distinct()
+    edges = materialize(confirmed(stars, sets, similarity), "stars")
+    label = components(edges).select(F.col("id").alias("node"), "label")
+    member = materialize(posted.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "members")
+    main = member.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("label", "n").alias("main"), F.count(F.lit(1)).alias("labels"))
+    left = member.join(main.where("labels > 1"), "key")
+    guests = left.where("label <> main").select("key", F.col("node").alias("guest"), F.col("label").alias("own"))
+    rest = guests.join(left, "key").where("label <> own and (label = main or guest < node)").select(*pair(F.col("guest"), F.col("node"))).distinct()
+    rest = rest.join(stars, ["a", "b"], "left_anti")  # these have been compared
+    return components(edges.union(materialize(confirmed(rest, sets, similarity), "rest")))
+
+
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without near duplicates: of each component of linked texts one row stays, that of the smallest (doc_id, text hash).
+    """docs without near duplicates: of each component of texts linked by exact similarity one row stays, that of the smallest
+    (doc_id, text hash).
 
     All columns stay as they are; they may have any names. Of rows equal in id and text one stays. Null, empty and wordless texts
-    have the same print and are one component; a text of fewer words than a shingle is one shingle. Empty in, empty out.
+    have the same empty set and are one component; a text of fewer words than a shingle is one shingle. Empty in, empty out.
     """
     key = F.struct(F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull()).alias("h")).alias("key")
-    every = materialize(prints(docs.select(key, "text"), "key", "text", words), "prints")
-    nodes = every.groupBy(*W).agg(F.min("key").alias("first")).select(F.monotonically_increasing_id().alias("node"), *W, "first")
-    nodes = materialize(nodes, "nodes")  # written, so a node's number stays
-    low = components(links(nodes.select("node", *W), similarity))
+    every = materialize(sketches(docs.select(key, "text"), words, similarity), "sketches")
+    nodes = every.groupBy("s0", "s1").agg(F.min("key").alias("first"), F.first("bands").alias("bands"))
+    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "first", "bands"), "nodes")  # written, so a node's number stays
+    posted = nodes.select("node", F.explode("bands").alias("key"))
+    posted = materialize(posted.join(posted.groupBy("key").count().where("count > 1").select("key"), "key"), "posted")
+    met = nodes.join(posted.select("node").distinct(), "node", "left_semi").select("node", F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h"))
+    same = F.col("key.doc_id").eqNullSafe(F.col("_id")) & (F.col("key.h") == F.col("_h"))
+    texts = docs.select(key, "text").join(met, same).select("node", "text")  # repeated rows give a pair twice, which does no harm
+    low = similar(posted, materialize(shingle_sets(texts, words), "sets"), similarity)
     rooted = nodes.join(low, nodes["node"] == low["id"], "left").select("first", F.coalesce("label", "node").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("key")).select(F.col("key.doc_id").alias("_id"), F.col("key.h").alias("_h"))
     rows = docs.select(F.struct("*").alias("row"), key)
-    same = F.col("key.doc_id").eqNullSafe(F.col("_id")) & (F.col("key.h") == F.col("_h"))
     rows = rows.join(kept, same, "left_semi")
     if every.groupBy("key").count().where("count > 1").limit(1).count():
         rows = rows.dropDuplicates(["key"])
