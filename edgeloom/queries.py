@@ -85,8 +85,8 @@ _edges("asymmetric_edges", user_graph, lambda g: normalize.asymmetric(g.edges),
 _RENUMBER = f"""with {USER}, f as (select src, dst, row_number() over (order by src, dst) rn from e where src % 3 = 1),
 a as (select src id, 0 part, min(rn) rn from f group by 1 union all select dst, 1, min(rn) from f group by 1),
 m as (select id old_id, min(part * 1000000000 + rn) k from a group by 1), i as (select old_id, cast(row_number() over (order by k) - 1 as bigint) new_id from m)"""
-_edges("renumber_map", user_graph, lambda g: normalize.renumber(g.edges.where("src % 3 = 1"))[1], f"{_RENUMBER} select old_id, new_id from i")
-_edges("renumber_dense", user_graph, lambda g: normalize.renumber(g.edges.where("src % 3 = 1"))[0], f"{_RENUMBER} select a.new_id src, b.new_id dst, w from e join i a on a.old_id = e.src join i b on b.old_id = e.dst where e.src % 3 = 1")
+_edges("renumber_map", user_graph, lambda g: normalize.renumber(g.edges)[1], f"{_RENUMBER} select old_id, new_id from i")
+_edges("renumber_dense", user_graph, lambda g: normalize.renumber(g.edges)[0], f"{_RENUMBER} select a.new_id src, b.new_id dst, w from e join i a on a.old_id = e.src join i b on b.old_id = e.dst where e.src % 3 = 1")
 _edges("relabel_by_degree", part_graph, lambda g: normalize.relabel_by_degree(g).edges, f"with {PART}, {BOTH}, i as (select id, cast(row_number() over (order by deg desc, id desc) - 1 as bigint) r from d) select least(a.r, b.r) src, greatest(a.r, b.r) dst, w from e join i a on a.id = src join i b on b.id = dst")
 _edges("match_reference", user_graph, lambda g: normalize.match_reference(g.edges, g.edges.where("w > 1")), f"with {USER} select src, dst, w from e where w > 1")
 _edges("degrees", user_graph, normalize.degree_table, f"""with {USER}, o as (select src id, count(*) c, sum(w) s from e group by 1), i as (select dst id, count(*) c, sum(w) s from e group by 1)
