@@ -122,7 +122,7 @@ def bernoulli(edges: DataFrame, rate: float, seed: int = 1) -> DataFrame:
 
 def cut_sparsify(g: Graph, n: int, eps: float = 10.0, d: int = 1, k: float = 10.0, seed: int = 7) -> DataFrame:
     """Each edge stays with chance min(1, 16 (d + 2) ln n / eps^2 / k)."""
-    return g.edges.where(uniform(digest(seed, "src", "dst")) < F.lit(min(1.0, 16 * (d + 2) * math.log(n) / eps**2 / k)))
+    return g.edges.where(uniform(digest(seed, "src", "dst")) < F.lit(min(1.0, 16 * (d + 2) * math.log(max(n, 1)) / eps**2 / k)))
 
 
 def over_degree(edges: DataFrame, t: int, side: str = "dst") -> DataFrame:

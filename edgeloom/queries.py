@@ -126,7 +126,7 @@ _edges("sym_degree_cap", part_graph, lambda g: sparsify.symmetric_degree_cap(g,
 k as (select *, row_number() over (partition by v order by h, src, dst) rk from a) select src, dst, max(w) w from k where rk <= 60 group by 1, 2 having count(*) = 2""")
 _edges("bernoulli_edge", user_graph, lambda g: sparsify.bernoulli(g.edges, 0.4), f"with {USER} select src, dst, w from e where {u(h(1, 'src', 'dst'))} < 0.6")
 _edges("bernoulli_symmetric", user_graph, lambda g: normalize.symmetrize(sparsify.bernoulli(g.edges, 0.4)).select("src", "dst"), f"with {USER}, k as (select src, dst from e where {u(h(1, 'src', 'dst'))} < 0.6) select src, dst from k union select dst, src from k")
-_edges("cut_sparsify", part_graph, lambda g: sparsify.cut_sparsify(g, 2000), f"with {PART} select src, dst, w from e where {u(h(7, 'src', 'dst'))} < least(1, 16 * 3 * ln(2000) / 100 / 10)")
+_edges("cut_sparsify", part_graph, lambda g: sparsify.cut_sparsify(g, g.vertices.count()), f"with {PART} select src, dst, w from e where {u(h(7, 'src', 'dst'))} < least(1, 16 * 3 * ln(2000) / 100 / 10)")
 _edges("pruned_edges", user_graph, lambda g: normalize.removed(g.edges, sparsify.bernoulli(g.edges, 0.4)), f"with {USER} select src, dst, w from e where not {u(h(1, 'src', 'dst'))} < 0.6")
 _edges("over_degree", user_graph, lambda g: sparsify.over_degree(g.edges, 50), f"with {USER} select count(*) n from (select dst from e group by dst having count(*) > 50)")
 _edges("spanning_forest", _symmetric_user, traverse.spanning_forest)
