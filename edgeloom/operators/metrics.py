@@ -33,14 +33,23 @@ def degree_distance(variants: DataFrame, original: Graph, nbin: int = 100) -> Da
     return h.join(base, "bin", "left").groupBy(*KEYS).agg(bhattacharyya(F.col("p"), F.col("q")).alias("distance"))
 
 
-def label_propagation(g: Graph, rounds: int = 5) -> DataFrame:
-    """(id, comm): each vertex takes the label of the largest weight among its neighbours and itself, ties to the smallest."""
+def label_propagation(g: Graph, rounds: int | None = 5) -> DataFrame:
+    """(id, comm): each vertex takes the label of the largest weight among its neighbours and itself, ties to the smallest.
+
+    rounds: None goes on until nothing changes, or until the labels are those of two rounds before, between which they would swing.
+    """
     n = keep(g.both().select("src", "dst", "w"), "nbrs")
     labels = keep(g.vertices.select("id", F.col("id").alias("comm")), "labels")
-    for _ in range(rounds):
+    before, step = None, 0
+    while rounds is None or step < rounds:
+        step += 1
         votes = n.join(labels, n["dst"] == labels["id"]).groupBy("src", "comm").agg(F.sum("w").alias("votes"))
         best = votes.groupBy("src").agg(F.min(F.struct((-F.col("votes")).alias("v"), "comm"))["comm"].alias("best"))
-        labels = keep(labels.join(best, labels["id"] == best["src"], "left").select("id", F.coalesce("best", "comm").alias("comm")), "labels")
+        new = keep(labels.join(best, labels["id"] == best["src"], "left").select("id", F.coalesce("best", "comm").alias("comm")), "labels")
+        settled = rounds is None and any(x is not None and not new.exceptAll(x).limit(1).count() for x in (labels, before))
+        before, labels = labels, new
+        if settled:
+            break
     return labels
 
 

@@ -145,7 +145,7 @@ _edges("er_sample", nation_graph, lambda g: linalg.er_sample(linalg.probabilitie
 _edges("er_sample_min1", nation_graph, lambda g: linalg.er_sample_min1(linalg.resistance_exact(g), 25, 1.0))
 _SIGN = "case when substr(md5(concat_ws(':', '7', vector, {})), 1, 1) < '8' then -1 else 1 end"
 _QF = f"select vector, sum(w * power({_SIGN.format('src')} - {_SIGN.format('dst')}, 2)) q from e, (select unnest(range(10)) vector) group by 1"
-_edges("quadratic_form", part_graph, lambda g: linalg.random_forms(g.edges, 10), f"with {PART} select cast(vector as integer) vector, q from ({_QF})")
+_edges("quadratic_form", part_graph, lambda g: linalg.random_forms(g.edges, 100), f"with {PART} select cast(vector as integer) vector, q from ({_QF})")
 
 # -- properties -------------------------------------------------------------------------------------------------------------
 
@@ -181,18 +181,22 @@ _SRC = "(select id from v order by md5(concat_ws(':', '7', id)), id limit 5)"
 _BFS = _iterate(f"{PART}, {BOTH}, q as ({_SRC})", "select id source, id, 0 dist from q", "select source, id, min(dist) dist from (select source, id, dist from XX union all select x.source, n.dst, x.dist + 1 from XX x join n on n.src = x.id) group by 1, 2", 4, "select source, id, cast(dist as double) dist from XX")
 
 
+def _sources(g: Graph, n: int) -> DataFrame:
+    return traverse.sample_vertices(g, n).select(F.col("id").alias("source"))
+
+
 def _five(g: Graph) -> DataFrame:
-    return traverse.sample_vertices(g, 5).select(F.col("id").alias("source"))
+    return _sources(g, 5)
 
 
-_edges("bfs_distances", part_graph, lambda g: traverse.distances(g, _five(g), depth=4), _BFS)
+_edges("bfs_distances", part_graph, lambda g: traverse.distances(g, _five(g)), _BFS)
 _edges("eccentricity", part_graph, lambda g: traverse.eccentricity(traverse.distances(g, _five(g))))
 _edges("effective_diameter", part_graph, lambda g: traverse.effective_diameter(g, _five(g)))
-_edges("pseudo_diameter", part_graph, lambda g: traverse.pseudo_diameter(g, _five(g)))
+_edges("pseudo_diameter", part_graph, lambda g: traverse.pseudo_diameter(g, _sources(g, 10)))
 _edges("closeness_topk", _symmetric_user, lambda g: stats.top_n(traverse.closeness(g, g.vertices.select(F.col("id").alias("source"))).withColumn("score", F.round("score", 9)), 100))
-_edges("betweenness_pivot", _symmetric_user, lambda g: traverse.betweenness(g, _five(g)).withColumn("score", F.round("score", 6)))
+_edges("betweenness_pivot", _symmetric_user, lambda g: traverse.betweenness(g, _sources(g, 500)).withColumn("score", F.round("score", 6)))
 _edges("k_path", user_graph, traverse.k_path)
-_edges("label_communities", part_graph, lambda g: metrics.label_propagation(g, 2))
+_edges("label_communities", part_graph, lambda g: metrics.label_propagation(g, None))
 _edges("modularity", user_graph, lambda g: metrics.modularity(g.with_edges(canonical(g.edges)), g.vertices.select("id", F.pmod("id", F.lit(7)).alias("comm"))).withColumn("modularity", F.round("modularity", 9)), f"""with {USER}, k as (select distinct least(src, dst) src, greatest(src, dst) dst from e), m as (select count(*) m from k),
 s as (select c, sum(i) l, count(*) d from (select src % 7 c, case when src % 7 = dst % 7 then 1 else 0 end i from k union all select dst % 7, 0 from k) group by 1)
 select count(*) communities, round(sum(l / m - power(d / (2.0 * m), 2)), 9) modularity from s, m""")
@@ -210,9 +214,9 @@ def _min_cut(spark: SparkSession, d: str) -> DataFrame:
 @query("spsp_stretch")
 def _stretch(spark: SparkSession, d: str) -> DataFrame:
     g = _symmetric_user(spark, d)
-    s = _five(g)
+    s = _sources(g, 100)
     pruned = g.with_edges(sparsify.bernoulli(g.edges, 0.8))
-    pairs = s.join(F.broadcast(traverse.sample_vertices(g, 50, 8)), F.col("source") != F.col("id"))  # 250 rows at most
+    pairs = s.join(F.broadcast(traverse.sample_vertices(g, 1000, 8)), F.col("source") != F.col("id"))  # 100 000 rows at most
     r = metrics.spsp_stretch(traverse.distances(g, s), traverse.distances(pruned, s), pairs)
     return r.agg(*stats.ratio_stats(F.col("ratio")))
 
