@@ -73,18 +73,16 @@ def fit(full: np.ndarray, langs: list[str], landmarks: int = 16, ridge: float =
     return Model(names, p[marks], size[marks], (root @ w).astype(np.float32), (middle - mean @ w).astype(np.float32))
 
 
-def train(docs: DataFrame, each: int = 250, languages: int = 64) -> Model | None:
+def train(docs: DataFrame, each: int = 250) -> Model | None:
     """A model of documents with a language whose crc32 of the id is not 2 modulo 4: `each` of every language, in hashed order.
 
-    Bounded by each * languages texts, of which only the hashed presence (4 KB) reaches the driver; the languages are the most
-    frequent ones.
+    Every language is learned. Bounded by `each` texts a language, of which only the hashed presence (4 KB) reaches the driver.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (holdout("doc_id", 4) != 2)).select("doc_id", "lang", "text")
-    top = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = rows.where(F.col("lang").isin(top)).select("doc_id", "lang").withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= each)
+    picked = rows.select("doc_id", "lang").withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= each)
     picked = docs.sparkSession.createDataFrame(picked.select("doc_id").distinct().collect(), picked.select("doc_id").schema)
-    chosen = rows.join(F.broadcast(picked), "doc_id", "left_semi")  # at most each * languages ids
+    chosen = rows.join(F.broadcast(picked), "doc_id", "left_semi")  # at most `each` ids a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
