@@ -2,23 +2,27 @@
 
 Categories are predicted one after the other; each model sees a text's words and the probabilities of the categories before it. In
 training those probabilities come from models of other folds, so that later models meet errors as they will meet them in use.
-The words that may carry weight are found from counts over all labelled documents; the weights are fitted on a bounded sample.
+The words that may carry weight and the weights themselves are found on a bounded sample of the labelled documents.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from edgeloom.llm.common import materialize
+
 WORD = re.compile(r"[^\W\d_]+")
-#: Bounds of the fit: words that may carry weight, documents.
+#: Bounds of the fit: words that may carry weight, labelled documents.
 VOCABULARY, FIT_DOCS = 2000, 20_000
+#: Distinct words that a task holds before it passes their counts on.
+HELD = 200_000
 #: A word's cases of a category must exceed what the category's share would give by this many times the root of its documents:
 #: chance words of a large vocabulary don't.
 EVIDENCE = 2.0
@@ -28,14 +32,38 @@ def tokens(text: str) -> set[str]:
     return set(WORD.findall(text.lower()))
 
 
-def _docs_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, words array<string>): each document's distinct words."""
+def _word_table(docs: DataFrame, held: dict, many: int) -> DataFrame:
+    """(word, n, n_0 ...): documents with the word, and those of each category. docs: (doc_id, text); held: each id's categories.
+
+    Counted within a task first, so what is shuffled are distinct words and not documents.
+    """
+    send = docs.sparkSession.sparkContext.broadcast(held)  # at most FIT_DOCS ids
+    names = ["word", "n", *(f"n_{i}" for i in range(many))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(tokens(x or "")) for x in b.column(1).to_pylist()], pa.list_(pa.string()))], ["doc_id", "words"])
+        own, count = send.value, {}
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, words array<string>")
+        def out() -> pa.RecordBatch:
+            table = np.array(list(count.values()), np.int64).reshape(-1, many + 1)
+            return pa.RecordBatch.from_arrays([pa.array(count, pa.string()), *(pa.array(np.ascontiguousarray(c)) for c in table.T)], names)
+
+        for b in batches:
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                marks = [1, *map(int, own[key])]
+                for w in tokens(text or ""):
+                    row = count.get(w)
+                    if row is None:
+                        count[w] = list(marks)
+                    else:
+                        for i, m in enumerate(marks):
+                            row[i] += m
+                if len(count) > HELD:
+                    yield out()
+                    count.clear()
+        yield out()
+
+    parts = docs.mapInArrow(run, ", ".join(["word string", *(f"{n} long" for n in names[1:])]))
+    return parts.groupBy("word").agg(*(F.sum(n).alias(n) for n in names[1:]))
 
 
 def _logistic(x: list[np.ndarray], dense: np.ndarray, y: np.ndarray, size: int, l2: float, steps: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
@@ -67,7 +95,7 @@ def _logistic(x: list[np.ndarray], dense: np.ndarray, y: np.ndarray, size: int,
 
 def _chances(x: list[np.ndarray], dense: np.ndarray, model: tuple) -> np.ndarray:
     w, u, b = model
-    z = np.array([w[v].sum() for v in x]) + dense @ u + b if len(x) else np.zeros(0)
+    z = np.array([w[v].sum() for v in x]) + dense[:, : len(u)] @ u + b if len(x) else np.zeros(0)
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -77,6 +105,8 @@ class Chain:
     vocabulary: dict[str, int]
     models: list[tuple[np.ndarray, np.ndarray, float]]
     thresholds: list[float]
+    #: Recall and precision of each category on out-of-fold probabilities.
+    found: list[tuple[float, float]] = field(default_factory=list)
 
     def places(self, text: str) -> np.ndarray:
         return np.array(sorted(self.vocabulary[w] for w in tokens(text) if w in self.vocabulary), np.int64)
@@ -88,46 +118,50 @@ class Chain:
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], folds: int = 5, l2: float = 1e-3) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], folds: int = 5, l2: float = 1e-3, chained: bool = True) -> Chain:
     """categories, in the chain's order: a condition on labels each (null: not so). labels: doc_id and what the conditions read.
 
-    Counts of words cover all labelled documents; at most FIT_DOCS of them, in hashed order, are used to fit weights.
+    The fit takes at most FIT_DOCS labelled ids, in hashed order; only these documents' words are read, and only counts of distinct
+    words are shuffled. An id with several labels has a category if one of them says so; one that no document has is ignored;
+    repeated documents count each. Null ids take no part. Without labels, or with a category that all or no documents have, that
+    category's model is a constant and its threshold 0.5. chained: False leaves the earlier categories out, for comparison. Other columns of docs and labels are not looked at.
     """
     spark = docs.sparkSession
     names = list(categories)
-    marked = labels.where(F.col("doc_id").isNotNull()).select("doc_id", *(F.coalesce(c, F.lit(False)).alias(f"is_{i}") for i, c in enumerate(categories.values())))
-    marked = marked.groupBy("doc_id").agg(*(F.max(f"is_{i}").alias(f"is_{i}") for i in range(len(names))))
-    found = _docs_words(docs.where(F.col("doc_id").isNotNull())).join(marked, "doc_id")
-    total = marked.agg(F.count(F.lit(1)), *(F.coalesce(F.sum(F.col(f"is_{i}").cast("int")), F.lit(0)) for i in range(len(names)))).first()
-    by_word = found.select(F.explode("words").alias("word"), *(f"is_{i}" for i in range(len(names)))).groupBy("word").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col(f"is_{i}").cast("int")).alias(f"n_{i}") for i in range(len(names))))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    marked = labels.select(F.expr(f"try_cast(doc_id as {kind})").alias("doc_id"), *(F.coalesce(c, F.lit(False)).alias(f"is_{i}") for i, c in enumerate(categories.values())))
+    marked = marked.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*(F.max(f"is_{i}").alias(f"is_{i}") for i in range(len(names))))
+    picked = {r["doc_id"]: [r[f"is_{i}"] for i in range(len(names))] for r in marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS).collect()}
+    ids = spark.createDataFrame([(k,) for k in picked], docs.select("doc_id").schema)
+    chosen = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(ids), "doc_id", "left_semi")  # at most FIT_DOCS ids
+    by_word = materialize(_word_table(chosen, picked, len(names)), "words")
+    total = [max(1, len(picked)), *(sum(v[i] for v in picked.values()) for i in range(len(names)))]
     # how far a word's share of a category stands from the category's share, in standard errors
-    worth = F.greatest(*(F.abs(F.col(f"n_{i}") - F.col("n") * (total[i + 1] / max(1, total[0]))) / F.sqrt(F.col("n")) for i in range(len(names))), F.lit(0.0))
+    worth = F.greatest(*(F.abs(F.col(f"n_{i}") - F.col("n") * (total[i + 1] / total[0])) / F.sqrt(F.col("n")) for i in range(len(names))), F.lit(0.0))
     top = by_word.where(worth > EVIDENCE).orderBy(F.desc(worth), "word").limit(VOCABULARY).collect()
     vocabulary = {r["word"]: i for i, r in enumerate(top)}
-    sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS)
-    picked = {r["doc_id"]: [r[f"is_{i}"] for i in range(len(names))] for r in sample.collect()}
-    ids = spark.createDataFrame([(k,) for k in picked], docs.select("doc_id").schema)
     held = Chain(names, vocabulary, [], [])
-    chosen = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", F.col("text").cast("string"))  # at most FIT_DOCS ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([held.places(x or "").tolist() for x in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["doc_id", "x"])
 
-    got = sorted(chosen.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<bigint>").collect())
+    got = sorted(chosen.mapInArrow(run, f"doc_id {kind}, x array<bigint>").collect())
     x = [np.array(r["x"], np.int64) for r in got]
     y = np.array([picked[r["doc_id"]] for r in got], bool).reshape(len(got), len(names))
     fold = np.arange(len(x)) % folds
-    models, thresholds, before = [], [], np.zeros((len(x), 0))
+    chain, before = Chain(names, vocabulary, [], []), np.zeros((len(x), 0))
     for i in range(len(names)):
-        out = np.zeros(len(x))
+        out, fed = np.zeros(len(x)), before if chained else before[:, :0]
         for k in range(folds):  # probabilities that later models train on come from models that have not seen the row
             a, b = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-            out[b] = _chances([x[j] for j in b], before[b], _logistic([x[j] for j in a], before[a], y[a, i], len(vocabulary), l2))
-        models.append(_logistic(x, before, y[:, i], len(vocabulary), l2))
-        thresholds.append(_threshold(out, y[:, i]))
+            out[b] = _chances([x[j] for j in b], fed[b], _logistic([x[j] for j in a], fed[a], y[a, i], len(vocabulary), l2))
+        chain.models.append(_logistic(x, fed, y[:, i], len(vocabulary), l2))
+        chain.thresholds.append(_threshold(out, y[:, i]))
+        hit = out >= chain.thresholds[-1]
+        chain.found.append((float(hit[y[:, i]].mean()) if y[:, i].any() else 0.0, float(y[hit, i].mean()) if hit.any() else 0.0))
         before = np.column_stack([before, out])
-    return Chain(names, vocabulary, models, thresholds)
+    return chain
 
 
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -146,7 +180,8 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
 def classify(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, p_<category> double and is_<category> boolean of each category): every whole text's categories.
 
-    A null or empty text has no words, so its probabilities are those of the biases. Rows are independent: no shuffle.
+    A null or empty text has no words, so its probabilities are those of the biases. Repeated rows and null ids give a row each.
+    Only the two named columns are read, so others may have any name. Rows are independent: no shuffle.
     """
     held = docs.sparkSession.sparkContext.broadcast(tuple(vars(chain).values()))  # bounded by VOCABULARY
     names = [n for c in chain.categories for n in (f"p_{c}", f"is_{c}")]
@@ -166,9 +201,9 @@ def classify(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: st
 
 
 def label_categories() -> dict[str, Column]:
-    """The chain of op5: what `labels` can tell apart: junk, toxic, and toxic though well written."""
-    junk, toxic = F.col("quality") == 0, F.col("toxic") == 1
-    return {"junk": junk, "toxic": toxic, "toxic_fluent": toxic & (F.col("quality") == 1)}
+    """The chain of op5, as far as `labels` can tell apart: toxic, toxic junk, and toxic though well written."""
+    toxic = F.col("toxic") == 1
+    return {"toxic": toxic, "toxic_junk": toxic & (F.col("quality") == 0), "toxic_fluent": toxic & (F.col("quality") == 1)}
 
 
 def op5_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
