@@ -71,6 +71,10 @@ class Codec:
         """Ids of a whole text as little-endian unsigned 32-bit integers, through no cache."""
         return bytes(self.bpe.encode_to_tiktoken_buffer(text, self.known)) if text else b""
 
+    def literal(self, text: str) -> bytes:
+        """As plain(), but the strings of special tokens are text like any other, so no id but those of ordinary pieces comes out."""
+        return bytes(self.bpe.encode_to_tiktoken_buffer(text, frozenset())) if text else b""
+
     # -- chunks ------------------------------------------------------------------------------------------------------
 
     def cuts(self, data: bytes) -> list[int]:

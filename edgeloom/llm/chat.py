@@ -1,7 +1,7 @@
 """Chat formatting at token level.
 
-Each turn's text is encoded by itself; the template's marks are reserved ids spliced between segments, so no text can forge
-them. Control strings inside texts are escaped before encoding, so that the rendered text can be read back as well. Where
+Each turn's text is encoded by itself, with every special string of the vocabulary taken as ordinary text; the template's marks are
+reserved ids spliced between segments. So no text or role can forge a mark, nor any other special id. Control strings inside texts are escaped before encoding, so that the rendered text can be read back as well. Where
 segments stand in the conversation, and the loss mask with them, follows from prefix sums of their lengths.
 
 Template of a turn: <|im_start|> role newline text <|im_end|> newline. The loss mask covers the texts of assistant turns.
@@ -47,14 +47,14 @@ def unescape_role(role: str) -> str:
 def segments(turns: DataFrame, path: str | None = None) -> DataFrame:
     """(conv_id, turn, role, ids, text_from, text_to, chars): each turn's tokens with marks, and where its text's tokens are.
 
-    turns: (conv_id, turn, role, text). A null text or role counts as empty. The reserved ids are the two after the vocabulary's
-    last. Rows are independent: no shuffle.
+    turns: (conv_id, turn, role, text); other columns are not looked at and may have any name. A null text or role counts as empty;
+    repeated rows are turns of their own. The reserved ids are the two after the vocabulary's last. Rows are independent: no shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         start, end = (np.array([len(c.pieces) + i], "<u4").tobytes() for i in range(2))
-        newline, heads = c.plain("\n"), {}
+        newline, heads = c.literal("\n"), {}
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
@@ -63,9 +63,9 @@ def segments(turns: DataFrame, path: str | None = None) -> DataFrame:
                     role = escape_role(role or "")
                     if role not in heads:
                         heads.clear() if len(heads) > 1000 else None
-                        heads[role] = start + c.plain(role) + newline
+                        heads[role] = start + c.literal(role) + newline
                     text = escape(text or "")
-                    body = c.plain(text)
+                    body = c.literal(text)
                     ids.append(heads[role] + body + end + newline)
                     first.append(len(heads[role]) // 4)
                     last.append((len(heads[role]) + len(body)) // 4)
@@ -96,7 +96,8 @@ def assemble(turns: DataFrame, path: str | None = None) -> DataFrame:
 def digest(assembled: DataFrame, path: str | None = None) -> DataFrame:
     """What the token sequences say, read back from them: one row a conversation, in the columns of op8.
 
-    Rows of a conversation come sorted to one task and pass through it as a stream; only running hashes are kept.
+    Rows of a conversation come sorted to one task and pass through it as a stream; only running hashes are kept. Null and repeated
+    rows are as in assemble(); a conversation of null id gives one row of null id. Empty in, empty out.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
