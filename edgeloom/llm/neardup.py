@@ -1,16 +1,17 @@
-"""Near duplicates at a stated similarity: MinHash bands find candidates, the exact Jaccard similarity of shingle sets confirms.
+"""Near duplicates at a stated similarity: a SimHash index and MinHash bands find candidates, the exact Jaccard similarity of
+shingle sets confirms.
 
-Texts with the same set of shingles are one node. A node has `many` bands; a band's key comes from the least values of BAND
-hash functions over the node's shingles, of its own for each band. Two sets of Jaccard similarity J have the same key in a band with
-probability J^BAND, independently from band to band, so they meet with 1 - (1 - J^BAND)^many: at the stated similarity RECALL
-at least, whatever the number of texts. Sets without common shingles do not meet, so lists are as long as groups of similar texts.
+Texts with the same set of shingles are one node. Candidates come from two places. The byte-position index (simhash.links) gives the
+nodes whose SimHashes differ in few bits: the close copies, all of them. It can't reach texts at the stated similarity, since
+at 0.8 about ten of 64 bits differ; so a node also has `many` bands. A band's key comes from the least values of BAND hash functions over
+the node's shingles, of its own for each band. Two sets of Jaccard similarity J have the same key in a band with probability
+J^BAND, independently from band to band, so they meet with 1 - (1 - J^BAND)^many: at the stated similarity RECALL at least,
+whatever the number of texts. Sets without common shingles do not meet, so lists are as long as groups of similar texts.
 
 Every edge is a pair whose similarity was computed. All members of a list are first compared with one of them, another one in
 each band. Members that this connects need no more; the others, few in a group of copies, are compared with all members of
 their lists that they are not yet connected to. That gives the components of all pairs that meet and reach the similarity.
-
-The index of long SimHashes by byte positions (prints, links) links by bits alone. The stage does not use it: its sets of positions
-share the same bytes, so a pair with few equal bytes misses all of them, more often the larger k is, and bits are an estimate.
+Long lists are dealt out in parts, to which the text that all are compared with is copied.
 """
 
 from __future__ import annotations
@@ -20,182 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from edgeloom.llm.common import materialize
+from edgeloom.llm import simhash
+from edgeloom.llm.common import materialize, release
 from edgeloom.llm.components import components
-from edgeloom.llm.simhash import ROWS, _low, _with_end, shingle_hashes
-
-W = ["w0", "w1", "w2", "w3"]
-BYTES, RECALL, LONG, SHORT = 8 * len(W), 0.999, 4096, 24
-BAND = 5
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
-
-
-def print_of(hashes: np.ndarray) -> np.ndarray:
-    """Four words; a bit is set if it is set in over half of the shingles' mixed hashes. No shingles: zero."""
-    total = np.zeros(8 * BYTES, np.int64)
-    for lo in range(0, len(hashes), ROWS):
-        x = hashes[lo : lo + ROWS, None] * _MIX
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xFF51AFD7ED558CCD)
-        x ^= x >> np.uint64(29)
-        bits = np.unpackbits(x.view(np.uint8), axis=1, bitorder="little")
-        for at in range(0, len(bits), 255):  # as many as a byte can count
-            total += bits[at : at + 255].sum(0, dtype=np.uint8)
-    return np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")
-
-
-def prints(docs: DataFrame, id_col: str, text_col: str = "text", words: int = 5) -> DataFrame:
-    """(id, w0 .. w3 long): the print of each whole text. Rows are independent: no shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
-                x = np.array([print_of(shingle_hashes(t or "", words)) for t in part.column(1).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in x.T)], [id_col, *W])
-
-    schema = StructType([docs.schema[id_col], *(StructField(w, LongType()) for w in W)])
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
-
-
-def bound(similarity: float) -> tuple[float, int]:
-    """The share of bits that differ at a similarity, and how many may differ."""
-    t = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    n = 8 * BYTES
-    return t, int(n * t + 2.05 * math.sqrt(n * t * (1 - t)))
-
-
-def position_sets(similarity: float, n: int) -> list[list[int]]:
-    """Sets of k byte positions: k such that n prints fill lists of about 64 by chance. Their number takes them as independent, which
-    they are not: 0.99 is not reached."""
-    k = max(2, math.ceil((math.log2(max(n, 1)) - 6) / 8))
-    many = max(1, math.ceil(math.log(1 - 0.99) / math.log1p(-((1 - bound(similarity)[0]) ** (8 * k)))))
-    g, out = np.random.default_rng(0), []
-    while len(out) < many:
-        p = g.permutation(BYTES)
-        out += [p[i : i + k].tolist() for i in range(0, BYTES - k + 1, k)]
-    return out[:many]
-
-
-def _key(j: int, places: list[int]) -> Column:
-    key = F.lit(j << 8 * len(places))
-    for i, p in enumerate(places):
-        byte = F.shiftrightunsigned(F.col(W[p // 8]), 8 * (p % 8)).bitwiseAND(F.lit(255))
-        key = key.bitwiseOR(F.shiftleft(byte.cast("long"), 8 * i))
-    return key.cast("long")
-
-
-def _differ(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in W[1:]), F.bit_count(F.col(f"{a}.{W[0]}").bitwiseXOR(F.col(f"{b}.{W[0]}"))))
-
-
-def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x ^ y).sum(-1, dtype=np.int16)
-
-
-def _stars(x: np.ndarray, most: int) -> np.ndarray:
-    """The first member that each member of a list is connected to; every member is compared with those not yet reached."""
-    low, left = np.arange(len(x)), np.arange(len(x))
-    while len(left):
-        root, todo, left = left[0], [left[0]], left[1:]
-        while todo and len(left):
-            near = _far(x[left], x[todo.pop()]) <= most
-            low[left[near]] = root
-            todo += left[near].tolist()
-            left = left[~near]
-    return low
-
-
-def _in_lists(key: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Linked rows of whole lists, which stand one after the other: short lists all at once, the others each by itself."""
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    sizes = np.diff(np.r_[starts, len(key)])
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    small = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SHORT), sizes))
-    k, v = key[small], x[small]
-    for step in range(1, SHORT):
-        at = np.flatnonzero(k[step:] == k[:-step])
-        if not len(at):
-            break
-        at = at[_far(v[at], v[at + step]) <= most]
-        a.append(small[at])
-        b.append(small[at + step])
-    for s, n in zip(starts[sizes > SHORT].tolist(), sizes[sizes > SHORT].tolist()):
-        low = _stars(x[s : s + n], most)
-        far = np.flatnonzero(low != np.arange(n))
-        a.append(low[far] + s)
-        b.append(far + s)
-    a, b = np.concatenate(a), np.concatenate(b)
-    low = _low(len(key), a, b)  # a pair may meet in several lists of a task; each still gives one edge at most per row
-    far = np.flatnonzero(low != np.arange(len(key)))
-    return low[far], far
-
-
-def _contract(edges: DataFrame) -> DataFrame:
-    """Fewer edges with the same components: a node met in many lists has an edge to its first partner alone, which gets edges to
-    the others. In a group of copies these are the same few for all members, and repeated ones go before the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = parent = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (c.to_numpy() for c in batch.columns)
-            new = np.r_[b[0] != last, b[1:] != b[:-1]]
-            at = np.cumsum(new) - 1  # -1: goes on from the batch before
-            first = a[new][np.maximum(at, 0)] if new.any() else np.full(len(a), parent)
-            if at[0] < 0:
-                first = np.where(at < 0, parent, first)
-            other = a != first
-            pairs = np.unique(np.r_[np.c_[first[new], b[new]], np.c_[first[other], a[other]]], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in pairs.T], ["a", "b"])
-            last, parent = b[-1], first[-1]
-
-    return edges.repartition("b").sortWithinPartitions("b", "a").mapInArrow(run, "a long, b long")
-
-
-def links(nodes: DataFrame, similarity: float, long: int = LONG) -> DataFrame:
-    """(a, b): edges between nodes whose components are those of all pairs that meet and verify.
-
-    nodes: (node long, w0 .. w3 long), a written table of distinct prints. long: a list's size from which it is dealt out.
-    """
-    most = bound(similarity)[1]
-    sets = position_sets(similarity, nodes.count())
-    posted = nodes.select(F.struct("node", *W).alias("x"), F.explode(F.array(*(_key(j, p) for j, p in enumerate(sets)))).alias("key"))
-    heavy = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("first")).where(F.col("n") > long)
-    heavy = materialize(heavy, "long")
+from edgeloom.llm.simhash import shingle_hashes
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, node, x = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(W)), np.uint64)
-        for b in _with_end(batches):
-            if b is not None:
-                cols = [c.to_numpy() for c in b.columns]
-                key, node = np.r_[key, cols[0]], np.r_[node, cols[1]]
-                x = np.r_[x, np.stack(cols[2:], 1).view(np.uint64)]
-            keep = int(np.searchsorted(key, key[-1])) if b is not None and len(key) else len(key)  # the last list may go on
-            if keep:
-                low, far = _in_lists(key[:keep], x[:keep], most)
-                if len(far):
-                    yield pa.RecordBatch.from_arrays([pa.array(node[low]), pa.array(node[far])], ["a", "b"])
-            key, node, x = key[keep:], node[keep:], x[keep:]
-
-    light = posted
-    edges = None
-    if heavy.limit(1).count():
-        light = posted.join(heavy.select("key"), "key", "left_anti")
-        met = materialize(posted.join(heavy, "key").withColumn("part", F.pmod(F.xxhash64("x.node"), F.ceil(F.col("n") / long))), "met")
-        near = _differ("x", "first") <= most
-        edges = met.where(near & (F.col("x.node") != F.col("first.node"))).select(F.col("first.node").alias("a"), F.col("x.node").alias("b"))
-        guests = met.where(~near).select("key", F.col("x").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / long) - 1)).alias("part"))
-        pairs = guests.join(met.select("key", "part", "x"), ["key", "part"]).where((_differ("x", "y") <= most) & (F.col("x.node") != F.col("y.node")))
-        edges = edges.union(pairs.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")))
-    dealt = light.select("key", "x.*").repartition("key").sortWithinPartitions("key", "node")
-    short = dealt.mapInArrow(run, "a long, b long")
-    return _contract(short if edges is None else short.union(edges))
+RECALL, BAND = 0.999, 5
+#: Members of a list in one part.
+PART = 2048
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
 def bands(similarity: float) -> int:
@@ -226,65 +64,107 @@ def band_keys(s: np.ndarray, many: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(key, s0 long, s1 long, bands array<long>) of docs (key, text): a digest of the shingle set, and its bands' keys."""
+    """(key, s0 long, s1 long, fp long, bands array<long>) of docs (key, text): a digest of the shingle set, the SimHash of the
+    shingles, and the bands' keys. Rows are independent: no shuffle."""
     many = bands(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
-                sets = [shingle_set(t, words) for t in part.column(1).to_pylist()]
-                own = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
-                keys = [band_keys(s, many).view(np.int64) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(c)) for c in own.T), pa.array(keys, pa.list_(pa.int64()))], ["key", "s0", "s1", "bands"])
-
-    schema = StructType([docs.schema["key"], StructField("s0", LongType()), StructField("s1", LongType()), StructField("bands", ArrayType(LongType()))])
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                own, fp, keys = [], [], []
+                for text in part.column(1):
+                    h = shingle_hashes(text.as_py() or "", words)
+                    s = np.unique(h)
+                    own.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    fp.append(simhash.fingerprint_of(h))
+                    keys.append(band_keys(s, many).view(np.int64))
+                own = np.frombuffer(b"".join(own), "<i8").reshape(-1, 2)
+                cols = [*(pa.array(np.ascontiguousarray(c)) for c in own.T), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols], ["key", "s0", "s1", "fp", "bands"])
+
+    schema = StructType([docs.schema["key"], *(StructField(n, LongType()) for n in ("s0", "s1", "fp")), StructField("bands", ArrayType(LongType()))])
     return docs.select("key", F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(node, set array<long>) of docs (node long, text)."""
+    """(node, set) of docs (node long, text): the sorted hashes of the shingles as little-endian unsigned 64-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
-                sets = [shingle_set(t, words).view(np.int64) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                sets = [shingle_set(t.as_py(), words).astype("<u8").tobytes() for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["node", "set"])
 
-    return docs.select("node", F.col("text").cast("string")).mapInArrow(run, "node long, set array<long>")
+    return docs.select("node", F.col("text").cast("string")).mapInArrow(run, "node long, set binary")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets have this Jaccard similarity at least."""
-    x, y = (sets.select(F.col("node").alias(n), F.col("set").alias(f"set_{n}")) for n in "ab")
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    every = F.size("set_a") + F.size("set_b") - both
-    return pairs.join(x, "a").join(y, "b").where(both >= F.lit(similarity) * every - F.lit(1e-9)).select("a", "b")
+def alike(a: bytes, b: bytes, similarity: float) -> bool:
+    """Whether two packed sets have this Jaccard similarity at least; two empty ones have."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+        return False
+    z = np.concatenate([x, y])
+    z.sort(kind="stable")
+    both = int(np.count_nonzero(z[1:] == z[:-1]))
+    return both >= similarity * (len(z) - both) - 1e-9
 
 
-def similar(posted: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(id, label): the components of all pairs that stand in a list together and have the similarity.
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have this similarity at least.
 
-    posted: (key, node), a written table of the lists of two nodes and more; sets: (node, set) of their nodes, written.
+    pairs: (hub, node, parts): a hub may have very many nodes, so its set is copied to `parts` parts, among which they are dealt.
     """
 
-    def pair(x: Column, y: Column) -> list[Column]:
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = pa.array([alike(x.as_buffer(), y.as_buffer(), similarity) for x, y in zip(b.column(2), b.column(3))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
+
+    parts = pairs.groupBy("hub").agg(F.max("parts").alias("most"))
+    hubs = parts.join(sets.withColumnRenamed("node", "hub"), "hub").select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("most") - 1)).alias("part"), F.col("most").alias("_most"), F.col("set").alias("hub_set"))
+    own = pairs.join(parts, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), F.col("most")).alias("part"))
+    both = own.join(sets, "node").join(hubs, ["hub", "part"])
+    return both.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"), "hub_set", "set").mapInArrow(run, "a long, b long")
+
 
-    centre = posted.groupBy("key").agg(F.min_by("node", F.xxhash64("key", "node")).alias("centre"))
-    stars = posted.join(centre, "key").where("node <> centre").select(*pair(F.col("node"), F.col("centre"))).distinct()
-    edges = materialize(confirmed(stars, sets, similarity), "stars")
+def similar(posted: DataFrame, close: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(id, label): the components of all candidate pairs that have the similarity.
+
+    posted: (key, node), a written table of the lists of two nodes and more; close: (hub, node), candidates besides these; sets:
+    (node, set) of all their nodes, written.
+    """
+    lists = posted.groupBy("key").agg(F.min_by("node", F.xxhash64("key", "node")).alias("hub"), F.count(F.lit(1)).alias("n"))
+    lists = lists.select("key", "hub", "n", F.ceil(F.col("n") / PART).alias("parts"))
+    stars = posted.join(lists, "key").where("node <> hub").select("hub", "node", "parts").unionByName(close.withColumn("parts", F.lit(1).cast("long")))
+    stars = materialize(stars.groupBy("hub", "node").agg(F.max("parts").alias("parts")), "stars")
+    edges = materialize(confirmed(stars, sets, similarity), "confirmed")
     label = components(edges).select(F.col("id").alias("node"), "label")
     member = materialize(posted.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "members")
-    main = member.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("label", "n").alias("main"), F.count(F.lit(1)).alias("labels"))
-    left = member.join(main.where("labels > 1"), "key")
-    guests = left.where("label <> main").select("key", F.col("node").alias("guest"), F.col("label").alias("own"))
-    rest = guests.join(left, "key").where("label <> own and (label = main or guest < node)").select(*pair(F.col("guest"), F.col("node"))).distinct()
-    rest = rest.join(stars, ["a", "b"], "left_anti")  # these have been compared
-    return components(edges.union(materialize(confirmed(rest, sets, similarity), "rest")))
+    main = member.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.ceil(F.sum("n") / PART).alias("parts"))
+    left = member.join(main.where("labels > 1"), "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    guests = left.where("label <> main").select("key", F.col("node").alias("guest"), F.col("label").alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    rest = guests.join(left, ["key", "part"]).where("label <> own and (label = main or guest < node)").groupBy(F.col("guest").alias("hub"), "node").agg(F.max("parts").alias("parts"))
+    done = stars.select("hub", "node").unionByName(stars.select(F.col("node").alias("hub"), F.col("hub").alias("node")))
+    rest = materialize(rest.join(done, ["hub", "node"], "left_anti"), "rest")  # without those that have been compared
+    if not rest.limit(1).count():
+        return label.withColumnRenamed("node", "id")
+    more = materialize(confirmed(rest, sets, similarity), "confirmed")
+    found = components(edges.union(more))
+    for t in (stars, member, rest):
+        release(t.sparkSession, t)
+    return found
+
+
+def close_prints(nodes: DataFrame, bits: int = 4) -> DataFrame:
+    """(hub, node): of nodes (node, fp), those of one SimHash with the first of them, and firsts that the byte-position index links."""
+    first = materialize(nodes.groupBy("fp").agg(F.min("node").alias("hub")), "distinct")
+    same = nodes.join(first, "fp").where("node <> hub").select("hub", "node")
+    a, b = (first.select(F.col("fp").alias(x), F.col("hub").alias(y)) for x, y in (("a", "hub"), ("b", "node")))
+    return same.unionByName(simhash.links(first.select("fp"), bits).join(a, "a").join(b, "b").select("hub", "node"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -292,22 +172,26 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     (doc_id, text hash).
 
     All columns stay as they are; they may have any names. Of rows equal in id and text one stays. Null, empty and wordless texts
-    have the same empty set and are one component; a text of fewer words than a shingle is one shingle. Empty in, empty out.
+    have the same empty set and are one component; a text of fewer words than a shingle is one shingle. A null id comes before all
+    others. Empty in, empty out.
     """
     key = F.struct(F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull()).alias("h")).alias("key")
     every = materialize(sketches(docs.select(key, "text"), words, similarity), "sketches")
-    nodes = every.groupBy("s0", "s1").agg(F.min("key").alias("first"), F.first("bands").alias("bands"))
-    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "first", "bands"), "nodes")  # written, so a node's number stays
+    nodes = every.groupBy("s0", "s1").agg(F.min("key").alias("first"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))
+    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "first", "fp", "bands"), "nodes")  # written, so a node's number stays
     posted = nodes.select("node", F.explode("bands").alias("key"))
     posted = materialize(posted.join(posted.groupBy("key").count().where("count > 1").select("key"), "key"), "posted")
-    met = nodes.join(posted.select("node").distinct(), "node", "left_semi").select("node", F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h"))
+    close = materialize(close_prints(nodes.select("node", "fp")), "close")
+    met = posted.select("node").unionByName(close.select(F.explode(F.array("hub", "node")).alias("node"))).distinct()
+    met = nodes.join(met, "node", "left_semi").select("node", F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h"))
     same = F.col("key.doc_id").eqNullSafe(F.col("_id")) & (F.col("key.h") == F.col("_h"))
-    texts = docs.select(key, "text").join(met, same).select("node", "text")  # repeated rows give a pair twice, which does no harm
-    low = similar(posted, materialize(shingle_sets(texts, words), "sets"), similarity)
+    texts = docs.select(key, "text").join(met.hint("shuffle_hash"), same).select("node", "text")  # ids alone are held
+    repeats = bool(every.groupBy("key").count().where("count > 1").limit(1).count())
+    sets = shingle_sets(texts, words)
+    sets = materialize(sets.dropDuplicates(["node"]) if repeats else sets, "sets")
+    low = similar(posted, close, sets, similarity)
     rooted = nodes.join(low, nodes["node"] == low["id"], "left").select("first", F.coalesce("label", "node").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("key")).select(F.col("key.doc_id").alias("_id"), F.col("key.h").alias("_h"))
     rows = docs.select(F.struct("*").alias("row"), key)
-    rows = rows.join(kept, same, "left_semi")
-    if every.groupBy("key").count().where("count > 1").limit(1).count():
-        rows = rows.dropDuplicates(["key"])
-    return rows.select("row.*")
+    rows = rows.join(kept.hint("shuffle_hash"), same, "left_semi")
+    return (rows.dropDuplicates(["key"]) if repeats else rows).select("row.*")
