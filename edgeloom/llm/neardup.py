@@ -8,10 +8,11 @@ the node's shingles, of its own for each band. Two sets of Jaccard similarity J
 J^BAND, independently from band to band, so they meet with 1 - (1 - J^BAND)^many: at the stated similarity RECALL at least,
 whatever the number of texts. Sets without common shingles do not meet, so lists are as long as groups of similar texts.
 
-Every edge is a pair whose similarity was computed. All members of a list are first compared with one of them, another one in
-each band. Members that this connects need no more; the others, few in a group of copies, are compared with all members of
-their lists that they are not yet connected to. That gives the components of all pairs that meet and reach the similarity.
-Long lists are dealt out in parts, to which the text that all are compared with is copied.
+Every edge is a pair whose similarity was computed. All members of a list are first compared with one of them, the first in an
+order that is the same for all lists, so a group of copies has few such texts. Members that this connects need no more; the
+others, few in a group of copies, are compared with all members of their lists that they are not yet connected to. That gives
+the components of all pairs that meet and reach the similarity. Pairs whose sizes rule the similarity out are not compared. Long
+lists are dealt out in parts, to which the text that all are compared with is copied.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
@@ -31,8 +32,8 @@ from edgeloom.llm.components import components
 from edgeloom.llm.simhash import shingle_hashes
 
 RECALL, BAND = 0.999, 5
-#: Members of a list in one part.
-PART = 2048
+#: Members of a list in one part; bytes kept of a shingle's hash in packed sets.
+PART, KEPT = 2048, 6
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
@@ -64,8 +65,8 @@ def band_keys(s: np.ndarray, many: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(key, s0 long, s1 long, fp long, bands array<long>) of docs (key, text): a digest of the shingle set, the SimHash of the
-    shingles, and the bands' keys. Rows are independent: no shuffle."""
+    """(key, s0 long, s1 long, fp long, size long, bands array<long>) of docs (key, text): a digest of the shingle set, the SimHash of
+    the shingles, how many the set has, and the bands' keys. Rows are independent: no shuffle."""
     many = bands(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,40 +75,49 @@ def sketches(docs: DataFrame, words: int, similarity: float) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                own, fp, keys = [], [], []
+                own, fp, size, keys = [], [], [], []
                 for text in part.column(1):
                     h = shingle_hashes(text.as_py() or "", words)
                     s = np.unique(h)
                     own.append(xxhash.xxh3_128_digest(s.tobytes()))
                     fp.append(simhash.fingerprint_of(h))
+                    size.append(len(s))
                     keys.append(band_keys(s, many).view(np.int64))
                 own = np.frombuffer(b"".join(own), "<i8").reshape(-1, 2)
-                cols = [*(pa.array(np.ascontiguousarray(c)) for c in own.T), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *cols], ["key", "s0", "s1", "fp", "bands"])
+                cols = [*(pa.array(np.ascontiguousarray(c)) for c in own.T), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols], ["key", "s0", "s1", "fp", "size", "bands"])
 
-    schema = StructType([docs.schema["key"], *(StructField(n, LongType()) for n in ("s0", "s1", "fp")), StructField("bands", ArrayType(LongType()))])
+    schema = StructType([docs.schema["key"], *(StructField(n, LongType()) for n in ("s0", "s1", "fp", "size")), StructField("bands", ArrayType(LongType()))])
     return docs.select("key", F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(node, set) of docs (node long, text): the sorted hashes of the shingles as little-endian unsigned 64-bit integers."""
+    """(node, set) of docs (node long, text): the sorted hashes of the shingles, packed in KEPT bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                sets = [shingle_set(t.as_py(), words).astype("<u8").tobytes() for t in part.column(1)]
+                sets = [packed(shingle_set(t.as_py(), words)) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["node", "set"])
 
     return docs.select("node", F.col("text").cast("string")).mapInArrow(run, "node long, set binary")
 
 
+def packed(s: np.ndarray) -> bytes:
+    """The leading KEPT bytes of sorted hashes. Two different shingles of a pair of n each are taken for equal with a chance of
+    n * n / 2^48: one in a billion at 500 shingles, which is what exact means here."""
+    return np.ascontiguousarray(s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEPT]).tobytes()
+
+
 def alike(a: bytes, b: bytes, similarity: float) -> bool:
     """Whether two packed sets have this Jaccard similarity at least; two empty ones have."""
-    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-    if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+    raw = np.frombuffer(b"".join([a, b]), np.uint8).reshape(-1, KEPT)
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
         return False
-    z = np.concatenate([x, y])
+    z = np.zeros((len(raw), 8), np.uint8)
+    z[:, :KEPT] = raw
+    z = z.view(">u8").ravel().astype(np.uint64)
     z.sort(kind="stable")
     both = int(np.count_nonzero(z[1:] == z[:-1]))
     return both >= similarity * (len(z) - both) - 1e-9
@@ -131,37 +141,43 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"), "hub_set", "set").mapInArrow(run, "a long, b long")
 
 
+def _sizes_allow(a: str, b: str, similarity: float) -> Column:
+    return F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - F.lit(1e-9)
+
+
 def similar(posted: DataFrame, close: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(id, label): the components of all candidate pairs that have the similarity.
 
-    posted: (key, node), a written table of the lists of two nodes and more; close: (hub, node), candidates besides these; sets:
+    posted: (key, node, size), a written table of the lists of two nodes and more; close: (hub, node), candidates besides these; sets:
     (node, set) of all their nodes, written.
     """
-    lists = posted.groupBy("key").agg(F.min_by("node", F.xxhash64("key", "node")).alias("hub"), F.count(F.lit(1)).alias("n"))
-    lists = lists.select("key", "hub", "n", F.ceil(F.col("n") / PART).alias("parts"))
-    stars = posted.join(lists, "key").where("node <> hub").select("hub", "node", "parts").unionByName(close.withColumn("parts", F.lit(1).cast("long")))
+    lists = posted.groupBy("key").agg(F.min_by(F.struct("node", "size"), F.xxhash64("node")).alias("h"), F.count(F.lit(1)).alias("n"))
+    lists = lists.select("key", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size"), F.ceil(F.col("n") / PART).alias("parts"))
+    stars = posted.join(lists, "key").where((F.col("node") != F.col("hub")) & _sizes_allow("size", "hub_size", similarity)).select("hub", "node", "parts")
+    stars = stars.unionByName(close.withColumn("parts", F.lit(1).cast("long")))
     stars = materialize(stars.groupBy("hub", "node").agg(F.max("parts").alias("parts")), "stars")
     edges = materialize(confirmed(stars, sets, similarity), "confirmed")
     label = components(edges).select(F.col("id").alias("node"), "label")
-    member = materialize(posted.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "members")
+    member = materialize(posted.join(label, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label")), "members")
     main = member.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.ceil(F.sum("n") / PART).alias("parts"))
     left = member.join(main.where("labels > 1"), "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    guests = left.where("label <> main").select("key", F.col("node").alias("guest"), F.col("label").alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    rest = guests.join(left, ["key", "part"]).where("label <> own and (label = main or guest < node)").groupBy(F.col("guest").alias("hub"), "node").agg(F.max("parts").alias("parts"))
+    guests = left.where("label <> main").select("key", F.col("node").alias("guest"), F.col("size").alias("own_size"), F.col("label").alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    rest = guests.join(left, ["key", "part"]).where(F.expr("label <> own and (label = main or guest < node)") & _sizes_allow("size", "own_size", similarity))
+    rest = rest.groupBy(F.col("guest").alias("hub"), "node").agg(F.max("parts").alias("parts"))
     done = stars.select("hub", "node").unionByName(stars.select(F.col("node").alias("hub"), F.col("hub").alias("node")))
     rest = materialize(rest.join(done, ["hub", "node"], "left_anti"), "rest")  # without those that have been compared
-    if not rest.limit(1).count():
-        return label.withColumnRenamed("node", "id")
     more = materialize(confirmed(rest, sets, similarity), "confirmed")
+    if not more.limit(1).count():
+        return label.withColumnRenamed("node", "id")
     found = components(edges.union(more))
-    for t in (stars, member, rest):
+    for t in (stars, member, rest, edges, more):
         release(t.sparkSession, t)
     return found
 
 
 def close_prints(nodes: DataFrame, bits: int = 4) -> DataFrame:
     """(hub, node): of nodes (node, fp), those of one SimHash with the first of them, and firsts that the byte-position index links."""
-    first = materialize(nodes.groupBy("fp").agg(F.min("node").alias("hub")), "distinct")
+    first = materialize(nodes.groupBy("fp").agg(F.min_by("node", F.xxhash64("node")).alias("hub")), "distinct")
     same = nodes.join(first, "fp").where("node <> hub").select("hub", "node")
     a, b = (first.select(F.col("fp").alias(x), F.col("hub").alias(y)) for x, y in (("a", "hub"), ("b", "node")))
     return same.unionByName(simhash.links(first.select("fp"), bits).join(a, "a").join(b, "b").select("hub", "node"))
@@ -177,9 +193,9 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     """
     key = F.struct(F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull()).alias("h")).alias("key")
     every = materialize(sketches(docs.select(key, "text"), words, similarity), "sketches")
-    nodes = every.groupBy("s0", "s1").agg(F.min("key").alias("first"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))
-    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "first", "fp", "bands"), "nodes")  # written, so a node's number stays
-    posted = nodes.select("node", F.explode("bands").alias("key"))
+    nodes = every.groupBy("s0", "s1").agg(F.min("key").alias("first"), F.min("fp").alias("fp"), F.min("size").alias("size"), F.first("bands").alias("bands"))
+    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "first", "fp", "size", "bands"), "nodes")  # written, so a node's number stays
+    posted = nodes.select("node", "size", F.explode("bands").alias("key"))
     posted = materialize(posted.join(posted.groupBy("key").count().where("count > 1").select("key"), "key"), "posted")
     close = materialize(close_prints(nodes.select("node", "fp")), "close")
     met = posted.select("node").unionByName(close.select(F.explode(F.array("hub", "node")).alias("node"))).distinct()
@@ -187,9 +203,12 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     same = F.col("key.doc_id").eqNullSafe(F.col("_id")) & (F.col("key.h") == F.col("_h"))
     texts = docs.select(key, "text").join(met.hint("shuffle_hash"), same).select("node", "text")  # ids alone are held
     repeats = bool(every.groupBy("key").count().where("count > 1").limit(1).count())
+    release(docs.sparkSession, every)
     sets = shingle_sets(texts, words)
     sets = materialize(sets.dropDuplicates(["node"]) if repeats else sets, "sets")
     low = similar(posted, close, sets, similarity)
+    for t in (posted, close, sets):
+        release(docs.sparkSession, t)
     rooted = nodes.join(low, nodes["node"] == low["id"], "left").select("first", F.coalesce("label", "node").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("key")).select(F.col("key.doc_id").alias("_id"), F.col("key.h").alias("_h"))
     rows = docs.select(F.struct("*").alias("row"), key)
