@@ -162,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000) -> list[Rule]:
     h = F.xxhash64("doc_id")
     some = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(h, "doc_id").limit(rows)
     picked = {r["doc_id"]: r["quality"] for r in some.collect()}
-    ids = docs.sparkSession.createDataFrame([(k,) for k in picked], "doc_id long")
+    ids = docs.sparkSession.createDataFrame([(k,) for k in picked], docs.select("doc_id").schema)
     chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")  # at most `rows` ids
     got = statistics(chosen).where(~F.col("base_failed")).select("doc_id", *FEATURES).collect()
     got.sort(key=lambda r: tuple(r))

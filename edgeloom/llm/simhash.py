@@ -7,8 +7,12 @@ allow. Within a list the shared positional bytes of each pair are tallied, pairs
 and verified by their differing bits.
 
 Only distinct fingerprints are posted, so exact copies cost nothing. A list gives a star for each of its linked sets instead of
-all their pairs. A list longer than LIST is linked without comparing pairs: all its members share 8 - d bytes, so two of
-them differ in at most d bits exactly if some value is within d/2 bits of both; sorting these values links the members.
+all their pairs. A list longer than LIST is linked without comparing pairs: two of its members differ in at most d bits exactly if
+some value is within d/2 bits of both; sorting these values links the members.
+
+A list longer than LONG, as skewed bytes make them, is dealt out: its members share 8 - d bytes, so a pair differs in at most d of the
+2d half bytes of the others and shares d of them. It is posted again under these, taken d at a time, and what is still longer than
+LONG is grouped by the values within d/2 bits. No task holds more than LONG members of a list.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from edgeloom.llm.common import LOWER, materialize
 from edgeloom.llm.components import components
 
-LIST, ROWS = 512, 1 << 15
+LIST, LONG, ROWS = 512, 8192, 1 << 15
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -67,14 +71,30 @@ def _byte(p: int) -> Column:
     return F.shiftrightunsigned(F.col("fp"), 8 * p).bitwiseAND(F.lit(255))
 
 
-def _keys(shared: int) -> list[Column]:
-    keys = []
-    for j, places in enumerate(combinations(range(8), shared)):
-        key = F.lit(j << 8 * shared)
-        for i, p in enumerate(places):
-            key = key.bitwiseOR(F.shiftleft(_byte(p), 8 * i))
-        keys.append(key)
-    return keys
+def _bytes(places: tuple[int, ...]) -> Column:
+    packed = F.lit(0).cast("long")
+    for i, p in enumerate(places):
+        packed = packed.bitwiseOR(F.shiftleft(_byte(p), 8 * i))
+    return packed
+
+
+def _keys(shared: int) -> list[tuple[Column, Column]]:
+    """Of each set of places: the bytes there as a key, and the other bytes."""
+    sets = list(combinations(range(8), shared))
+    rest = [tuple(p for p in range(8) if p not in places) for places in sets]
+    return [(_bytes(places).bitwiseOR(F.lit(j << 8 * shared)), _bytes(others)) for j, (places, others) in enumerate(zip(sets, rest))]
+
+
+def _half_keys(bits: int) -> Column:
+    """Of (key, rest): the keys of the half bytes of rest, taken `bits` at a time."""
+    half = lambda p: F.shiftrightunsigned("rest", 4 * p).bitwiseAND(F.lit(15))
+    return F.array(*(F.xxhash64("key", F.lit(j), *(half(p) for p in places)) for j, places in enumerate(combinations(range(2 * bits), bits))))
+
+
+def _values_near(bits: int) -> Column:
+    """Of rest: all values that differ from it in at most half of `bits` bits."""
+    flips = [0] + [sum(1 << i for i in c) for r in range(1, bits // 2 + 1) for c in combinations(range(8 * bits), r)]
+    return F.transform(F.array(*(F.lit(m).cast("long") for m in flips)), lambda m: F.col("rest").bitwiseXOR(m))
 
 
 def _low(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -127,7 +147,34 @@ def links(prints: DataFrame, bits: int = 4) -> DataFrame:
     """
     if bits not in (2, 4):
         raise ValueError("bits must be 2 or 4")
-    posted = prints.select("fp", F.explode(F.array(*_keys(8 - bits))).alias("key"))
+    keys = _keys(8 - bits)
+    posted = prints.select("fp", F.explode(F.array(*(k for k, _ in keys))).alias("key"))
+    light, heavy = _deal(posted)
+    found = _in_lists(light, bits)
+    if heavy is None:
+        return found
+    both = prints.select("fp", F.explode(F.array(*(F.struct(k.alias("key"), r.alias("rest")) for k, r in keys))).alias("x")).select("fp", "x.*")
+    both = materialize(both.join(heavy, "key", "left_semi"), "long")
+    light, heavy = _deal(both.select("fp", F.explode(_half_keys(bits)).alias("key")))
+    found = found.unionByName(_in_lists(light, bits))
+    if heavy is None:
+        return found
+    again = both.select("fp", "key", "rest", F.explode(_half_keys(bits)).alias("half")).join(heavy.withColumnRenamed("key", "half"), "half", "left_semi")
+    near = again.select("fp", "key", "rest").distinct().select("fp", "key", F.explode(_values_near(bits)).alias("value"))
+    near = near.groupBy("key", "value").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("all"))  # as many as there are values near one
+    return found.unionByName(near.where(F.size("all") > 1).select("a", F.explode("all").alias("b")).where("a <> b").distinct())
+
+
+def _deal(posted: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Postings (fp, key) of lists of up to LONG, and (key) of the others, if any."""
+    heavy = materialize(posted.groupBy("key").count().where(F.col("count") > LONG).select("key"), "heavy")
+    if not heavy.limit(1).count():
+        return posted, None
+    return posted.join(heavy, "key", "left_anti").select("fp", "key"), heavy
+
+
+def _in_lists(posted: DataFrame, bits: int) -> DataFrame:
+    """(a, b): links within each list of (fp, key)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

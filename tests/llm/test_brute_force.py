@@ -1,0 +1,211 @@
+"""Queries against plain Python on small tables with awkward texts."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from edgeloom.llm import bpe, langid, license, packing, quality, topk, toxicity
+
+R = random.Random(11)
+WORDS = ["the", "Water", "é", "x#", "a b", "<|endoftext|>", "'ll", "漢字", "1234", "|", "ok", "ok", "ok"]
+TEXTS = [None, "", " \n\t\v", "one", "a b c d e a b c d e", "line\nline\n\nline \n", "#*$%&|<>", "\x1c \x1d", *(" ".join(R.choice(WORDS) for _ in range(n)) for n in (3, 9, 10, 11, 40, 41, 300)), "\n".join(["same old line of words"] * 3 + ["other"] * 2), "word " * 5000]
+
+
+@pytest.fixture(scope="module")
+def sf(spark, tmp_path_factory):
+    top = str(tmp_path_factory.mktemp("brute"))
+    rows = [(k, t, "x", 2) for k, t in enumerate(TEXTS)] + [(None, "no id", "x", 2), (3, "one", "x", 2)]
+    spark.createDataFrame(rows, "doc_id long, text string, ids string, length int").write.parquet(f"{top}/documents.parquet")
+    spark.createDataFrame([(k, k % 2) for k in range(len(TEXTS))], "doc_id long, quality int").write.parquet(f"{top}/labels.parquet")
+    return top, [(r[0], r[1]) for r in rows]
+
+
+def test_encoding(spark, sf):
+    t = Tokenizer.from_file(bpe.default_path())
+    want = Counter()
+    for k, text in sf[1]:
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        raw = b"".join(i.to_bytes(4, "little") for i in ids)
+        want[k, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
+    assert Counter(tuple(r) for r in bpe.op1_bpe_chunk_reuse(spark, sf[0]).collect()) == want
+
+
+def test_packing(spark, sf):
+    t = Tokenizer.from_file(bpe.default_path())
+    want = Counter()
+    for k, text in sf[1]:
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        first = (len(ids) - 1) % 1024 + 1
+        cuts = [0, *range(first, len(ids) + 1, 1024)]
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            want[k, i, a, b - a, zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[a:b]))] += 1
+    rows = packing.op2_vector_best_fit(spark, sf[0]).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for b in bins.values():
+        assert [x for x, _ in sorted(b)] == np.cumsum([0, *(n for _, n in sorted(b))])[:-1].tolist() and sum(n for _, n in b) <= 1024
+    assert len(bins) <= -(-sum(n for *_, n, _ in want.elements()) // 1024) + 1
+
+
+def statistics(text):
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    runs = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    often = Counter(runs)
+    repeated = {j for i, g in enumerate(runs) if often[g] > 1 for j in range(i, i + 5)}
+    failed = len(w) < 10 or 100 * len(repeated) > 20 * len(w)
+    return len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(repeated), failed
+
+
+def test_quality_statistics(spark, sf):
+    rows = quality.op4_decision_list(spark, sf[0]).collect()
+    assert Counter(tuple(r)[:7] for r in rows) == Counter((k, *statistics(t)) for k, t in sf[1])
+    assert not any(r.kept for r in rows if r.base_failed)
+
+
+def test_decision_list_learns_a_conjunction():
+    r = np.random.default_rng(0)
+    table = {f: r.random(3000) for f in ("a", "b", "c")}
+    bad = (table["a"] > 0.6) & (table["b"] <= 0.3) | (table["c"] > 0.95)
+    rules = quality.learn(table, bad, r.random(3000) < 2 / 3)
+    found = np.zeros(3000, bool)
+    for rule in rules:
+        found |= quality._covered(rule, table, 3000)
+    assert (found == bad).mean() > 0.98 and {c.feature for rule in rules for c in rule} == {"a", "b", "c"}
+    noise = r.random(3000) < 0.5
+    assert not quality.learn({"a": r.random(3000)}, noise, r.random(3000) < 2 / 3)
+
+
+def test_rules_follow_ids_of_any_type(spark, sf):
+    docs = spark.read.parquet(f"{sf[0]}/documents.parquet").withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    labels = spark.read.parquet(f"{sf[0]}/labels.parquet").withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert quality.judge(docs, quality.train(docs, labels)).count() == len(sf[1])
+
+
+UNSEEN = {
+    "MIT License": "MIT", "This code is distributed under the terms of the MIT licence.": "MIT", "SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "Available under the GPL, version 2 or later.": "GPL-2.0",
+    "Dual licensed under MIT and Apache-2.0": ("MIT", "Apache-2.0"), "Redistribution and use in source and binary forms,\nwith or without modification, are permitted\nprovided that the following conditions are met:": "BSD",
+    "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software": "MIT", "To the extent possible under law, the author has waived all copyright": "CC0", "Content on this site is licensed under a Creative Commons Attribution 3.0 License": "CC-BY",
+    "This file is part of foo, licensed under LGPL 2.1": "LGPL", "The source is under MPL 2.0": "MPL-2.0", "ISC License": "ISC", "This software may be used under the 2-clause BSD licence": "BSD",
+}
+PLAIN = ["You must have a licence to fish here.", "His license expired in 2019.", "Copyright law is complicated.", "The Apache tribe lived here.", "Permission denied.", "Copyright (c) 2020 Jane. All rights reserved.", "BSD is an operating system.", "He studied at MIT before he got his pilot license.", "Ein Haus mit Garten.", "Redistribution of income.", "", None]
+
+
+def test_licences_of_unseen_wording(spark):
+    rows = [(k, f"Some text before it.\n\n{x}\n\nand a mit after it", "x") for k, x in enumerate(UNSEEN)] + [(100 + k, x, "x") for k, x in enumerate(PLAIN)] + [(None, "MIT License", "x"), (0, f"Some text before it.\n\n{list(UNSEEN)[0]}\n\nand a mit after it", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, line string")
+    model = license.train(docs)
+    got = license.scan(docs, model).collect()
+    found = Counter((r.doc_id, r.paragraph) for r in got)
+    assert found == Counter({(k, 1): 1 for k in range(1, len(UNSEEN))}) + Counter({(0, 1): 2, (None, 0): 1})
+    for r in got:
+        if r.doc_id is not None:
+            assert r.family in list(UNSEEN.values())[r.doc_id]
+    texts = {k: x for k, x, _ in rows if x}
+    for r in got:  # as the model says outside Spark
+        if r.doc_id is not None:
+            family, gap = model.gap(re.split(license.BREAK, texts[r.doc_id])[r.paragraph])
+            assert family == r.family and gap > 0
+    assert all(model.gap(x)[1] < 0 for x in PLAIN if x)
+
+
+def test_no_anchor_is_unknown():
+    m = license.fit([])
+    assert m.bias[-1] > max(m.bias[:-1]) and all(license.anchored(g) for g in m.weights)
+    assert all(any(a in t.lower() for a in license.ANCHORS) for t, *_ in license.notices())
+
+
+def test_chain_of_classifiers(spark):
+    rows, labels = [], []
+    for k in range(400):
+        toxic, junk = k % 5 == 0, k % 2 == 0
+        rows.append((k, " ".join(R.choice("red green blue tree house".split()) for _ in range(20)) + (" idiot" if toxic else "") + (" spam" if junk else ""), "x"))
+        labels.append((k, int(not junk), int(toxic), "x"))
+    rows += [(None, "idiot", "x"), (1000, None, "x"), (1001, "", "x"), (0, rows[0][1], "x")]
+    labels += [(None, 1, 1, "x"), (0, 0, 0, "x"), (5000, 1, 1, "x"), (7, None, None, "x")]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string, is_toxic string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int, text string")
+    chain = toxicity.train(docs, marks, toxicity.label_categories())
+    assert chain.categories[0] == "toxic" and min(chain.found[0]) > 0.98
+    assert len(chain.models[2][1]) == 2  # the earlier categories' probabilities
+    got = toxicity.classify(docs, chain).collect()
+    assert len(got) == len(rows)
+    assert all(r.is_toxic == ((r.doc_id is None) or (r.doc_id < 400 and r.doc_id % 5 == 0)) for r in got)
+    empty = toxicity.train(docs, marks.limit(0), toxicity.label_categories())
+    assert not any(r.is_toxic for r in toxicity.classify(docs, empty).collect())
+
+
+def test_threshold_is_the_best_f1():
+    r = np.random.default_rng(2)
+    p, y = r.random(300).round(2), r.random(300) < 0.3
+    f1 = lambda t: 2 * (y & (p >= t)).sum() / ((p >= t).sum() + y.sum())
+    assert f1(toxicity._threshold(p, y)) == max(f1(t) for t in np.unique(p))
+
+
+@pytest.mark.parametrize("tile,shard,fan", [(4096, 8192, 16), (3, 7, 2)])
+def test_search_ties_tiles_and_limits(spark, monkeypatch, tile, shard, fan):
+    for n, v in (("TILE", tile), ("SHARD", shard), ("FAN", fan)):
+        monkeypatch.setattr(topk, n, v)
+    r = np.random.default_rng(4)
+    big = 1 << 40
+    vectors = [(k, [int(x) for x in r.integers(-2, 3, 4)]) for k in range(80)] + [(200 + k, [big * int(x) for x in r.integers(-1, 2, 4)]) for k in range(9)] + [(3, vectors3 := [0, 0, 0, 0])]
+    table = spark.createDataFrame([*vectors, (None, [1, 1, 1, 1]), (500, None), (501, [1, 2])], "id long, v array<long>")
+    own = {}
+    for k, v in vectors:
+        own[k] = min(own.get(k, v), v)
+    want = set()
+    for q in (k for k in own if k % 10 == 0):
+        clip = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+        best = sorted((-clip(sum(a * b for a, b in zip(own[q], own[c]))), c) for c in own if c != q)[:10]
+        want |= {(q, i + 1, c, -s) for i, (s, c) in enumerate(best)}
+    got = {tuple(r) for r in topk.search(table.where("id % 10 = 0"), table).collect()}
+    assert got - {x for x in got if x[0] == 500} == want and vectors3
+
+
+def test_languages_of_unseen_texts(spark):
+    words = {"en": "the of and to in that is was for with", "fr": "le la les des une dans pour avec est être", "de": "der die und das ist nicht mit ein für auf"}
+    rows = [(k, " ".join(R.choice(words[g].split()) for _ in range(15)), g) for k in range(240) for g in [("en", "fr", "de")[k % 3]]]
+    rows += [(1000, None, "en"), (1001, "", None), (1002, "123 !?", "en"), (None, "der die das und", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(docs, langid.train(docs)).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    truth = {k: g for k, _, g in rows}
+    assert all(r.lang_pred == truth[r.doc_id] for r in got if r.doc_id is not None and r.doc_id < 1000 and zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+    assert {r.doc_id for r in got if r.lang_pred == "und"} == {1000, 1001, 1002}
+    hidden = docs.withColumn("lang", F.when(F.expr("pmod(crc32(cast(cast(doc_id as string) as binary)), 4) = 2"), "xx").otherwise(F.col("lang")))
+    assert langid.train(hidden).languages == ["de", "en", "fr"]  # held-out labels are not looked at
+
+
+def test_pipeline_stages(spark, tmp_path):
+    words = {"en": "the of and to in that is was for with house water green little under bridge", "fr": "le la les des une dans pour avec est être maison verte petite eau sous pont"}
+    rows = []
+    for k in range(120):
+        g = ("en", "fr")[k % 2]
+        rows.append((k, "\n".join(" ".join(R.choice(words[g].split()) + R.choice(["", f"{R.randint(0, 99)}x"]) for _ in range(14)) for _ in range(4)), g, 1))
+    rows += [(200, rows[0][1], "en", 1), (201, rows[0][1] + " end", "en", 1), (202, "12 34 !!", "en", 1), (203, None, "en", 1), (204, "too short", "en", 1), (205, rows[2][1] * 4, "en", 1), (None, rows[4][1], "en", 1), (0, rows[0][1], "en", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, key int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1) for k in range(120)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, str(tmp_path))
+        assert after.columns == docs.columns
+        after.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        kept[name] = Counter(r.doc_id for r in docs.collect())
+    every = Counter(r[0] for r in rows)
+    assert every - kept["language"] == Counter([202, 203])
+    assert kept["language"] - kept["quality"] == Counter([204, 205])
+    assert kept["quality"] - kept["near_duplicates"] == Counter([0, 200, 201, 4])  # the smallest id stays, a null one first
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in pieces} == set(kept["near_duplicates"])
+    assert len(pieces) == len(corpus_pipeline.run(spark, str(tmp_path)).collect())
