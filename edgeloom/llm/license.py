@@ -40,9 +40,9 @@ NAMES: dict[str, list[str]] = {
     "LGPL": ["LGPL-2.1-only", "LGPL-3.0-or-later", "LGPLv2.1", "LGPLv3", "LGPL, version 2.1", "GNU LGPL", "GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License"],
     "BSD": ["BSD-3-Clause", "BSD-2-Clause", "BSD", "BSD 3-Clause", "BSD 2-Clause", "New BSD", "Simplified BSD"],
     "MPL-2.0": ["MPL-2.0", "MPL 2.0", "Mozilla Public License, Version 2.0", "Mozilla Public License 2.0"],
-    "CC-BY": ["CC-BY-4.0", "CC BY 4.0", "CC BY 3.0", "Creative Commons Attribution 4.0 International"],
-    "CC-BY-SA": ["CC-BY-SA-4.0", "CC BY-SA 4.0", "CC BY-SA 3.0", "Creative Commons Attribution-ShareAlike 4.0 International"],
-    "CC-BY-NC": ["CC-BY-NC-4.0", "CC BY-NC 4.0", "CC BY-NC 3.0", "Creative Commons Attribution-NonCommercial 4.0 International"],
+    "CC-BY": ["CC-BY-4.0", "CC BY 4.0", "CC BY 3.0", "Creative Commons Attribution", "Creative Commons Attribution 4.0 International"],
+    "CC-BY-SA": ["CC-BY-SA-4.0", "CC BY-SA 4.0", "CC BY-SA 3.0", "Creative Commons Attribution-ShareAlike", "Creative Commons Attribution-ShareAlike 4.0 International"],
+    "CC-BY-NC": ["CC-BY-NC-4.0", "CC BY-NC 4.0", "CC BY-NC 3.0", "Creative Commons Attribution-NonCommercial", "Creative Commons Attribution-NonCommercial 4.0 International"],
     "CC0": ["CC0-1.0", "CC0", "CC0 1.0 Universal", "Creative Commons Zero v1.0"],
     "ISC": ["ISC"],
 }
