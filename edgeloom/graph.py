@@ -6,7 +6,7 @@ import atexit
 import uuid
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -54,13 +54,48 @@ def keep(df: DataFrame, name: str = "step") -> DataFrame:
     What iterations need to stay short, and what survives a lost executor. The files go when the process ends.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_edgeloom_shared"
-    path = f"{folder.rstrip('/')}/edgeloom-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/edgeloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset a folder in the warehouse, on one machine only, since elsewhere that may be local."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_edgeloom_shared"
+    return folder.rstrip("/")
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Remove the files of kept tables that nothing reads any more."""
+    for t in tables:
+        if t is not None:
+            for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+                if "/edgeloom-" in path:
+                    _remove(t.sparkSession, path)
+
+
+def ranked(df: DataFrame, order: list) -> DataFrame:
+    """df with rank from 1 in a global order and m, the number of rows; the table is kept.
+
+    Rows are cut into ranges of the whole order, so ties in its first column do not meet in one task, and numbered within each; the
+    ranges' totals, a row a range, shift the numbers. order must tell all rows apart.
+    """
+    spark, base = df.sparkSession, keep(df, "unranked")  # read twice: once for the bounds of the ranges
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    t = keep(base.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    release(base)
+    sizes = t.groupBy(F.shiftright("_at", 33).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # n rows
+    sizes = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("m"))
+    t = t.withColumn("_b", F.shiftright("_at", 33)).join(F.broadcast(sizes), "_b")
+    return t.withColumn("rank", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before") + 1).drop("_b", "_at", "_before")
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

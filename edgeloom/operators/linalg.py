@@ -7,11 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.functions.rng import digest, normal, sign, uniform
-from edgeloom.graph import Graph, keep
+from edgeloom.graph import Graph, keep, release
 
 #: Up to so many vertices the pseudo-inverse is taken densely, in one task (72 MB).
 DENSE = 3000
@@ -36,10 +36,67 @@ def quadratic_form(vertices_x: Column, edges: DataFrame, by: list[str]) -> DataF
 
 
 def random_forms(edges: DataFrame, vectors: int = 100, by: list[str] | None = None, seed: int = 7, gaussian: bool = False) -> DataFrame:
-    """(by, vector, q): x'Lx for hashed vectors x of signs (or normals), all variants in one plan and no matrix."""
-    e = edges.withColumn("vector", F.explode(F.sequence(F.lit(0), F.lit(vectors - 1))))
-    x = (lambda c: normal(digest(seed, "vector", c))) if gaussian else (lambda c: sign(digest(seed, "vector", c)))
-    return quadratic_form(x("src") - x("dst"), e, by or [])
+    """(by, vector, q): x'Lx for hashed vectors x of signs (or normals), all variants in one plan and no matrix.
+
+    Signs are the bits of a vertex's digest, 128 vectors to one, so an edge's two digests serve for as many.
+    """
+    number = F.explode(F.sequence(F.lit(0), F.lit(vectors - 1))).alias("vector")
+    if gaussian:
+        x = lambda c: normal(digest(seed, "vector", c))
+        return quadratic_form(x("src") - x("dst"), edges.select("*", number), by or [])
+    word = lambda c, k: F.conv(F.substring(digest(f"{seed}:{k // 4}", c), 1 + k % 4 * 8, 8), 16, 10).cast("long")
+    differ = F.array(*(word("src", k).bitwiseXOR(word("dst", k)) for k in range(-(-vectors // 32))))
+    e = edges.select(*(by or []), "w", differ.alias("d")).select("*", number)
+    bit = F.getbit(F.get("d", (F.col("vector") / 32).cast("int")), F.col("vector") % 32)
+    return quadratic_form(2.0 * bit, e, by or [])
+
+
+def form_similarity(variants: DataFrame, original: Graph, keys: list[str], vectors: int = 100, seed: int = 7) -> DataFrame:
+    """(keys, ratio_min, ratio_max, ratio_mean, ratio_std): x'L_H x over x'L_G x for normal vectors x, of each variant H."""
+    base = random_forms(original.edges, vectors, None, seed, True).withColumnRenamed("q", "base")
+    r = random_forms(variants, vectors, keys, seed, True).join(F.broadcast(base), "vector").withColumn("r", F.col("q") / F.col("base"))  # a row a vector
+    return r.groupBy(*keys).agg(F.min("r").alias("ratio_min"), F.max("r").alias("ratio_max"), F.avg("r").alias("ratio_mean"), F.stddev_pop("r").alias("ratio_std"))
+
+
+def top_eigenvalues(g: Graph, k: int = 4, rounds: int = 30, seed: int = 7) -> DataFrame:
+    """(nth, value): the largest eigenvalues of the Laplacian, by orthogonal iteration on k hashed columns: products are joins, the k by
+    k matrices of inner products reach the driver."""
+    lap = keep(laplacian(g), "laplacian")
+    cols = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("col")
+    x = keep(g.vertices.select("id", cols).select("id", "col", normal(digest(seed, "id", "col")).alias("x")), "basis")
+    values = np.zeros(k)
+    for _ in range(rounds):
+        got = {(r["a"], r["b"]): r["v"] for r in x.join(x.select("id", F.col("col").alias("b"), F.col("x").alias("y")), "id").groupBy(F.col("col").alias("a"), "b").agg(F.sum(F.col("x") * F.col("y")).alias("v")).collect()}
+        turn = np.linalg.inv(np.linalg.cholesky(np.array([[got[i, j] for j in range(k)] for i in range(k)])))  # rows: the new basis in the old
+        rows = g.spark.createDataFrame([(j, i, float(turn[i, j])) for i in range(k) for j in range(k)], "col long, new long, t double")
+        q = keep(x.join(F.broadcast(rows), "col").groupBy("id", F.col("new").cast("int").alias("col")).agg(F.sum(F.col("x") * F.col("t")).alias("x")), "basis")
+        y = lap.join(q.select(F.col("id").alias("j"), "col", "x"), "j").groupBy(F.col("i").alias("id"), "col").agg(F.sum(F.col("v") * F.col("x")).alias("y"))
+        new = keep(q.join(y, ["id", "col"], "left").select("id", "col", "x", F.coalesce("y", F.lit(0.0)).alias("y")), "basis")
+        values = np.array([r["v"] for r in new.groupBy("col").agg(F.sum(F.col("x") * F.col("y")).alias("v")).orderBy("col").collect()])
+        release(x, q)
+        x = new.select("id", "col", F.col("y").alias("x"))
+    return g.spark.createDataFrame([(i, float(v)) for i, v in enumerate(sorted(values, reverse=True))], "nth int, value double")
+
+
+def electrical_closeness(g: Graph) -> DataFrame:
+    """(id, score): (n - 1) over the sum of effective resistances to all others, by the dense pseudo-inverse; up to DENSE vertices of a
+    connected graph."""
+    n = g.vertices.count()
+    if n > DENSE:
+        raise ValueError(f"electrical closeness is for at most {DENSE} vertices")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(np.r_[pdf.src, pdf.dst])
+        a, b = np.searchsorted(ids, pdf.src), np.searchsorted(ids, pdf.dst)
+        m = np.zeros((len(ids), len(ids)))
+        np.add.at(m, (a, b), -pdf.w)
+        np.add.at(m, (b, a), -pdf.w)
+        m[np.diag_indices(len(ids))] = -m.sum(1)
+        d = np.diag(np.linalg.pinv(m, hermitian=True))
+        return pd.DataFrame({"id": ids, "score": (len(ids) - 1) / (len(ids) * d + d.sum())})
+
+    s = g.edges.select("src", "dst", "w").groupBy(F.lit("all").alias("one")).applyInPandas(run, "id long, score double")
+    return g.vertices.join(s, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def _propagate(x: DataFrame, e: DataFrame, value: Column) -> DataFrame:
@@ -62,6 +119,7 @@ def pagerank(g: Graph, rounds: int = 20, damping: float = 0.85, tolerance: float
         new = keep(x.join(y, x["id"] == y["to"], "left").select("id", "score", (F.lit(damping) * F.coalesce("got", F.lit(0.0)) + F.lit((1 - damping) / n * total)).alias("next")), "rank")
         if tolerance is not None and new.agg(F.sqrt(F.sum(F.pow(F.col("next") - F.col("score"), 2)))).first()[0] < tolerance:
             return new.select("id", "score")
+        release(x)
         x = new.select("id", F.col("next").alias("score"))
     return x
 
@@ -84,6 +142,7 @@ def _power(g: Graph, rounds: int, alpha: float, beta: float) -> DataFrame:
         y = _propagate(x, e, F.col("w") * F.col("score"))
         new = keep(x.join(y, x["id"] == y["to"], "left").select("id", (alpha * F.coalesce("got", F.lit(0.0)) + beta).alias("score")), "power")
         norm = new.agg(F.sqrt(F.sum(F.col("score") * F.col("score")))).first()[0] or 1.0
+        release(x)
         x = new.select("id", (F.col("score") / F.lit(norm)).alias("score"))
     return x
 
@@ -154,23 +213,26 @@ def embedding(g: Graph, k: int | None = None, tolerance: float = 1e-2, rounds: i
     diag = lap.where("i = j").select(F.col("i").alias("id"), F.col("v").alias("d"))
 
     def centred(df: DataFrame, c: str) -> DataFrame:
-        mean = F.avg(c).over(Window.partitionBy("comp", "col"))
-        return df.withColumn(c, F.col(c) - mean)
+        mean = df.groupBy("comp", "col").agg(F.avg(c).alias("_mean"))  # partial sums first, so a giant component is no one task
+        return df.join(mean, ["comp", "col"]).withColumn(c, F.col(c) - F.col("_mean")).drop("_mean")
 
     grid = diag.select("id", "d", cols).join(comp, "id")
     s = grid.join(b, ["id", "col"], "left").select("id", "col", "comp", "d", F.lit(0.0).alias("x"), F.coalesce("b", F.lit(0.0)).alias("r"))
-    s = centred(s, "r").withColumn("p", F.col("r") / F.col("d"))
-    s = keep(s, "cg")
+    raw = keep(s, "cg")
+    s = keep(centred(raw, "r").withColumn("p", F.col("r") / F.col("d")), "cg")
+    release(raw)
     dots = {r["col"]: r for r in s.groupBy("col").agg(F.sum(F.col("r") * F.col("r") / F.col("d")).alias("rz"), F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("norm")).collect()}  # k rows
     rz, goal = {c: r["rz"] for c, r in dots.items()}, {c: tolerance * r["norm"] for c, r in dots.items()}
     spark = g.spark
     for _ in range(rounds):
         ap = lap.join(s.select(F.col("id").alias("j"), "col", "p"), "j").groupBy(F.col("i").alias("id"), "col").agg(F.sum(F.col("v") * F.col("p")).alias("ap"))
         t = keep(s.join(ap, ["id", "col"]), "cg")
+        release(s)
         pap = {r["col"]: r["v"] for r in t.groupBy("col").agg(F.sum(F.col("p") * F.col("ap")).alias("v")).collect()}
-        alpha = [(c, rz[c] / pap[c] if pap[c] > 0 else 0.0) for c in rz]
+        last, alpha = t, [(c, rz[c] / pap[c] if pap[c] > 0 else 0.0) for c in rz]
         t = t.join(F.broadcast(spark.createDataFrame(alpha, "col int, alpha double")), "col").select("id", "col", "comp", "d", (F.col("x") + F.col("alpha") * F.col("p")).alias("x"), (F.col("r") - F.col("alpha") * F.col("ap")).alias("r"), "p")
         t = keep(t, "cg")
+        release(last)
         new = {r["col"]: r for r in t.groupBy("col").agg(F.sum(F.col("r") * F.col("r") / F.col("d")).alias("rz"), F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("norm")).collect()}
         beta = [(c, new[c]["rz"] / rz[c] if rz[c] > 0 else 0.0) for c in rz]
         rz = {c: new[c]["rz"] for c in rz}
@@ -221,13 +283,25 @@ def er_sample(probs: DataFrame, q: int, run: int = 0) -> DataFrame:
                 total = total + term
                 n[open_] = k
                 open_ &= (u >= total) & (k < 10 * lam + 100)
-            n[lam > 700] = np.round(lam[lam > 700])
+            n = np.where(lam > 700, np.maximum(0, np.round(lam + np.sqrt(lam) * pdf.z)), n)  # so close to normal there
             yield pdf.assign(n=n)[["src", "dst", "w", "p", "n"]]
 
-    t = probs.select("src", "dst", "w", "p", uniform(h).alias("u")).mapInPandas(count, "src long, dst long, w double, p double, n double").where("n > 0")
+    t = probs.select("src", "dst", "w", "p", uniform(h).alias("u"), normal(digest(f"{run}z", "src", "dst")).alias("z")).mapInPandas(count, "src long, dst long, w double, p double, n double").where("n > 0")
     return t.select("src", "dst", (F.col("n") * F.col("w") / (F.lit(float(q)) * F.col("p"))).alias("w"))
 
 
+def er_sweep(probs: DataFrame, n: int, eps: list[float], runs: int = 1) -> DataFrame:
+    """Variants (src, dst, w, algo, prune_rate, run): samples at each accuracy, from one table of probabilities; prune_rate is what
+    each sample takes away."""
+    m, parts = probs.count(), None
+    for e in eps:
+        for run in range(runs):
+            s = er_sample(probs, draws(n, e), run).withColumn("asked", F.lit(e)).withColumn("run", F.lit(run))
+            parts = s if parts is None else parts.unionByName(s)
+    sizes = parts.groupBy("asked", "run").agg(F.bround(1 - F.count(F.lit(1)) / F.lit(max(m, 1)), 2).alias("prune_rate"))
+    return parts.join(F.broadcast(sizes), ["asked", "run"]).select("src", "dst", "w", F.lit("er").alias("algo"), "prune_rate", "run")  # a row a sample
+
+
 def er_sample_min1(resistances: DataFrame, n: int, eps: float = 0.3, c: float = 4.0, run: int = 0) -> DataFrame:
     """The other formula: p = min(1, r w c ln n / eps^2), ceil(n ln n / eps^2) draws, each adding w / p."""
     p = F.least(F.lit(1.0), F.col("r") * F.col("w") * F.lit(c * math.log(n) / eps**2))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.functions.rng import digest
 from edgeloom.functions.stats import bhattacharyya
-from edgeloom.graph import Graph, keep
+from edgeloom.graph import Graph, both_ways, canonical, keep, release
 
 KEYS = ["algo", "prune_rate", "run"]
 
@@ -47,12 +47,59 @@ def label_propagation(g: Graph, rounds: int | None = 5) -> DataFrame:
         best = votes.groupBy("src").agg(F.min(F.struct((-F.col("votes")).alias("v"), "comm"))["comm"].alias("best"))
         new = keep(labels.join(best, labels["id"] == best["src"], "left").select("id", F.coalesce("best", "comm").alias("comm")), "labels")
         settled = rounds is None and any(x is not None and not new.exceptAll(x).limit(1).count() for x in (labels, before))
+        release(before)
         before, labels = labels, new
         if settled:
             break
     return labels
 
 
+def louvain(g: Graph, rounds: int = 20, levels: int = 8, seed: int = 7) -> DataFrame:
+    """(id, comm): communities by moves that raise the weighted modularity, on the graph and then on the graph of its communities.
+
+    In a round every vertex finds the neighbouring community of the largest gain; of those that gain, a hashed half moves at once, so
+    neighbours seldom swap. The best labels of a level are kept; a level ends after three rounds that are no better.
+    """
+    e = keep(canonical(g.edges), "level")
+    where = keep(g.vertices.select("id", F.col("id").alias("comm")), "labels")
+    loops = where.select("id", F.lit(0.0).alias("inner"))  # weight inside what a vertex of this level stands for
+    m = e.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+    if not m:
+        return where
+    for level in range(levels):
+        n = keep(both_ways(e).select("src", "dst", "w"), "nbrs")
+        k = keep(loops.join(n.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("out")), "id", "left").select("id", "inner", (F.coalesce("out", F.lit(0.0)) + 2 * F.col("inner")).alias("k")), "weights")
+        comm = keep(k.select("id", F.col("id").alias("c")), "comm")
+        best, kept, worse = -1.0, comm, 0
+        for step in range(rounds):
+            now = comm.join(k, "id")
+            size = now.groupBy("c").agg(F.sum("k").alias("tot"), F.sum("inner").alias("loops"))
+            links = n.join(comm, n["dst"] == comm["id"]).groupBy("src", "c").agg(F.sum("w").alias("to"))
+            inside = links.join(comm.withColumnRenamed("c", "own"), links["src"] == comm["id"]).where("c = own").groupBy("c").agg((F.sum("to") / 2).alias("links"))
+            q = size.join(inside, "c", "left").agg(F.sum((F.coalesce("links", F.lit(0.0)) + F.col("loops")) / m - F.pow(F.col("tot") / (2 * m), 2))).first()[0]
+            if q > best + 1e-9:
+                best, kept, worse = q, comm, 0
+            else:
+                worse += 1
+            if worse == 3:
+                break
+            every = links.withColumnRenamed("src", "id").unionByName(comm.select("id", "c", F.lit(0.0).alias("to"))).groupBy("id", "c").agg(F.sum("to").alias("to"))
+            every = every.join(now.select("id", F.col("c").alias("own"), "k"), "id").join(size.select("c", "tot"), "c")
+            gain = F.col("to") - F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / (2 * m)
+            pick = every.withColumn("gain", gain).groupBy("id").agg(F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"), F.max("gain").alias("top"), F.min(F.struct((-F.col("gain")).alias("g"), "c"))["c"].alias("to"), F.first("own").alias("own"))
+            moves = (F.col("top") > F.col("stay") + 1e-9) & (F.substring(digest(f"{seed}:{level}:{step}", "id"), 1, 1) < "8")
+            comm = keep(pick.select("id", F.when(moves, F.col("to")).otherwise(F.col("own")).alias("c")), "comm")
+        if not kept.where("id <> c").limit(1).count():
+            return where
+        where = keep(where.join(kept.select(F.col("id").alias("comm"), "c"), "comm").select("id", F.col("c").alias("comm")), "labels")
+        a, b = kept.select(F.col("id").alias("src"), F.col("c").alias("ca")), kept.select(F.col("id").alias("dst"), F.col("c").alias("cb"))
+        joined = keep(e.join(a, "src").join(b, "dst").groupBy(F.least("ca", "cb").alias("src"), F.greatest("ca", "cb").alias("dst")).agg(F.sum("w").alias("w")), "level")
+        inner = joined.where("src = dst").select(F.col("src").alias("id"), F.col("w").alias("x"))
+        loops = keep(kept.join(loops, "id").groupBy(F.col("c").alias("id")).agg(F.sum("inner").alias("inner")).join(inner, "id", "left").select("id", (F.col("inner") + F.coalesce("x", F.lit(0.0))).alias("inner")), "loops")
+        e = joined.where("src <> dst")
+    return where
+
+
 def modularity(g: Graph, labels: DataFrame) -> DataFrame:
     """One row: communities, modularity = sum of L/m - (D/2m)^2, on unit weights."""
     m = g.edges.count()
@@ -98,6 +145,53 @@ def spsp_stretch(base: DataFrame, pruned: DataFrame, pairs: DataFrame) -> DataFr
     return t.select("source", "id", ratio(F.col("d"), F.col("b")).alias("ratio"))
 
 
+def stacked(variants: DataFrame, vertices: DataFrame, directed: bool = False) -> tuple[Graph, DataFrame]:
+    """(graph of all variants side by side, (KEYS, nth)): variant nth has its vertices shifted by nth times the number of ids, so one
+    traversal serves all. The number of variants is that of a sweep; a row of nth each."""
+    step = int(vertices.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]) + 1
+    names = variants.select(*KEYS).distinct().orderBy(*KEYS).collect()
+    nth = variants.sparkSession.createDataFrame([(*r, i) for i, r in enumerate(names)], variants.select(*KEYS, F.lit(0).cast("long").alias("nth")).schema)
+    move = lambda c: (F.col(c) + F.col("nth") * step).alias(c)
+    e = variants.join(F.broadcast(nth), KEYS).select(move("src"), move("dst"), "w")
+    return Graph(vertices.join(F.broadcast(nth.select("nth"))).select(move("id")), e, directed), nth.withColumn("shift", F.col("nth") * step)
+
+
+def eccentricities(variants: DataFrame, original: Graph, sources: DataFrame) -> DataFrame:
+    """(KEYS, source, ecc, base): hops to the farthest vertex that is reached, 0 if there is none, in each variant and in the original."""
+    from edgeloom.operators.traverse import distances
+
+    o = original.edges.select("src", "dst", "w", F.lit("").alias("algo"), F.lit(0.0).alias("prune_rate"), F.lit(0).alias("run"))
+    g, nth = stacked(variants.select(o.columns).unionByName(o), original.vertices, original.directed)
+    s = sources.join(F.broadcast(nth)).select(*KEYS, F.col("source").alias("of"), (F.col("source") + F.col("shift")).alias("source"))
+    far = distances(g, s.select("source")).groupBy("source").agg(F.max("dist").alias("ecc"))
+    t = keep(s.join(far, "source").select(*KEYS, F.col("of").alias("source"), "ecc"), "ecc")
+    return t.where("algo <> ''").join(t.where("algo = ''").select("source", F.col("ecc").alias("base")), "source").select(*KEYS, "source", "ecc", "base")
+
+
+def eccentricity_distance(ecc: DataFrame, groups: int = 20) -> DataFrame:
+    """(KEYS, distance, ratio_min, ratio_max, ratio_mean, ratio_std) of eccentricities(): how far the distribution over `groups` equal
+    parts of 0 .. its own largest lies from the original's, and the ratios where the original's is not 0."""
+    w = Window.partitionBy(*KEYS)  # as many rows as sources
+
+    def parts(c: str, name: str) -> DataFrame:
+        top = ecc.withColumn("n", F.max(c).over(w) + 1).withColumn("all", F.count(F.lit(1)).over(w))
+        at = F.ceil((F.col(c) + 1) * groups / F.col("n")) - 1
+        return top.groupBy(*KEYS, at.alias("part")).agg((F.count(F.lit(1)) / F.first("all")).alias(name))
+
+    d = parts("ecc", "p").join(parts("base", "q"), [*KEYS, "part"], "full").groupBy(*KEYS).agg(bhattacharyya(F.col("p"), F.col("q")).alias("distance"))
+    r = F.when(F.col("base") != 0, F.col("ecc") / F.col("base"))
+    s = ecc.groupBy(*KEYS).agg(F.min(r).alias("ratio_min"), F.max(r).alias("ratio_max"), F.avg(r).alias("ratio_mean"), F.stddev_pop(r).alias("ratio_std"))
+    return d.join(s, KEYS)
+
+
+def score_ratios(base: DataFrame, pruned: DataFrame) -> DataFrame:
+    """One row: ratio_min, ratio_max, ratio_mean, ratio_std of pruned over base scores (id, score) where base is not 0, and the mean of
+    the pruned ones."""
+    t = base.withColumnRenamed("score", "b").join(pruned, "id")
+    r = F.when(F.col("b") != 0, F.col("score") / F.col("b"))
+    return t.agg(F.min(r).alias("ratio_min"), F.max(r).alias("ratio_max"), F.avg(r).alias("ratio_mean"), F.stddev_pop(r).alias("ratio_std"), F.avg("score").alias("mean"))
+
+
 def sample_pairs(g: Graph, sources: int = 100, targets: int = 1000, seed: int = 7) -> DataFrame:
     """(source, id): hashed sources times up to `targets` hashed other vertices each; both numbers are bounds of the sample."""
     s = g.vertices.orderBy(digest(f"{seed}s", "id"), "id").limit(sources).select(F.col("id").alias("source"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.graph import Graph, both_ways
+from edgeloom.graph import Graph, both_ways, ranked
 
 
 def to_undirected(edges: DataFrame) -> DataFrame:
@@ -52,13 +52,6 @@ def is_symmetric(edges: DataFrame) -> DataFrame:
     return asymmetric(edges).agg((F.count(F.lit(1)) == 0).alias("symmetric"))
 
 
-def _dense_rank(df: DataFrame, blocks: str, order: list) -> DataFrame:
-    """Rank from 0 in a global order: within ranges given by a coarse, order-preserving column, shifted by their totals."""
-    sizes = df.groupBy(blocks).count().select(F.col(blocks).alias("_b"), F.coalesce(F.sum("count").over(Window.orderBy(blocks).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(blocks).orderBy(*order)) - 1)
-    return ranked.join(sizes, ranked[blocks] == sizes["_b"]).withColumn("rank", (F.col("_r") + F.col("_before")).cast("long")).drop("_b", "_r", "_before")
-
-
 def renumber(edges: DataFrame, order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(renumbered edges, id map (old_id, new_id)): dense ids from 0, by first appearance as a source, then as a destination.
 
@@ -69,8 +62,7 @@ def renumber(edges: DataFrame, order: list[str] | None = None) -> tuple[DataFram
     s = edges.groupBy(F.col("src").alias("old_id")).agg(F.min(key).alias("k")).select("old_id", F.lit(0).alias("part"), "k")
     d = edges.groupBy(F.col("dst").alias("old_id")).agg(F.min(key).alias("k")).select("old_id", F.lit(1).alias("part"), "k")
     first = s.unionByName(d).groupBy("old_id").agg(F.min(F.struct("part", "k")).alias("f"))
-    first = first.withColumn("block", F.col("f.part") * F.lit(1 << 40) + F.shiftright(F.col(f"f.k.{order[0]}").cast("long"), 12))
-    ids = _dense_rank(first, "block", ["f", "old_id"]).select("old_id", F.col("rank").alias("new_id"))
+    ids = ranked(first, ["f", "old_id"]).select("old_id", (F.col("rank") - 1).alias("new_id"))
     return apply_map(edges, ids), ids
 
 
@@ -102,8 +94,7 @@ def removed(original: DataFrame, kept: DataFrame) -> DataFrame:
 
 def relabel_by_degree(g: Graph) -> Graph:
     """Ids from 0 by descending degree, ties by descending id."""
-    d = g.degrees().withColumn("block", -F.col("deg"))
-    ids = _dense_rank(d, "block", [F.desc("deg"), F.desc("id")]).select(F.col("id").alias("old_id"), F.col("rank").alias("new_id"))
+    ids = ranked(g.degrees(), [F.desc("deg"), F.desc("id")]).select(F.col("id").alias("old_id"), (F.col("rank") - 1).alias("new_id"))
     e = apply_map(g.edges, ids)
     e = e if g.directed else e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w")
     return Graph(ids.select(F.col("new_id").alias("id")), e, g.directed)

@@ -1,47 +1,32 @@
 """Pruning by score and rank. Every operator ranks once; any number of rates is then a filter on the rank.
 
-Global ranks never put all edges in one task: edges are cut into ranges of the score, ranked within each, and shifted by the
-running totals of the ranges. Variants carry (algo, prune_rate, run).
+Global ranks never put all edges in one task; see graph.ranked(). Variants carry (algo, prune_rate, run).
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.functions.rng import digest, uniform
-from edgeloom.graph import Graph
+from edgeloom.graph import Graph, keep, ranked
 from edgeloom.operators.neighbors import jaccard, scan_similarity
 
-RANGES = 4096
-
-
-def global_rank(edges: DataFrame, block: Column, order: list) -> DataFrame:
-    """edges with rank from 1 and m, the number of edges. block: an integer column that never falls along the order."""
-    e = edges.withColumn("_b", block)
-    sizes = e.groupBy("_b").count()  # at most as many rows as ranges
-    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(F.col("_b").alias("_c"), F.coalesce(F.sum("count").over(w), F.lit(0)).alias("_before"), F.sum("count").over(Window.partitionBy()).alias("m"))
-    e = e.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(*order)))
-    return e.join(sizes, e["_b"] == sizes["_c"]).withColumn("rank", (F.col("_r") + F.col("_before")).cast("long")).drop("_b", "_c", "_r", "_before")
-
-
 def rank_by_hash(edges: DataFrame, seed: int = 7) -> DataFrame:
-    h = edges.withColumn("h", digest(seed, "src", "dst"))
-    return global_rank(h, F.conv(F.substring("h", 1, 3), 16, 10).cast("int"), ["h", "src", "dst"]).drop("h")
+    return ranked(edges.withColumn("h", digest(seed, "src", "dst")), ["h", "src", "dst"]).drop("h")
 
 
 def rank_by_score(scored: DataFrame) -> DataFrame:
-    """Highest score first; scores lie between 0 and 1. Ties by (src, dst)."""
-    return global_rank(scored, F.floor((1 - F.col("score")) * RANGES).cast("int"), [F.desc("score"), "src", "dst"])
+    """Highest score first; ties by (src, dst)."""
+    return ranked(scored, [F.desc("score"), "src", "dst"])
 
 
-def variants(ranked: DataFrame, algo: str, rates: list[float], run: int = 0) -> DataFrame:
-    """The edges kept at each prune rate: floor((1 - rate) * m + 0.5) of them, all from one ranking."""
+def variants(edges: DataFrame, algo: str, rates: list[float], run: int = 0) -> DataFrame:
+    """The edges kept at each prune rate, floor((1 - rate) * m + 0.5) of them. edges: with rank and m."""
     at = F.explode(F.array(*(F.struct(F.lit(r).alias("prune_rate"), F.lit(1 - r).alias("ratio")) for r in rates)))
-    v = ranked.select("src", "dst", "w", "rank", "m", at.alias("p"))
+    v = edges.select("src", "dst", "w", "rank", "m", at.alias("p"))
     v = v.where(F.col("rank") <= F.floor(F.col("p.ratio") * F.col("m") + 0.5))
     return v.select("src", "dst", "w", F.lit(algo).alias("algo"), F.col("p.prune_rate").alias("prune_rate"), F.lit(run).alias("run"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.functions.rng import digest
-from edgeloom.graph import Graph, keep
+from edgeloom.graph import Graph, canonical, keep, ranked, release
 from edgeloom.operators.neighbors import triangles
 
 
@@ -22,6 +22,7 @@ def connected_components(g: Graph) -> DataFrame:
         low = labels.join(near, labels["id"] == near["src"], "left").select("id", "comp", F.least("comp", F.coalesce("near", "comp")).alias("low"))
         up = labels.select(F.col("id").alias("up"), F.col("comp").alias("upper"))
         new = keep(low.join(up, low["low"] == up["up"]).select("id", F.least("low", "upper").alias("comp"), (F.least("low", "upper") < F.col("comp")).alias("moved")), "comp")
+        release(labels)
         labels = new.select("id", "comp")
         if not new.where("moved").limit(1).count():
             return labels
@@ -59,7 +60,8 @@ def distances(g: Graph, sources: DataFrame, weighted: bool = False, depth: int |
         reach = state.where("new").join(e, state["id"] == e["src"]).groupBy("source", F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("len")).alias("cand"))
         both = state.select("source", "id", "dist").join(reach, ["source", "id"], "full")
         better = F.col("dist").isNull() | (F.col("cand") < F.col("dist"))
-        state = keep(both.select("source", "id", F.least("dist", "cand").alias("dist"), F.coalesce(better, F.lit(False)).alias("new")), "dist")
+        last, state = state, keep(both.select("source", "id", F.least("dist", "cand").alias("dist"), F.coalesce(better, F.lit(False)).alias("new")), "dist")
+        release(last)
         step += 1
     return state.select("source", "id", "dist")
 
@@ -77,6 +79,14 @@ def eccentricity(dist: DataFrame, targets: DataFrame | None = None) -> DataFrame
     return dist.select("source").distinct().join(far, "source", "left").select("source", F.when(F.col("far") > 0, F.col("far")).otherwise(F.lit(float("inf"))).alias("ecc"))
 
 
+def largest_component(g: Graph) -> Graph:
+    """The subgraph of the component of most vertices; of equally large ones that of the smallest id."""
+    comp = keep(connected_components(g), "comp")
+    top = comp.groupBy("comp").count().orderBy(F.desc("count"), "comp").limit(1).select("comp")
+    v = keep(comp.join(F.broadcast(top), "comp", "left_semi").select("id"), "largest")  # one row
+    return Graph(v, g.edges.join(v.select(F.col("id").alias("src")), "src", "left_semi").join(v.select(F.col("id").alias("dst")), "dst", "left_semi"), g.directed)
+
+
 def effective_diameter(g: Graph, sources: DataFrame, share: float = 0.9) -> DataFrame:
     """One row: the least number of hops within which `share` of the reachable pairs from the sources lie."""
     hops = distances(g, sources).where("dist > 0").groupBy("dist").agg(F.count(F.lit(1)).alias("n"))
@@ -124,6 +134,26 @@ def betweenness(g: Graph, pivots: DataFrame) -> DataFrame:
     return g.vertices.join(s, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def betweenness_sampled(g: Graph, pairs: DataFrame) -> DataFrame:
+    """(id, score): the mean over sampled pairs (s, t) of the share of their shortest paths that pass through a vertex, an estimate of
+    betweenness over all pairs."""
+    n = max(1, pairs.count())
+    a = keep(_path_counts(g, pairs.select(F.col("s").alias("source")).distinct()), "from")
+    back = Graph(g.vertices, g.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"), g.directed)
+    b = keep(_path_counts(back, pairs.select(F.col("t").alias("source")).distinct()), "to")
+    ends = pairs.join(a, (pairs["s"] == a["source"]) & (pairs["t"] == a["id"])).select("s", "t", F.col("dist").alias("d"), F.col("sigma").alias("all"))
+    half = ends.join(a.select(F.col("source").alias("s"), "id", F.col("dist").alias("da"), F.col("sigma").alias("sa")), "s").where("id <> s and id <> t")
+    via = half.join(b.select(F.col("source").alias("t"), "id", F.col("dist").alias("db"), F.col("sigma").alias("sb")), ["t", "id"]).where("da + db = d")
+    s = via.groupBy("id").agg((F.sum(F.col("sa") * F.col("sb") / F.col("all")) / F.lit(float(n))).alias("score"))
+    return g.vertices.join(s, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def closeness_sampled(g: Graph, pivots: DataFrame) -> DataFrame:
+    """(id, score): the pivots reached over the sum of distances from them, an estimate of closeness; 0 where none is."""
+    s = distances(g, pivots).where("source <> id").groupBy("id").agg((F.count(F.lit(1)) / F.sum("dist")).alias("score"))
+    return g.vertices.join(s, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def _path_counts(g: Graph, sources: DataFrame) -> DataFrame:
     """(source, id, dist, sigma): hops, and the number of shortest paths."""
     e = keep(g.both().select("src", "dst").distinct(), "nbrs")
@@ -138,21 +168,22 @@ def _path_counts(g: Graph, sources: DataFrame) -> DataFrame:
 
 
 def core_numbers(g: Graph) -> DataFrame:
-    """(id, core): the largest k for which the vertex stays when all of degree below k are peeled away again and again."""
+    """(id, core): the largest k for which the vertex stays when all of degree below k are peeled away again and again.
+
+    Rounds of h-indices instead of peeling: starting at its degree, each vertex takes the largest h of which h neighbours have at
+    least h; the fixed point is the core number, reached in far fewer rounds than there are shells.
+    """
     n = keep(g.both().select("src", "dst").where("src <> dst").distinct(), "nbrs")
-    left = keep(g.vertices.select("id"), "left")
-    done, k = None, 0
-    while left.limit(1).count():
-        deg = n.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("deg"))
-        low = keep(left.join(deg, "id", "left").where(F.coalesce("deg", F.lit(0)) <= k).select("id"), "low")
-        if not low.limit(1).count():
-            k += 1
-            continue
-        part = low.select("id", F.lit(k).alias("core"))
-        done = part if done is None else done.unionByName(part)
-        left = keep(left.join(low, "id", "left_anti"), "left")
-        n = keep(n.join(low.select(F.col("id").alias("src")), "src", "left_anti").join(low.select(F.col("id").alias("dst")), "dst", "left_anti"), "nbrs")
-    return done if done is not None else left.select("id", F.lit(0).alias("core"))
+    deg = n.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("core"))
+    core = keep(g.vertices.join(deg, "id", "left").select("id", F.coalesce("core", F.lit(0)).alias("core")), "core")
+    down = Window.partitionBy("src").orderBy(F.desc("core"))
+    while True:
+        values = n.join(core, n["dst"] == core["id"]).groupBy("src", "core").agg(F.count(F.lit(1)).alias("c"))  # a row for each distinct value
+        h = values.withColumn("upto", F.sum("c").over(down)).groupBy("src").agg(F.max(F.least("core", "upto")).cast("int").alias("h"))
+        new = keep(core.join(h, core["id"] == h["src"], "left").select("id", F.coalesce("h", F.lit(0)).alias("core"), (F.coalesce("h", F.lit(0)) < F.col("core")).alias("moved")), "core")
+        core = new.select("id", "core")
+        if not new.where("moved").limit(1).count():
+            return core
 
 
 def k_path(g: Graph, walks: int = 1000, length: int = 5, seed: int = 7) -> DataFrame:
@@ -176,10 +207,21 @@ def local_clustering(g: Graph) -> DataFrame:
 
 
 def directed_clustering(g: Graph) -> DataFrame:
-    """(id, score): of a directed graph, the share of ordered pairs of out-neighbours that have an edge."""
+    """(id, score): of a directed graph, the share of ordered pairs of out-neighbours that have an edge.
+
+    Each triangle of the graph without directions is listed once, from low to high degree, so hubs do not square; which of its six
+    possible edges there are says what it adds to each of its corners.
+    """
     e = g.edges.select("src", "dst").where("src <> dst").distinct()
     d = e.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("deg"))
-    closed = e.alias("x").join(e.alias("z"), F.col("x.dst") == F.col("z.src")).join(e.alias("y"), (F.col("y.src") == F.col("x.src")) & (F.col("y.dst") == F.col("z.dst"))).groupBy(F.col("x.src").alias("id")).agg(F.count(F.lit(1)).alias("t"))
+    there = e.groupBy(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).agg(F.max((F.col("src") < F.col("dst")).cast("int")).alias("up"), F.max((F.col("src") > F.col("dst")).cast("int")).alias("down"))
+    there = keep(there, "pairs")
+    plain = Graph(g.vertices, there.select(F.col("x").alias("src"), F.col("y").alias("dst"), F.lit(1.0).alias("w")))
+    t = triangles(plain).select(F.sort_array(F.array("a", "b", "c")).alias("t")).select(*(F.col("t")[i].alias(n) for i, n in enumerate("abc")))
+    for x, y in ("ab", "ac", "bc"):
+        t = t.join(there.select(F.col("x").alias(x), F.col("y").alias(y), F.col("up").alias(x + y), F.col("down").alias(y + x)), [x, y])
+    corner = lambda u, v, w: F.struct(F.col(u).alias("id"), (F.col(u + v) * F.col(u + w) * (F.col(v + w) + F.col(w + v))).alias("t"))
+    closed = t.select(F.explode(F.array(corner("a", "b", "c"), corner("b", "a", "c"), corner("c", "a", "b"))).alias("x")).groupBy("x.id").agg(F.sum("x.t").alias("t"))
     s = g.vertices.join(d, "id", "left").join(closed, "id", "left")
     return s.select("id", F.when(F.col("deg") > 1, F.coalesce("t", F.lit(0)) / (F.col("deg") * (F.col("deg") - 1))).otherwise(0.0).alias("score"))
 
@@ -223,22 +265,32 @@ def rank_degree(g: Graph, ratio: float, seeds: int = 10, rho: float = 0.1, seed:
     return chosen if chosen is not None else g.edges.limit(0)
 
 
-def forest_fire(g: Graph, ratio: float, fires: int = 32, rounds: int = 6, seed: int = 7) -> DataFrame:
-    """Fires from hashed vertices burn each edge of a burning vertex with chance 0.2 (ratio above one half) or 0.6; an edge's score
-    is how many fires burnt it; the highest scores are kept, as many as the ratio says."""
+def forest_fire(g: Graph, ratio: float, fires: int = 32, burnt_ratio: float = 5.0, seed: int = 7) -> DataFrame:
+    """Fires from hashed vertices burn each edge of a burning vertex with chance 0.2 (ratio above one half) or 0.6, each until it is
+    out; `fires` at a time are lit until burnt_ratio times as many edges have burnt as there are, or every vertex has lit one. An
+    edge's score is how many fires burnt it; the highest scores are kept, as many as the ratio says, ties in hashed order."""
     from edgeloom.functions.rng import uniform
-    from edgeloom.operators.sparsify import global_rank
 
     chance = 0.2 if ratio > 0.5 else 0.6
     n = keep(g.both().select("src", "dst"), "nbrs")
-    front = sample_vertices(g, fires, seed, nonzero=True).select(F.col("id").alias("fire"), "id")
-    seen, burnt = front, None
-    for r in range(rounds):
-        lit = keep(front.join(n, front["id"] == n["src"]).where(uniform(digest(f"{seed}:{r}", "fire", "src", "dst")) < chance).select("fire", "src", "dst"), "lit")
-        burnt = lit if burnt is None else burnt.unionByName(lit)
-        front = keep(lit.select("fire", F.col("dst").alias("id")).distinct().join(seen, ["fire", "id"], "left_anti"), "front")
-        seen = seen.unionByName(front)
+    starts = keep(ranked(g.degrees().where("deg > 0").select("id", digest(seed, "id").alias("h")), ["h", "id"]), "starts")
+    left, goal, lit, burnt = starts.count(), burnt_ratio * g.edges.count(), 0, None
+    total = 0
+    while total < goal and lit < left:
+        front = keep(starts.where((F.col("rank") > lit) & (F.col("rank") <= lit + fires)).select(F.col("id").alias("fire"), "id"), "front")
+        lit, seen, r = lit + fires, front, 0
+        while front.limit(1).count():
+            fire = keep(front.join(n, front["id"] == n["src"]).where(uniform(digest(f"{seed}:{r}", "fire", "src", "dst")) < chance).select("fire", "src", "dst"), "fire")
+            burnt = fire if burnt is None else burnt.unionByName(fire)
+            total += fire.count()
+            front = keep(fire.select("fire", F.col("dst").alias("id")).distinct().join(seen, ["fire", "id"], "left_anti"), "front")
+            last, seen = seen, keep(seen.unionByName(front), "seen")
+            r += 1
+            if r > 1:
+                release(last)
+    if burnt is None:
+        return g.edges.select("src", "dst", "w").limit(0)
     s = burnt.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.countDistinct("fire").alias("visits"))
     e = g.edges.join(s, ["src", "dst"], "left").withColumn("visits", F.coalesce("visits", F.lit(0))).withColumn("h", digest(seed, "src", "dst"))
-    ranked = global_rank(e, -F.col("visits").cast("int"), [F.desc("visits"), "h", "src", "dst"])
-    return ranked.where(F.col("rank") <= F.floor(F.lit(ratio) * F.col("m") + 0.5)).select("src", "dst", "w")
+    e = ranked(e, [F.desc("visits"), "h", "src", "dst"])
+    return e.where(F.col("rank") <= F.floor(F.lit(ratio) * F.col("m") + 0.5)).select("src", "dst", "w")

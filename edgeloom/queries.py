@@ -5,6 +5,7 @@ Three views serve: the directed user graph, the undirected part graph, and the u
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +13,10 @@ from pyspark.sql import functions as F
 
 from edgeloom.functions import stats
 from edgeloom.functions.rng import digest
-from edgeloom.graph import Graph, canonical
+from edgeloom.graph import Graph, canonical, keep, release, shared_folder
 from edgeloom.operators import flow, generators, linalg, metrics, neighbors, normalize, sparsify, traverse
 from edgeloom.plans import summary, sweep
+from edgeloom.sources import files
 from edgeloom.sources.views import nation_graph, part_graph, part_supplier_graph, supplier_graph, user_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,26 +24,28 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 USER = """p as (select lag(user_id) over (order by ts, event_id) src, user_id dst from events),
-e as (select src, dst, cast(count(*) as double) w from p where src is not null and src <> dst group by src, dst),
+e as materialized (select src, dst, cast(count(*) as double) w from p where src is not null and src <> dst group by src, dst),
 v as (select distinct user_id id from events)"""
 PART = """x as (select distinct l_orderkey, l_partkey from lineitem),
-e as (select a.l_partkey src, b.l_partkey dst, cast(count(*) as double) w from x a join x b on a.l_orderkey = b.l_orderkey and a.l_partkey < b.l_partkey group by 1, 2),
+e as materialized (select a.l_partkey src, b.l_partkey dst, cast(count(*) as double) w from x a join x b on a.l_orderkey = b.l_orderkey and a.l_partkey < b.l_partkey group by 1, 2),
 v as (select p_partkey id from part)"""
 NATION = """raw as (select cast(c_nationkey as bigint) a, cast(s_nationkey as bigint) b from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey),
-e as (select least(a, b) src, greatest(a, b) dst, cast(count(*) as double) w from raw where a <> b group by 1, 2),
+e as materialized (select least(a, b) src, greatest(a, b) dst, cast(count(*) as double) w from raw where a <> b group by 1, 2),
 v as (select cast(n_nationkey as bigint) id from nation)"""
-BOTH = "n as (select src, dst, w from e union all select dst, src, w from e), d as (select v.id, count(n.src) deg from v left join n on n.src = v.id group by v.id)"
+#: The user graph as an undirected one.
+_SYM = USER.replace("e as materialized (", "a as materialized (").replace("v as (", "e as materialized (select least(src, dst) src, greatest(src, dst) dst, sum(w) w from a group by 1, 2), v as (")
+BOTH = "n as materialized (select src, dst, w from e union all select dst, src, w from e), d as materialized (select v.id, count(n.src) deg from v left join n on n.src = v.id group by v.id)"
 #: Common neighbours of the ends of each edge.
 COMMON = f"""{BOTH}, c as (select e.src, e.dst, count(*) c from e join n a on a.src = e.src join n b on b.src = e.dst and b.dst = a.dst group by 1, 2),
-s as (select e.src, e.dst, e.w, cast(coalesce(c.c, 0) as bigint) common, du.deg du, dv.deg dv from e left join c using (src, dst) join d du on du.id = e.src join d dv on dv.id = e.dst)"""
+s as materialized (select e.src, e.dst, e.w, cast(coalesce(c.c, 0) as bigint) common, du.deg du, dv.deg dv from e left join c using (src, dst) join d du on du.id = e.src join d dv on dv.id = e.dst)"""
 
 
 def h(seed: int, *keys: str) -> str:
     return f"md5(concat_ws(':', '{seed}', {', '.join(keys)}))"
 
 
-def u(x: str) -> str:
-    return f"(cast(('0x' || substr({x}, 1, 8)) as bigint) / 4294967296.0)"
+def u(x: str, at: int = 1) -> str:
+    return f"(cast(('0x' || substr({x}, {at}, 8)) as bigint) / 4294967296.0)"
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -82,12 +86,12 @@ _edges("sort_edges", user_graph, lambda g: normalize.sort_edges(g.edges), f"with
 _edges("zero_to_one_base", user_graph, lambda g: normalize.rebase(g.edges), f"with {USER} select src + 1 src, dst + 1 dst, w from e")
 _edges("is_symmetric", user_graph, lambda g: normalize.is_symmetric(g.edges), f"with {USER} select count(*) = 0 as symmetric from e a where not exists (select 1 from e b where b.src = a.dst and b.dst = a.src)")
 _edges("asymmetric_edges", user_graph, lambda g: normalize.asymmetric(g.edges), f"with {USER} select src, dst from e a where not exists (select 1 from e b where b.src = a.dst and b.dst = a.src)")
-_RENUMBER = f"""with {USER}, f as (select src, dst, row_number() over (order by src, dst) rn from e where src % 3 = 1),
+_RENUMBER = f"""with {USER}, f as (select src, dst, row_number() over (order by src, dst) rn from e),
 a as (select src id, 0 part, min(rn) rn from f group by 1 union all select dst, 1, min(rn) from f group by 1),
 m as (select id old_id, min(part * 1000000000 + rn) k from a group by 1), i as (select old_id, cast(row_number() over (order by k) - 1 as bigint) new_id from m)"""
 _edges("renumber_map", user_graph, lambda g: normalize.renumber(g.edges)[1], f"{_RENUMBER} select old_id, new_id from i")
-_edges("renumber_dense", user_graph, lambda g: normalize.renumber(g.edges)[0], f"{_RENUMBER} select a.new_id src, b.new_id dst, w from e join i a on a.old_id = e.src join i b on b.old_id = e.dst where e.src % 3 = 1")
-_edges("relabel_by_degree", part_graph, lambda g: normalize.relabel_by_degree(g).edges, f"with {PART}, {BOTH}, i as (select id, cast(row_number() over (order by deg desc, id desc) - 1 as bigint) r from d) select least(a.r, b.r) src, greatest(a.r, b.r) dst, w from e join i a on a.id = src join i b on b.id = dst")
+_edges("renumber_dense", user_graph, lambda g: normalize.renumber(g.edges)[0], f"{_RENUMBER} select a.new_id src, b.new_id dst, w from e join i a on a.old_id = e.src join i b on b.old_id = e.dst")
+_edges("relabel_by_degree", part_graph, lambda g: normalize.relabel_by_degree(g).edges, f"with {PART}, {BOTH}, i as materialized (select id, cast(row_number() over (order by deg desc, id desc) - 1 as bigint) r from d) select least(a.r, b.r) src, greatest(a.r, b.r) dst, w from e join i a on a.id = src join i b on b.id = dst")
 _edges("match_reference", user_graph, lambda g: normalize.match_reference(g.edges, g.edges.where("w > 1")), f"with {USER} select src, dst, w from e where w > 1")
 _edges("degrees", user_graph, normalize.degree_table, f"""with {USER}, o as (select src id, count(*) c, sum(w) s from e group by 1), i as (select dst id, count(*) c, sum(w) s from e group by 1)
 select v.id, coalesce(o.c, 0) out_deg, coalesce(i.c, 0) in_deg, coalesce(i.s, 0) in_weight, coalesce(o.s, 0) out_weight from v left join o using (id) left join i using (id)""")
@@ -126,7 +130,7 @@ _edges("sym_degree_cap", part_graph, lambda g: sparsify.symmetric_degree_cap(g,
 k as (select *, row_number() over (partition by v order by h, src, dst) rk from a) select src, dst, max(w) w from k where rk <= 60 group by 1, 2 having count(*) = 2""")
 _edges("bernoulli_edge", user_graph, lambda g: sparsify.bernoulli(g.edges, 0.4), f"with {USER} select src, dst, w from e where {u(h(1, 'src', 'dst'))} < 0.6")
 _edges("bernoulli_symmetric", user_graph, lambda g: normalize.symmetrize(sparsify.bernoulli(g.edges, 0.4)).select("src", "dst"), f"with {USER}, k as (select src, dst from e where {u(h(1, 'src', 'dst'))} < 0.6) select src, dst from k union select dst, src from k")
-_edges("cut_sparsify", part_graph, lambda g: sparsify.cut_sparsify(g, g.vertices.count()), f"with {PART} select src, dst, w from e where {u(h(7, 'src', 'dst'))} < least(1, 16 * 3 * ln(2000) / 100 / 10)")
+_edges("cut_sparsify", part_graph, lambda g: sparsify.cut_sparsify(g, g.vertices.count()), f"with {PART} select src, dst, w from e where {u(h(7, 'src', 'dst'))} < least(1, 16 * 3 * ln((select count(*) from v)) / 100 / 10)")
 _edges("pruned_edges", user_graph, lambda g: normalize.removed(g.edges, sparsify.bernoulli(g.edges, 0.4)), f"with {USER} select src, dst, w from e where not {u(h(1, 'src', 'dst'))} < 0.6")
 _edges("over_degree", user_graph, lambda g: sparsify.over_degree(g.edges, 50), f"with {USER} select count(*) n from (select dst from e group by dst having count(*) > 50)")
 _edges("spanning_forest", _symmetric_user, traverse.spanning_forest)
@@ -143,9 +147,25 @@ _edges("er_probability", nation_graph, lambda g: linalg.probabilities(linalg.res
 _edges("er_approximate", nation_graph, lambda g: linalg.resistance(g, k=16).withColumn("r", F.round("r", 6)))
 _edges("er_sample", nation_graph, lambda g: linalg.er_sample(linalg.probabilities(linalg.resistance_exact(g)), linalg.draws(25, 0.5)))
 _edges("er_sample_min1", nation_graph, lambda g: linalg.er_sample_min1(linalg.resistance_exact(g), 25, 1.0))
-_SIGN = "case when substr(md5(concat_ws(':', '7', vector, {})), 1, 1) < '8' then -1 else 1 end"
-_QF = f"select vector, sum(w * power({_SIGN.format('src')} - {_SIGN.format('dst')}, 2)) q from e, (select unnest(range(10)) vector) group by 1"
+_BIT = "((cast(('0x' || substr(md5(concat_ws(':', '7:0', {})), 1 + vector // 32 * 8, 8)) as bigint) >> (vector % 32)) & 1)"
+_QF = f"select vector, sum(w * case when {_BIT.format('src')} <> {_BIT.format('dst')} then 4 else 0 end) q from e, (select unnest(range(100)) vector) group by 1"
 _edges("quadratic_form", part_graph, lambda g: linalg.random_forms(g.edges, 100), f"with {PART} select cast(vector as integer) vector, q from ({_QF})")
+_NORMAL = f"x as materialized (select vector, id, sqrt(-2 * ln(1 - {u(h(7, 'vector', 'id'))})) * cos(2 * pi() * {u(h(7, 'vector', 'id'), 9)}) x from v, (select unnest(range(100)) vector))"
+_FORMS = f"""with {_SYM}, {_V.replace('p(', 'pr(')}, r as materialized ({_RANDOM.split(_V)[1].strip().replace(', p where', ', pr where')}), {_NORMAL}, g as (select a.vector, sum(w * power(a.x - b.x, 2)) q from e join x a on a.id = src join x b on b.id = dst and b.vector = a.vector group by 1),
+k as (select algo, prune_rate, run, a.vector, sum(w * power(a.x - b.x, 2)) q from r join x a on a.id = src join x b on b.id = dst and b.vector = a.vector group by all)
+select algo, cast(prune_rate as double) prune_rate, run, round(min(k.q / g.q), 6) ratio_min, round(max(k.q / g.q), 6) ratio_max, round(avg(k.q / g.q), 6) ratio_mean, round(stddev_pop(k.q / g.q), 6) ratio_std from k join g using (vector) group by all"""
+
+
+@query("form_similarity", _FORMS)
+def _form_similarity(spark: SparkSession, d: str) -> DataFrame:
+    g = _symmetric_user(spark, d)
+    t = linalg.form_similarity(sparsify.random_edges(g, RATES), g, metrics.KEYS)
+    return t.select(*metrics.KEYS, *(F.round(c, 6).alias(c) for c in t.columns if c not in metrics.KEYS))
+
+
+_edges("er_sweep", nation_graph, lambda g: linalg.er_sweep(linalg.probabilities(linalg.resistance_exact(g)), 25, [0.3, 0.5, 1.0], 2))
+_edges("top_eigenvalues", nation_graph, lambda g: linalg.top_eigenvalues(g).withColumn("value", F.round("value", 3)))
+_edges("electrical_closeness", nation_graph, lambda g: linalg.electrical_closeness(g).withColumn("score", F.round("score", 9)))
 
 # -- properties -------------------------------------------------------------------------------------------------------------
 
@@ -174,11 +194,30 @@ def _power_sql(alpha: float, beta: float, rounds: int) -> str:
 
 _edges("katz", user_graph, lambda g: linalg.katz(g, 6).withColumn("score", F.round("score", 9)), _power_sql(0.5, 1.0, 6))
 _edges("eigenvector", user_graph, lambda g: linalg.eigenvector(g, 6).withColumn("score", F.round("score", 9)), _power_sql(1.0, 0.0, 6))
-_edges("hits", user_graph, lambda g: linalg.hits(g, 4).withColumn("score", F.round("score", 6)).withColumn("hub", F.round("hub", 6)))
-_edges("connected_components", part_graph, traverse.connected_components)
-_edges("kcore", nation_graph, traverse.core_numbers)
-_SRC = "(select id from v order by md5(concat_ws(':', '7', id)), id limit 5)"
-_BFS = _iterate(f"{PART}, {BOTH}, q as ({_SRC})", "select id source, id, 0 dist from q", "select source, id, min(dist) dist from (select source, id, dist from XX union all select x.source, n.dst, x.dist + 1 from XX x join n on n.src = x.id) group by 1, 2", 4, "select source, id, cast(dist as double) dist from XX")
+_HITS = "select id, z / sqrt(sum(z * z) over ()) score from (select v.id, coalesce(y.g, 0) z from v left join (select {to} k, sum(w * score) g from e join {x} on id = {frm} group by 1) y on y.k = v.id)"
+_HIT_STEPS = ", ".join(f"a{i} as materialized ({_HITS.format(to='dst', frm='src', x=f'h{i - 1}')}), h{i} as materialized ({_HITS.format(to='src', frm='dst', x=f'a{i}')})" for i in range(1, 5))
+_edges("hits", user_graph, lambda g: linalg.hits(g, 4).withColumn("score", F.round("score", 6)).withColumn("hub", F.round("hub", 6)), f"with {USER}, h0 as materialized (select id, 1.0 / sqrt((select count(*) from v)) score from v), {_HIT_STEPS} select id, round(h4.score, 6) hub, round(a4.score, 6) score from a4 join h4 using (id)")
+_SRC = "(select id from v order by md5(concat_ws(':', '7', id)), id limit {})"
+#: More rounds than any of these graphs needs: distances no longer change then.
+_FAR = 12
+
+
+def _rounds(sources: str, n: str = "n", x: str = "x") -> str:
+    """Distances (source, id, dist) from the sources (id) by rounds of relaxation; the last are x followed by _FAR."""
+    step = "select source, id, min(dist) dist from (select source, id, dist from XX union all select x.source, n.dst, x.dist + 1 from XX x join NN n on n.src = x.id where x.dist = RR) group by 1, 2".replace("NN", n)
+    return f"{x}0 as materialized (select id source, id, 0 dist from {sources} q), " + ", ".join(f"{x}{i + 1} as materialized ({step.replace('XX', f'{x}{i}').replace('RR', str(i))})" for i in range(_FAR))
+
+
+def _reach(prelude: str, sources: str, last: str) -> str:
+    return f"with {prelude}, {BOTH}, {_rounds(sources)} " + last.replace("XX", f"x{_FAR}")
+
+
+def _labels(rounds: int) -> str:
+    step = "select l.id, least(l.comp, coalesce(min(o.comp), l.comp)) comp from XX l left join n on n.src = l.id left join XX o on o.id = n.dst group by l.id, l.comp"
+    return ", ".join(f"c{i + 1} as materialized ({step.replace('XX', f'c{i}')})" for i in range(rounds))
+
+
+_BFS = _reach(PART, _SRC.format(5), "select source, id, cast(dist as double) dist from XX")
 
 
 def _sources(g: Graph, n: int) -> DataFrame:
@@ -190,12 +229,28 @@ def _five(g: Graph) -> DataFrame:
 
 
 _edges("bfs_distances", part_graph, lambda g: traverse.distances(g, _five(g)), _BFS)
-_edges("eccentricity", part_graph, lambda g: traverse.eccentricity(traverse.distances(g, _five(g))))
-_edges("effective_diameter", part_graph, lambda g: traverse.effective_diameter(g, _five(g)))
+_edges("connected_components", part_graph, traverse.connected_components, f"with {PART}, {BOTH}, c0 as materialized (select id, id comp from v), {_labels(_FAR)} select id, comp from c{_FAR}")
+_CORE = "select v.id, coalesce(max(least(z.c, z.upto)), 0) c from v left join (select y.id, c, sum(count(*)) over (partition by y.id order by c desc) upto from (select n.src id, XX.c from n join XX on XX.id = n.dst) y group by y.id, c) z using (id) group by v.id"
+
+
+def _cores(prelude: str, rounds: int) -> str:
+    steps = ", ".join(f"k{i + 1} as materialized ({_CORE.replace('XX', f'k{i}')})" for i in range(rounds))
+    return f"with {prelude}, {BOTH}, k0 as materialized (select id, deg c from d), {steps} select id, cast(c as integer) core from k{rounds}"
+
+
+_edges("kcore", part_graph, traverse.core_numbers, _cores(PART, 40))
+_edges("kcore_nations", nation_graph, traverse.core_numbers, _cores(NATION, 25))
+_edges("eccentricity", part_graph, lambda g: traverse.eccentricity(traverse.distances(g, _five(g))), _reach(PART, _SRC.format(5), "select source, case when max(dist) > 0 then cast(max(dist) as double) else 'Infinity'::double end ecc from XX group by 1"))
+_HOPS = "select dist, sum(count(*)) over (order by dist) upto, sum(count(*)) over () total from XX where dist > 0 group by dist"
+_edges("effective_diameter", part_graph, lambda g: traverse.effective_diameter(g, _five(g)), _reach(PART, _SRC.format(5), f"select cast(min(dist) as double) effective_diameter from ({_HOPS}) where upto >= 0.9 * total"))
 _edges("pseudo_diameter", part_graph, lambda g: traverse.pseudo_diameter(g, _sources(g, 10)))
-_edges("closeness_topk", _symmetric_user, lambda g: stats.top_n(traverse.closeness(g, g.vertices.select(F.col("id").alias("source"))).withColumn("score", F.round("score", 9)), 100))
+_edges("closeness_topk", _symmetric_user, lambda g: stats.top_n(traverse.closeness(g, g.vertices.select(F.col("id").alias("source"))).withColumn("score", F.round("score", 9)), 100), _reach(_SYM, "v", "select id, score, cast(row_number() over (order by score desc, id) as integer) rank from (select source id, case when sum(dist) > 0 then round(cast(count(*) - 1 as double) / sum(dist) * (count(*) - 1) / ((select count(*) from v) - 1), 9) else 0.0 end score from XX group by 1) qualify rank <= 100"))
 _edges("betweenness_pivot", _symmetric_user, lambda g: traverse.betweenness(g, _sources(g, 500)).withColumn("score", F.round("score", 6)))
 _edges("k_path", user_graph, traverse.k_path)
+_edges("betweenness_sampled", _symmetric_user, lambda g: traverse.betweenness_sampled(g, metrics.sample_pairs(g, 30, 30).select(F.col("source").alias("s"), F.col("id").alias("t"))).withColumn("score", F.round("score", 9)))
+_edges("closeness_sampled", _symmetric_user, lambda g: traverse.closeness_sampled(g, _sources(g, 100)).withColumn("score", F.round("score", 9)), _reach(_SYM, _SRC.format(100), "select v.id, coalesce(round(count(*) filter (source <> v.id) / sum(dist) filter (source <> v.id), 9), 0) score from v left join XX x on x.id = v.id group by v.id"))
+_edges("louvain", _symmetric_user, metrics.louvain)
+_edges("largest_component", _symmetric_user, lambda g: traverse.largest_component(g.with_edges(sparsify.bernoulli(g.edges, 0.99))).vertices)
 _edges("label_communities", part_graph, lambda g: metrics.label_propagation(g, None))
 _edges("modularity", user_graph, lambda g: metrics.modularity(g.with_edges(canonical(g.edges)), g.vertices.select("id", F.pmod("id", F.lit(7)).alias("comm"))).withColumn("modularity", F.round("modularity", 9)), f"""with {USER}, k as (select distinct least(src, dst) src, greatest(src, dst) dst from e), m as (select count(*) m from k),
 s as (select c, sum(i) l, count(*) d from (select src % 7 c, case when src % 7 = dst % 7 then 1 else 0 end i from k union all select dst % 7, 0 from k) group by 1)
@@ -211,14 +266,52 @@ def _min_cut(spark: SparkSession, d: str) -> DataFrame:
     return flow.global_min_cut(sparsify.random_edges(nation_graph(spark, d), RATES), ["algo", "prune_rate", "run"])
 
 
-@query("spsp_stretch")
+_PAIRS = "pq as materialized (select a.id source, b.id from (select id from v order by md5(concat_ws(':', '7', id)), id limit 100) a join (select id from v order by md5(concat_ws(':', '8', id)), id limit 1000) b on a.id <> b.id)"
+_STRETCH = f"""with {_SYM}, {BOTH}, k as materialized (select src, dst from e where {u(h(1, 'src', 'dst'))} < {1 - 0.8!r}), nk as materialized (select src, dst from k union all select dst, src from k), {_PAIRS},
+{_rounds(_SRC.format(100))}, {_rounds(_SRC.format(100), "nk", "y")}, r as (select case when x.dist > 0 and y.dist is not null then y.dist / x.dist end ratio from pq left join x{_FAR} x using (source, id) left join y{_FAR} y using (source, id))
+select round(min(ratio), 9) ratio_min, round(max(ratio), 9) ratio_max, round(avg(ratio), 9) ratio_mean, round(stddev_pop(ratio), 9) ratio_std, round(avg(case when ratio is null then 1.0 else 0.0 end), 9) unreachable from r"""
+
+
+@query("spsp_stretch", _STRETCH)
 def _stretch(spark: SparkSession, d: str) -> DataFrame:
     g = _symmetric_user(spark, d)
     s = _sources(g, 100)
     pruned = g.with_edges(sparsify.bernoulli(g.edges, 0.8))
     pairs = s.join(F.broadcast(traverse.sample_vertices(g, 1000, 8)), F.col("source") != F.col("id"))  # 100 000 rows at most
     r = metrics.spsp_stretch(traverse.distances(g, s), traverse.distances(pruned, s), pairs)
-    return r.agg(*stats.ratio_stats(F.col("ratio")))
+    t = r.agg(*stats.ratio_stats(F.col("ratio")))
+    return t.select(*(F.round(c, 9).alias(c) for c in t.columns))
+
+
+@query("spsp_stretch_weighted")
+def _stretch_weighted(spark: SparkSession, d: str) -> DataFrame:
+    return _stretches(_symmetric_user(spark, d))[0]
+
+
+@query("eccentricity_stretch")
+def _stretch_eccentricity(spark: SparkSession, d: str) -> DataFrame:
+    return _stretches(_symmetric_user(spark, d))[1]
+
+
+def _stretches(g: Graph) -> tuple[DataFrame, DataFrame]:
+    """Ratios of weighted distances from 100 sources to 1000 targets, and of the farthest of these targets."""
+    s, t = _sources(g, 100), traverse.sample_vertices(g, 1000, 8)
+    a, b = (traverse.distances(x, s, weighted=True) for x in (g, g.with_edges(sparsify.bernoulli(g.edges, 0.8))))
+    near = metrics.spsp_stretch(a, b, s.join(F.broadcast(t), F.col("source") != F.col("id")))  # 100 000 rows at most
+    far = traverse.eccentricity(a, t).withColumnRenamed("ecc", "base").join(traverse.eccentricity(b, t), "source").select(stats.ratio(F.col("ecc"), F.col("base")).alias("ratio"))
+    return tuple(x.agg(*stats.ratio_stats(F.col("ratio"))) for x in (near, far))
+
+
+@query("eccentricity_distance")
+def _eccentricity_distance(spark: SparkSession, d: str) -> DataFrame:
+    g = _symmetric_user(spark, d)
+    return metrics.eccentricity_distance(metrics.eccentricities(sparsify.random_edges(g, RATES), g, _sources(g, 100)))
+
+
+@query("clustering_ratios")
+def _clustering_ratios(spark: SparkSession, d: str) -> DataFrame:
+    g = user_graph(spark, d)
+    return metrics.score_ratios(traverse.directed_clustering(g), traverse.directed_clustering(g.with_edges(sparsify.bernoulli(g.edges, 0.5))))
 
 
 _HIST = f"""k as (select algo, prune_rate, run, id, count(*) deg from (select algo, prune_rate, run, src id from a union all select algo, prune_rate, run, dst from a) group by all),
@@ -258,32 +351,104 @@ def _summary(spark: SparkSession, d: str) -> DataFrame:
     return s.select("prune_algo", "prune_rate", "Bhattacharyya_distance_count", *(F.round(f"Bhattacharyya_distance_{c}", 6).alias(f"Bhattacharyya_distance_{c}") for c in ("mean", "std")))
 
 
-query("variant_summary")(_summary)
+_NINE = f"pr(prune_rate, ratio) as (values {', '.join(f'(cast({r} as double), cast({1 - r!r} as double))' for r in sweep.RATES)})"
+_RUNS = " union all ".join(_ranked(f"select *, row_number() over (order by {h(k, 'src', 'dst')}, src, dst) rank from e", "random", k).replace(" r, p where", " r, pr where") for k in range(3))
+_OUT = _HIST.replace("(select algo, prune_rate, run, src id from a union all select algo, prune_rate, run, dst from a)", "(select algo, prune_rate, run, src id from a where src <> dst)")
+_SUMMARY = f"""with {USER}, {_NINE}, r as materialized ({_RUNS}), a as materialized (select algo, prune_rate, run, src, dst from r union all select 'original', 0.0, 0, src, dst from e), {_OUT},
+s as (select b.algo, b.prune_rate, b.run, sum(sqrt(b.p * coalesce(o.p, 0))) s from b left join b o on o.bin = b.bin and o.algo = 'original' where b.algo <> 'original' group by all), z as (select algo, prune_rate, -ln(s) d from s)
+select {{}} prune_algo, cast(prune_rate as double) prune_rate, count(*) Bhattacharyya_distance_count, round(avg(d), 6) Bhattacharyya_distance_mean, round(stddev_samp(d), 6) Bhattacharyya_distance_std from z group by algo, prune_rate"""
+query("variant_summary", _SUMMARY.format("algo"))(_summary)
 
 
-@query("figure_frame")
+@query("figure_frame", _SUMMARY.format("'Random'") + " having prune_rate >= 0.05 and prune_rate < 0.93")
 def _figure(spark: SparkSession, d: str) -> DataFrame:
     return summary.figure_frame(_summary(spark, d), ["original"], names={"random": "Random"})
 
 
-@query("rank_sweep")
+@query("rank_sweep", f"with {PART}, {_V}, m as (select count(*) m from e), c as (select algo, prune_rate asked, 0 run, cast(floor(ratio * m + 0.5) as bigint) edges from p, m, (values ('random'), ('gspar'), ('local_degree')) t(algo) union all select 'original', 0, 0, m from m) select algo, cast(asked as double) asked, run, edges, round_even(1 - edges / (select m from m), 2) prune_rate from c")
 def _rank_sweep(spark: SparkSession, d: str) -> DataFrame:
     g = part_graph(spark, d)
     return sweep.variant_sizes(sweep.sweep(g, ["random", "gspar", "local_degree"], RATES), g)
 
 
+@query("full_sweep")
+def _full_sweep(spark: SparkSession, d: str) -> DataFrame:
+    g = nation_graph(spark, d)
+    return sweep.variant_sizes(sweep.sweep(g, sweep.ALGORITHMS, [0.3, 0.7], 2), g)
+
+
+@query("mean_of_top", "select k, round(sum(greatest(p, 0)) / 10, 6) top_mean from (select o_custkey % 50 k, o_totalprice p from orders qualify row_number() over (partition by o_custkey % 50 order by o_totalprice desc) <= 10) group by k")
+def _mean_of_top(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/orders.parquet").select((F.col("o_custkey") % 50).alias("k"), F.col("o_totalprice").alias("p"))
+    return summary.mean_of_top(rows, ["k"], "p").withColumn("top_mean", F.round("top_mean", 6))
+
+
+@query("first_of_rate", "select o_orderpriority algo, (o_orderkey % 10) / 10.0::double prune_rate, o_custkey edges, o_orderkey from orders qualify row_number() over (partition by o_orderpriority, o_orderkey % 10 order by o_custkey desc, o_orderkey) = 1")
+def _first_of_rate(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderpriority").alias("algo"), (F.col("o_orderkey") % 10 / F.lit(10.0)).alias("prune_rate"), F.col("o_custkey").alias("edges"), "o_orderkey")
+    return summary.first_of_rate(rows, ["algo"])
+
+
+_FLAGS = "s as (select case when l_returnflag = 'A' then 'original' else l_returnflag end prune_algo, l_discount * 10 prune_rate, round(avg(l_tax), 9) + case when l_linestatus = 'O' then 0.2 else 0 end Unreachable_mean from lineitem group by l_returnflag, l_discount, l_linestatus)"
+
+
+def _flags(spark: SparkSession, d: str) -> DataFrame:
+    s = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_returnflag", "l_discount", "l_linestatus").agg(F.round(F.avg("l_tax"), 9).alias("x"))
+    return s.select(F.when(F.col("l_returnflag") == "A", "original").otherwise(F.col("l_returnflag")).alias("prune_algo"), (F.col("l_discount") * 10).alias("prune_rate"), (F.col("x") + F.when(F.col("l_linestatus") == "O", 0.2).otherwise(0.0)).alias("Unreachable_mean"))
+
+
+query("reachable_only", f"with {_FLAGS} select * from s where Unreachable_mean < (select max(Unreachable_mean) from s where prune_algo = 'original') + 0.01")(lambda spark, d: summary.reachable_only(_flags(spark, d), slack=0.01))
+query("rate_buckets", f"with {_FLAGS} select prune_algo, round_even(prune_rate, 1) prune_rate, Unreachable_mean from s where round_even(prune_rate, 1) in (0.1, 0.5, 0.9)")(lambda spark, d: summary.rate_buckets(_flags(spark, d)))
+
+
+@query("zip_lines", 'with t as (select event_type file, user_id, row_number() over (partition by event_type order by event_id) - 1 nth from events) select file, cast(nth // 2 as bigint) pair, max(user_id) filter (nth % 2 = 0) as "first", max(user_id) filter (nth % 2 = 1) as "second" from t group by 1, 2')
+def _zip_lines(spark: SparkSession, d: str) -> DataFrame:
+    lines = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("file"), F.col("event_id").alias("line_no"), F.array(F.col("user_id").cast("string")).alias("tokens"))
+    return summary.zip_lines(lines).select("file", "pair", *(F.col(c)[0].cast("long").alias(c) for c in ("first", "second")))
+
+
+@query("map_lines", "select o_orderkey line_no, coalesce(a.c_nationkey, 0) || ' ' || coalesce(b.c_nationkey, 0) ids from orders left join customer a on a.c_custkey = o_custkey left join customer b on b.c_custkey = o_orderkey")
+def _map_lines(spark: SparkSession, d: str) -> DataFrame:
+    lines = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("line_no"), F.array("o_custkey", "o_orderkey").alias("tokens"))
+    ids = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("old_id"), F.col("c_nationkey").cast("long").alias("new_id"))
+    return normalize.map_lines(lines, ids).select("line_no", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
+
+
+@query("best_runs", "with r as (select user_id % 7 run, value train, event_id * 37 % 10007 + event_id / 1e6 valid, value * 2 test from events) select run, max(train) best_train, max(valid) best_valid, arg_max(train, valid) final_train, arg_max(test, valid) final_test from r group by 1")
+def _best_runs(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return summary.best_runs(e.select((F.col("user_id") % 7).alias("run"), F.col("value").alias("train"), (F.col("event_id") * 37 % 10007 + F.col("event_id") / F.lit(1e6)).alias("valid"), (F.col("value") * 2).alias("test")))
+
+
+@query("parse_log", "select n_name algo, cast(n_regionkey as double) / 4 prune_rate, cast(n_nationkey as bigint) line_no, case when n_nationkey % 5 = 0 then 'nan'::double else n_nationkey / 8.0 end distance from nation")
+def _parse_log(spark: SparkSession, d: str) -> DataFrame:
+    """A metric log written as text and read again: a line a nation, masked values as two dashes."""
+    n = spark.read.parquet(f"{d}/nation.parquet").orderBy("n_nationkey").coalesce(1)
+    value = F.when(F.col("n_nationkey") % 5 == 0, "--").otherwise((F.col("n_nationkey") / 8).cast("string"))
+    path = f"{shared_folder(spark)}/edgeloom-log-{uuid.uuid4().hex}"
+    n.select(F.concat_ws("\t", F.translate("n_name", " ", "~"), (F.col("n_regionkey") / 4).cast("string"), F.lit("distance:"), value)).write.text(path)
+    t = keep(files.read_log(spark, path).select(F.translate(F.col("tokens")[0], "~", " ").alias("algo"), files.token(1).alias("prune_rate"), F.col("line_no").cast("long").alias("line_no"), files.token(3).alias("distance")), "log")
+    release(spark.read.text(path))
+    return t
+
+
 # -- generators -------------------------------------------------------------------------------------------------------------
 
 _W = "cast(1 as double) w"
 query("gen_ring", f"select i src, (i + 1) % 100 dst, {_W} from range(100) t(i) union all select (i + 1) % 100, i, {_W} from range(100) t(i)")(lambda spark, d: generators.ring(spark, 100))
 query("gen_complete", f"select a.i src, b.i dst, {_W} from range(60) a(i) join range(60) b(i) on a.i < b.i")(lambda spark, d: generators.complete(spark, 60))
 query("gen_dumbbell", f"select a.i src, b.i dst, {_W} from range(40) a(i) join range(40) b(i) on a.i < b.i and a.i // 20 = b.i // 20 union all select 19, 20, 1")(lambda spark, d: generators.dumbbell(spark, 40))
-query("gen_communities")(lambda spark, d: generators.communities(spark, [10, 20, 15], 5))
+_CLIQUES = " union all ".join(f"select a.i + {f} src, b.i + {f} dst, {_W} from range({n}) a(i) join range({n}) b(i) on a.i < b.i" for f, n in ((0, 10), (10, 20), (30, 15)))
+_BRIDGES = f"select distinct f + cast(floor({u(h('7a', 'i', 'f'))} * s) as bigint) src, f2 + cast(floor({u(h('7b', 'i', 'f'))} * s2) as bigint) dst, {_W} from range(5) t(i), (values (0, 10, 10, 20), (10, 20, 30, 15)) q(f, s, f2, s2)"
+query("gen_communities", f"{_CLIQUES} union all ({_BRIDGES})")(lambda spark, d: generators.communities(spark, [10, 20, 15], 5))
 query("gen_uniform", f"select cast(floor({u(h('7a', 'i'))} * 256) as bigint) src, cast(floor({u(h('7b', 'i'))} * 256) as bigint) dst, {_W} from range(2048) t(i)")(lambda spark, d: generators.uniform_graph(spark, 8, 8))
-query("gen_rmat")(lambda spark, d: generators.rmat(spark, 8, 8))
-query("gen_random_walk")(lambda spark, d: generators.random_walk(spark, 64, 500))
+_QUAD = [u(h(f"7:{bit}", "i")) for bit in range(8)]
+_MAT = {"src": " + ".join(f"case when {x} >= {0.57 + 0.19!r} then {128 >> k} else 0 end" for k, x in enumerate(_QUAD)), "dst": " + ".join(f"case when {x} >= 0.57 and {x} < {0.57 + 0.19!r} or {x} >= {0.57 + 0.19 + 0.19!r} then {128 >> k} else 0 end" for k, x in enumerate(_QUAD))}
+query("gen_rmat", f"select {', '.join(f'cast((({x}) * 2654435761 + 12345) % 256 as bigint) {c}' for c, x in _MAT.items())}, {_W} from range(2048) t(i)")(lambda spark, d: generators.rmat(spark, 8, 8))
+_WALK = f"select cast(floor({u(h(7, 'i'))} * 64) as bigint) a, cast(floor({u(h(7, 'i + 1'))} * 64) as bigint) b from range(500) t(i)"
+query("gen_random_walk", f"with s as ({_WALK}) select distinct src, dst, {_W} from (select a src, b dst from s where a <> b union all select b, a from s where a <> b)")(lambda spark, d: generators.random_walk(spark, 64, 500))
 query("gen_uniform_numbers", f"select i id, {u(h(7, 'i'))} x from range(1000) t(i)")(lambda spark, d: generators.random_numbers(spark, 1000))
-query("gen_normal_numbers")(lambda spark, d: generators.random_numbers(spark, 1000, "normal").withColumn("x", F.round("x", 9)))
+query("gen_normal_numbers", f"select i id, round(sqrt(-2 * ln(1 - {u(h(7, 'i'))})) * cos(2 * pi() * {u(h(7, 'i'), 9)}), 9) x from range(1000) t(i)")(lambda spark, d: generators.random_numbers(spark, 1000, "normal").withColumn("x", F.round("x", 9)))
 query("top_pairs", f"with {PART} select src, dst, w from e order by w desc, src, dst limit 20")(lambda spark, d: part_graph(spark, d).edges.orderBy(F.desc("w"), "src", "dst").limit(20))
 query("pick_source", f"with {USER} select src id from e group by 1 order by md5(concat_ws(':', '3', src)), 1 limit 1")(lambda spark, d: user_graph(spark, d).edges.select(F.col("src").alias("id")).distinct().orderBy(digest(3, "id"), "id").limit(1))
 query("empty_graph", f"with {USER} select id src, id dst, {_W} from v")(lambda spark, d: user_graph(spark, d).vertices.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w")))

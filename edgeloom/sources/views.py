@@ -15,14 +15,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def user_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Directed: from each event's user to the next event's, weighted by how often.
 
-    The order of events is global, but no task sees it all: each day finds its own successors, and the last user of the day before
-    is carried over from a table of one row a day.
+    The order of events is global, but no task sees it all: each hour finds its own successors, and the last user of the hour before
+    is carried over from a table of one row an hour.
     """
-    e = _table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "ts", "event_id", "user_id")
-    last = e.groupBy("day").agg(F.max_by("user_id", F.struct("ts", "event_id")).alias("last"))
-    last = last.select("day", F.lag("last").over(Window.orderBy("day")).alias("before"))
-    w = Window.partitionBy("day").orderBy("ts", "event_id")
-    p = e.join(last, "day").select(F.coalesce(F.lag("user_id").over(w), F.when(F.row_number().over(w) == 1, F.col("before"))).alias("src"), F.col("user_id").alias("dst"))
+    e = _table(spark, sf_dir, "events").select(F.date_trunc("hour", "ts").alias("hour"), "ts", "event_id", "user_id")
+    last = e.groupBy("hour").agg(F.max_by("user_id", F.struct("ts", "event_id")).alias("last"))
+    last = last.select("hour", F.lag("last").over(Window.orderBy("hour")).alias("before"))
+    w = Window.partitionBy("hour").orderBy("ts", "event_id")
+    p = e.join(last, "hour").select(F.coalesce(F.lag("user_id").over(w), F.when(F.row_number().over(w) == 1, F.col("before"))).alias("src"), F.col("user_id").alias("dst"))
     edges = p.where("src is not null and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("w"))
     return Graph(e.select(F.col("user_id").alias("id")).distinct(), edges, directed=True)
 

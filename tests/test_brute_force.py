@@ -1,0 +1,220 @@
+"""Graph operators against plain Python."""
+
+import heapq
+import itertools
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from edgeloom import graph
+from edgeloom.functions.rng import digest
+from edgeloom.graph import Graph, ranked
+from edgeloom.operators import generators, linalg, metrics, normalize, sparsify, traverse
+from edgeloom.plans import summary, sweep
+from edgeloom.sources import files
+from edgeloom.streaming import edges as stream
+
+R = random.Random(3)
+N = 24
+EDGES = sorted({(min(a, b), max(a, b)) for a, b in ((R.randrange(N), R.randrange(N)) for _ in range(60)) if a != b})
+WEIGHTS = {e: float(R.randint(1, 9)) for e in EDGES}
+NEAR = {v: {b if a == v else a for a, b in EDGES if v in (a, b)} for v in range(N)}
+
+
+@pytest.fixture(scope="module")
+def g(spark):
+    return Graph(spark.range(N), spark.createDataFrame([(a, b, WEIGHTS[a, b]) for a, b in EDGES], "src long, dst long, w double"))
+
+
+def table(df, key, value):
+    return {r[key]: r[value] for r in df.collect()}
+
+
+def hops(s):
+    d, todo = {s: 0}, [s]
+    for v in todo:
+        for w in NEAR[v]:
+            if w not in d:
+                d[w] = d[v] + 1
+                todo.append(w)
+    return d
+
+
+def dijkstra(s):
+    d, todo = {}, [(0.0, s)]
+    while todo:
+        x, v = heapq.heappop(todo)
+        if v not in d:
+            d[v] = x
+            todo += [(x + WEIGHTS[min(v, w), max(v, w)], w) for w in NEAR[v]]
+            heapq.heapify(todo)
+    return d
+
+
+def test_core_numbers(g):
+    left, core, k = {v: set(NEAR[v]) for v in NEAR}, {}, 0
+    while left:
+        low = [v for v in left if len(left[v]) <= k]
+        k += not low
+        for v in low:
+            core[v] = k
+            for w in left.pop(v):
+                left.get(w, set()).discard(v)
+    assert table(traverse.core_numbers(g), "id", "core") == core
+
+
+def test_directed_clustering(spark):
+    e = {(a, b) for a, b in ((R.randrange(9), R.randrange(9)) for _ in range(45))}
+    d = Graph(spark.range(10), spark.createDataFrame([(a, b, 1.0) for a, b in e] * 2, "src long, dst long, w double"), directed=True)
+    want = {}
+    for v in range(10):
+        out = [b for a, b in e if a == v and b != v]
+        want[v] = sum((x, y) in e for x, y in itertools.permutations(out, 2)) / (len(out) * (len(out) - 1)) if len(out) > 1 else 0.0
+    assert table(traverse.directed_clustering(d), "id", "score") == pytest.approx(want)
+
+
+def test_ranks_spread_ties(spark, monkeypatch):
+    seen, keep = [], graph.keep
+    monkeypatch.setattr(graph, "keep", lambda df, name="step": seen.append((name, keep(df, name))) or seen[-1][1])
+    n = 1_000_000
+    t = ranked(spark.range(n).select(F.pmod(F.col("id") * 7919, F.lit(n)).alias("src"), F.lit(0.0).alias("score")), [F.desc("score"), "src"])
+    assert t.where("rank <> src + 1 or m <> 1000000").count() == 0 and t.count() == n
+    parts = dict(seen)["ranked"].groupBy(F.shiftright("_at", 33)).count().agg(F.max("count")).first()[0]
+    assert parts < 1.5 * n / int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_spanning_forest(spark, g):
+    order = [(r.h, r.src, r.dst) for r in g.edges.select(digest(7, "src", "dst").alias("h"), "src", "dst").collect()]
+    root = list(range(N))
+
+    def find(v):
+        return v if root[v] == v else find(root[v])
+
+    want = set()
+    for _, a, b in sorted(order):
+        if find(a) != find(b):
+            root[find(a)] = find(b)
+            want.add((a, b))
+    assert {(r.src, r.dst) for r in traverse.spanning_forest(g).collect()} == want
+
+
+def test_distances_and_stretch(spark, g):
+    s = g.vertices.where("id < 4").select(F.col("id").alias("source"))
+    got = {(r.source, r.id): r.dist for r in traverse.distances(g, s, weighted=True).collect()}
+    assert got == {(v, w): x for v in range(4) for w, x in dijkstra(v).items()}
+    assert {(r.source, r.id): r.dist for r in traverse.distances(g, s).collect()} == {(v, w): x for v in range(4) for w, x in hops(v).items()}
+    assert table(traverse.eccentricity(traverse.distances(g, s)), "source", "ecc") == {v: max(hops(v).values()) or math.inf for v in range(4)}
+
+
+def test_sampled_centralities(spark, g):
+    every = [(a, b) for a in range(N) for b in range(N) if a != b]
+    d = {v: hops(v) for v in range(N)}
+
+    def paths(s, t):
+        return 1 if s == t else sum(paths(s, w) for w in NEAR[t] if d[s].get(w) == d[s][t] - 1)
+
+    want = {v: sum(paths(a, v) * paths(v, b) / paths(a, b) for a, b in every if b in d[a] and v not in (a, b) and v in d[a] and b in d[v] and d[a][v] + d[v][b] == d[a][b]) / len(every) for v in range(N)}
+    assert table(traverse.betweenness_sampled(g, spark.createDataFrame(every, "s long, t long")), "id", "score") == pytest.approx(want)
+    s = g.vertices.select(F.col("id").alias("source"))
+    assert {v: x / len(every) for v, x in table(traverse.betweenness(g, s), "id", "score").items()} == pytest.approx(want)
+    assert table(traverse.closeness_sampled(g, s), "id", "score") == pytest.approx({v: (len(d[v]) - 1) / sum(d[v].values()) if len(d[v]) > 1 else 0.0 for v in d})
+    top = max((len(x), -min(x)) for x in d.values())
+    assert {r.id for r in traverse.largest_component(g).vertices.collect()} == set(d[-top[1]])
+
+
+def test_hits_rank_degree_and_fire(g):
+    h = linalg.hits(g, 30)
+    assert h.agg(F.sum(F.col("score") ** 2)).first()[0] == pytest.approx(1)
+    assert h.where("abs(score - hub) > 1e-3").count() == 0  # the graph is symmetric
+    for name in ("rank_degree", "forest_fire"):
+        e = getattr(traverse, name)(g, 0.5)
+        assert e.exceptAll(g.edges).count() == 0 and abs(e.count() - len(EDGES) / 2) <= (1 if name == "forest_fire" else len(EDGES) / 4)
+        assert getattr(traverse, name)(g.with_edges(g.edges.repartition(5)), 0.5).exceptAll(e).count() == 0
+
+
+def test_communities(spark):
+    cliques = [(6 * k + a, 6 * k + b, 1.0) for k in range(8) for a in range(6) for b in range(a + 1, 6)] + [(6 * k, (6 * k + 7) % 48, 1.0) for k in range(8)]
+    g = Graph(spark.range(50), spark.createDataFrame([(min(a, b), max(a, b), w) for a, b, w in cliques], "src long, dst long, w double"))
+    found = metrics.louvain(g)
+    labels = table(found, "id", "comm")
+    assert len(labels) == 50 and len({labels[48], labels[49]}) == 2
+    assert all(labels[6 * k] == labels[6 * k + a] for k in range(8) for a in range(6))
+    assert metrics.modularity(g, found).first().modularity > 0.75
+
+
+def test_spectrum_and_electrical(spark):
+    k = Graph(spark.range(8), generators.complete(spark, 8))
+    assert [r.value for r in linalg.top_eigenvalues(k, 3).collect()] == pytest.approx([8, 8, 8])
+    assert table(linalg.electrical_closeness(k), "id", "score") == pytest.approx({v: 4.0 for v in range(8)})
+
+
+def test_forms_and_eccentricities_of_variants(spark, g):
+    v = g.edges.select("*", F.lit("same").alias("algo"), F.lit(0.0).alias("prune_rate"), F.lit(0).alias("run"))
+    half = sparsify.random_edges(g, [0.5])
+    r = linalg.form_similarity(v.unionByName(half), g, metrics.KEYS, 20)
+    rows = {x.algo: x for x in r.collect()}
+    assert rows["same"].ratio_min == rows["same"].ratio_max == 1.0 and 0.2 < rows["random"].ratio_mean < 0.8
+    s = g.vertices.where("id < 9").select(F.col("id").alias("source"))
+    e = metrics.eccentricities(v.unionByName(half), g, s)
+    base = {k: max(hops(k).values()) for k in range(9)}
+    assert {x.source: x.ecc for x in e.where("algo = 'same'").collect()} == base == {x.source: x.base for x in e.where("algo = 'random'").collect()}
+    d = {x.algo: x for x in metrics.eccentricity_distance(e).collect()}
+    assert d["same"].distance == pytest.approx(0, abs=1e-12) and d["same"].ratio_max == 1.0 and d["random"].distance > 0
+    one = metrics.score_ratios(traverse.local_clustering(g), traverse.local_clustering(g)).first()
+    assert one.ratio_min == one.ratio_max == 1.0
+
+
+def test_sweep_over_all_algorithms(g):
+    grids = {"k_neighbor": [1], "lspar": [0.5], "spanner": [3], "er": [0.5]}
+    rows = sweep.variant_sizes(sweep.sweep(g, sweep.ALGORITHMS, [0.5], 2, grids), g).collect()
+    assert {r.algo for r in rows} == {*sweep.ALGORITHMS, "original"}
+    assert all(len({r.run for r in rows if r.algo == a}) == 2 for a in ("random", "k_neighbor", "forest_fire"))
+    assert all(abs(r.prune_rate - 0.5) < 0.02 for r in rows if r.algo in (*sweep.RANKED, "random"))
+    with pytest.raises(ValueError):
+        sweep.sweep(g, ["none"])
+
+
+def test_poisson_counts_keep_the_weight(spark):
+    e = spark.range(3000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("w"), F.lit(1 / 3000).alias("p"))
+    for q in (3000, 3_000_000):  # one and a thousand of each edge
+        t = linalg.er_sample(e, q).agg(F.sum("w"), F.stddev_pop("w")).first()
+        assert t[0] == pytest.approx(3000, rel=0.06) and t[1] > 0
+
+
+def test_files(spark, g, tmp_path):
+    v = sparsify.random_edges(g, [0.3, 0.6])
+    files.write_variants(v, f"{tmp_path}/variants")
+    back = files.read_variants(spark, f"{tmp_path}/variants", F.col("prune_rate") == 0.3)
+    assert back.select(v.columns).exceptAll(v).count() == 0 and back.count() == v.where("prune_rate = 0.3").count()
+    files.write_text(g.edges, f"{tmp_path}/g.wel", weighted=True)
+    assert files.load_graph(spark, f"{tmp_path}/g.wel").exceptAll(g.edges).count() == 0
+    files.write_edge_csv(g.edges.coalesce(1), f"{tmp_path}/e.csv", f"{tmp_path}/w.csv")
+    assert files.read_edge_csv(spark, f"{tmp_path}/e.csv", f"{tmp_path}/w.csv").count() == len(EDGES)
+    with pytest.raises(ValueError):
+        files.write_edge_csv(g.edges, "")
+    g.edges.write.parquet(f"{tmp_path}/g.sg")
+    assert files.load_graph(spark, f"{tmp_path}/g.sg").exceptAll(g.edges).count() == 0
+    (tmp_path / "log").write_text("a\t1\t--\n\nb  2 3.5\n")
+    log = files.read_log(spark, str(tmp_path / "log")).withColumn("x", files.token(2)).orderBy("line_no").collect()
+    assert [(r.line_no, r.tokens[0]) for r in log] == [(0, "a"), (2, "b")] and math.isnan(log[0].x) and log[1].x == 3.5
+    lines = ["edges: 10", "f:consumed memory: 5.5 wall time: 2.0", "edges: 20", "h:consumed memory: 1.5 wall time: 3.0"]
+    p = files.parse_profile(spark.createDataFrame(list(enumerate(lines)), "line_no long, line string")).orderBy("line_no").collect()
+    assert [(r.name, r.edges, r.memory, r.seconds) for r in p] == [("f", 10, 5.5, 2.0), ("h", 20, 1.5, 3.0)]
+    normalize.validate(g)
+    with pytest.raises(ValueError):
+        normalize.validate(g.with_edges(g.edges.withColumn("dst", F.col("dst") + 100)))
+
+
+def test_stream_of_edges(spark, g, tmp_path):
+    g.edges.repartition(2).write.parquet(f"{tmp_path}/in")
+    s = stream.degree_stream(stream.sample_stream(stream.read_edge_stream(spark, f"{tmp_path}/in"), 0.0))
+    q = s.writeStream.format("memory").queryName("degrees").outputMode("complete").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert table(spark.table("degrees"), "id", "deg") == {v: len(NEAR[v]) for v in NEAR if NEAR[v]}
+
+
+def test_ties_in_summaries(spark):
+    rows = spark.createDataFrame([("a", 0.1, 5, "y"), ("a", 0.1, 5, "x"), ("a", 0.2, 1, "z")], "algo string, prune_rate double, edges long, name string")
+    assert {(r.prune_rate, r.name) for r in summary.first_of_rate(rows, ["algo"]).collect()} == {(0.1, "x"), (0.2, "z")}
