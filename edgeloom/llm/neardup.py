@@ -9,10 +9,11 @@ J^BAND, independently from band to band, so they meet with 1 - (1 - J^BAND)^many
 whatever the number of texts. Sets without common shingles do not meet, so lists are as long as groups of similar texts.
 
 Every edge is a pair whose similarity was computed. All members of a list are first compared with one of them, the first in an
-order that is the same for all lists, so a group of copies has few such texts. Members that this connects need no more; the
-others, few in a group of copies, are compared with all members of their lists that they are not yet connected to. That gives
-the components of all pairs that meet and reach the similarity. Pairs whose sizes rule the similarity out are not compared. Long
-lists are dealt out in parts, to which the text that all are compared with is copied.
+order that is the same for all lists, so a group of copies has few such texts; rounds with other members follow as long as they
+connect more. Members that this connects need no more. The others are compared, within tasks, with all members of their lists that
+they are not yet connected to, each pair in the first list that it meets in; only links come out. That gives the components of all
+pairs that meet and reach the similarity. Pairs whose sizes rule the similarity out are not compared. Long lists are dealt out in
+blocks of PART by PART members at most.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ from edgeloom.llm.simhash import shingle_hashes
 
 RECALL, BAND = 0.999, 5
 #: Members of a list in one part; bytes kept of a shingle's hash in packed sets.
-PART, KEPT = 2048, 6
+PART, KEPT = 1024, 6
+#: In full at once if each member of the lists that are left would be compared with so many others or fewer.
+FEW = 8
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
@@ -92,16 +95,16 @@ def sketches(docs: DataFrame, words: int, similarity: float) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(node, set) of docs (node long, text): the sorted hashes of the shingles, packed in KEPT bytes each."""
+    """(node, set, bands) of docs (node long, text, bands): the sorted hashes of the shingles, packed in KEPT bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 sets = [packed(shingle_set(t.as_py(), words)) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["node", "set"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary()), part.column(2)], ["node", "set", "bands"])
 
-    return docs.select("node", F.col("text").cast("string")).mapInArrow(run, "node long, set binary")
+    return docs.select("node", F.col("text").cast("string"), "bands").mapInArrow(run, "node long, set binary, bands array<long>")
 
 
 def packed(s: np.ndarray) -> bytes:
@@ -124,7 +127,7 @@ def alike(a: bytes, b: bytes, similarity: float) -> bool:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets have this similarity at least.
+    """The pairs (a, b) whose sets have this similarity at least. sets: (node, set).
 
     pairs: (hub, node, parts): a hub may have very many nodes, so its set is copied to `parts` parts, among which they are dealt.
     """
@@ -149,30 +152,107 @@ def similar(posted: DataFrame, close: DataFrame, sets: DataFrame, similarity: fl
     """(id, label): the components of all candidate pairs that have the similarity.
 
     posted: (key, node, size), a written table of the lists of two nodes and more; close: (hub, node), candidates besides these; sets:
-    (node, set) of all their nodes, written.
+    (node, set, bands) of all their nodes, written. Rounds of comparing lists with one member leave few nodes that are still apart from
+    the others of a list; these are compared with all members that they are not connected to, so the rounds change the work alone.
     """
-    lists = posted.groupBy("key").agg(F.min_by(F.struct("node", "size"), F.xxhash64("node")).alias("h"), F.count(F.lit(1)).alias("n"))
+    spark, asked, label, before = posted.sparkSession, [], None, math.inf
+    pairs = materialize(_not_yet(_stars(posted, similarity).unionByName(close.withColumn("parts", F.lit(1).cast("long"))), asked), "pairs")
+    while True:
+        label = _joined(label, materialize(confirmed(pairs, sets.select("node", "set"), similarity), "confirmed"))
+        asked.append(pairs)
+        member = materialize(posted.join(label, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label")), "members")
+        each = member.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+        main = each.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
+        main = materialize(main.where("most < n").select("key", "main", "most", "n"), "main")
+        work, rows = main.agg(F.coalesce(F.sum(F.expr("(n - most) * n")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        left = member.join(main, "key")
+        if work <= FEW * rows or work > 0.8 * before:  # few enough, or not to be had with single members
+            label = _joined(label, materialize(_in_full(left, sets, similarity), "confirmed"))
+            break
+        before = work
+        pairs = materialize(_not_yet(_stars(left.where("label = main"), similarity, left.where("label <> main"), len(asked)), asked), "pairs")
+        for t in (member, main):
+            release(spark, t)
+    for t in (member, main, *asked):
+        release(spark, t)
+    return label.withColumnRenamed("node", "id")
+
+
+def _joined(label: DataFrame | None, new: DataFrame) -> DataFrame:
+    """(node, label) after more edges (a, b)."""
+    links = new if label is None else new.unionByName(label.select(F.col("node").alias("a"), F.col("label").alias("b")))
+    out = components(links).select(F.col("id").alias("node"), "label")
+    for t in (new, *([] if label is None else [label])):
+        release(out.sparkSession, t)
+    return out
+
+
+def _stars(members: DataFrame, similarity: float, others: DataFrame | None = None, salt: int = 0) -> DataFrame:
+    """(hub, node, parts): a member of each list against the others (default: the members). Without a salt the member is the first in
+    an order of all nodes, else it is another one in each list."""
+    order = F.xxhash64("key", F.lit(salt), "node") if salt else F.xxhash64("node")
+    lists = members.groupBy("key").agg(F.min_by(F.struct("node", "size"), order).alias("h"), F.count(F.lit(1)).alias("n"))
     lists = lists.select("key", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size"), F.ceil(F.col("n") / PART).alias("parts"))
-    stars = posted.join(lists, "key").where((F.col("node") != F.col("hub")) & _sizes_allow("size", "hub_size", similarity)).select("hub", "node", "parts")
-    stars = stars.unionByName(close.withColumn("parts", F.lit(1).cast("long")))
-    stars = materialize(stars.groupBy("hub", "node").agg(F.max("parts").alias("parts")), "stars")
-    edges = materialize(confirmed(stars, sets, similarity), "confirmed")
-    label = components(edges).select(F.col("id").alias("node"), "label")
-    member = materialize(posted.join(label, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label")), "members")
-    main = member.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.ceil(F.sum("n") / PART).alias("parts"))
-    left = member.join(main.where("labels > 1"), "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    guests = left.where("label <> main").select("key", F.col("node").alias("guest"), F.col("size").alias("own_size"), F.col("label").alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    rest = guests.join(left, ["key", "part"]).where(F.expr("label <> own and (label = main or guest < node)") & _sizes_allow("size", "own_size", similarity))
-    rest = rest.groupBy(F.col("guest").alias("hub"), "node").agg(F.max("parts").alias("parts"))
-    done = stars.select("hub", "node").unionByName(stars.select(F.col("node").alias("hub"), F.col("hub").alias("node")))
-    rest = materialize(rest.join(done, ["hub", "node"], "left_anti"), "rest")  # without those that have been compared
-    more = materialize(confirmed(rest, sets, similarity), "confirmed")
-    if not more.limit(1).count():
-        return label.withColumnRenamed("node", "id")
-    found = components(edges.union(more))
-    for t in (stars, member, rest, edges, more):
-        release(t.sparkSession, t)
-    return found
+    others = members if others is None else others
+    return others.select("key", "node", "size").join(lists, "key").where((F.col("node") != F.col("hub")) & _sizes_allow("size", "hub_size", similarity)).select("hub", "node", "parts")
+
+
+def _in_full(left: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): in each list of (key, node, size, label, main, most, n), the links of those outside its main component to others that they
+    are not connected to. Blocks of up to PART by PART are compared within a task; only links come out of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(t: pa.Table) -> pa.RecordBatch | None:
+            guest, node, label, main, size = (t.column(c).to_numpy() for c in ("guest", "node", "label", "main", "size"))
+            bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+            packed, key = t.column("set").combine_chunks(), t.column("key")[0].as_py()
+            g, m = np.flatnonzero(guest), np.flatnonzero(~guest)
+            a, b = [], []
+            for i in g.tolist():
+                ok = m[(label[m] != label[i]) & ((label[m] == main[m]) | (node[i] < node[m])) & (np.minimum(size[m], size[i]) >= similarity * np.maximum(size[m], size[i]) - 1e-9)]
+                same = bands[ok] == bands[i]
+                ok = ok[bands[i][same.argmax(1)] == key]  # the first list that the pair meets in
+                own = packed[i].as_buffer() if len(ok) else None
+                for j in ok.tolist():
+                    if alike(own, packed[j].as_buffer(), similarity):
+                        a.append(node[i])
+                        b.append(node[j])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]) if a else None
+
+        held = None
+        for batch in simhash._with_end(batches):
+            if batch is not None:
+                more = pa.Table.from_batches([batch])
+                held = more if held is None else pa.concat_tables([held, more]).combine_chunks()
+            if held is None or not held.num_rows:
+                continue
+            at = np.stack([held.column(c).to_numpy() for c in ("key", "gp", "mp")])
+            starts = np.flatnonzero(np.r_[True, (at[:, 1:] != at[:, :-1]).any(0)]).tolist()
+            ends = [*starts[1:], held.num_rows]
+            whole = len(starts) if batch is None else len(starts) - 1  # the last block may go on
+            for s, e in zip(starts[:whole], ends[:whole]):
+                if (found := links(held.slice(s, e - s))) is not None:
+                    yield found
+            held = held.slice(starts[whole]) if whole < len(starts) else None
+
+    parts = lambda n: F.ceil(n / PART).cast("long")
+    dealt = lambda n: F.pmod(F.xxhash64("node"), parts(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), parts(n) - 1))
+    names = ["key", "node", "size", "label", "main"]
+    guests, total = F.col("n") - F.col("most"), F.col("n")
+    first = left.where("label <> main").select(*names, F.lit(True).alias("guest"), dealt(guests).alias("gp"), every(total).alias("mp"))
+    second = left.select(*names, F.lit(False).alias("guest"), every(guests).alias("gp"), dealt(total).alias("mp"))
+    rows = first.unionByName(second).join(sets, "node").select("key", "gp", "mp", "guest", "node", "size", "label", "main", "bands", "set")
+    return rows.repartition("key", "gp", "mp").sortWithinPartitions("key", "gp", "mp").mapInArrow(run, "a long, b long")
+
+
+def _not_yet(pairs: DataFrame, asked: list[DataFrame]) -> DataFrame:
+    """Each pair once, without those that have been compared, whichever way round."""
+    pairs = pairs.groupBy("hub", "node").agg(F.max("parts").alias("parts"))
+    for t in asked:
+        both = t.select("hub", "node").unionByName(t.select(F.col("node").alias("hub"), F.col("hub").alias("node")))
+        pairs = pairs.join(both, ["hub", "node"], "left_anti")
+    return pairs
 
 
 def close_prints(nodes: DataFrame, bits: int = 4) -> DataFrame:
@@ -199,9 +279,9 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     posted = materialize(posted.join(posted.groupBy("key").count().where("count > 1").select("key"), "key"), "posted")
     close = materialize(close_prints(nodes.select("node", "fp")), "close")
     met = posted.select("node").unionByName(close.select(F.explode(F.array("hub", "node")).alias("node"))).distinct()
-    met = nodes.join(met, "node", "left_semi").select("node", F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h"))
+    met = nodes.join(met, "node", "left_semi").select("node", "bands", F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h"))
     same = F.col("key.doc_id").eqNullSafe(F.col("_id")) & (F.col("key.h") == F.col("_h"))
-    texts = docs.select(key, "text").join(met.hint("shuffle_hash"), same).select("node", "text")  # ids alone are held
+    texts = docs.select(key, "text").join(met.hint("shuffle_hash"), same).select("node", "text", "bands")  # no texts are held
     repeats = bool(every.groupBy("key").count().where("count > 1").limit(1).count())
     release(docs.sparkSession, every)
     sets = shingle_sets(texts, words)
