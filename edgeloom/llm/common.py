@@ -23,9 +23,12 @@ def process_cache(name: str) -> dict:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (as in tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset (as in tests) one of our own, on one
+    machine only, since elsewhere it may be local to the driver."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_edgeloom_shared"
     return folder.rstrip("/")
 

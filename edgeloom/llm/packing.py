@@ -24,7 +24,9 @@ from edgeloom.llm.bpe import codec
 from edgeloom.llm.common import materialize
 
 #: Items of one length in one block, about; the number of blocks follows the number of items.
-BLOCK = 20_000
+BLOCK = 2000
+#: Intervals of the plan up to which it is broadcast.
+INTERVALS = 200_000
 
 
 @dataclass(frozen=True)
@@ -114,7 +116,7 @@ def pack(items: DataFrame, keys: list[str], length_col: str = "length", cap: Cap
     the operator's own: an input with such a name, or with sequence_id or offset, is refused.
     """
     cap = cap or Capacity()
-    own = {"_block", "_rank", "_before", "_lo", "_hi", "_bin", "_at", "_each", "_length", "sequence_id", "offset"}
+    own = {"_block", "_rank", "_before", "_lo", "_hi", "_bin", "_at", "_each", "_length", "_key", "_stretch", "sequence_id", "offset"}
     if clash := own & {c.lower() for c in items.columns}:
         raise ValueError(f"columns of these names are the operator's own: {sorted(clash)}")
     spark = items.sparkSession
@@ -130,10 +132,14 @@ def pack(items: DataFrame, keys: list[str], length_col: str = "length", cap: Cap
     placed = placed.withColumn("_rank", F.row_number().over(within) - 1)
     placed = placed.join(sizes, (placed[length_col] == sizes["_length"]) & (placed["_block"] == sizes["_b"])).drop("_length", "_b")
     table = spark.createDataFrame(rows or [], "_length long, _lo long, _hi long, _bin long, _at long, _each long")
-    # bounded by the plan: a few intervals a length, a row of 48 bytes each
-    table = F.broadcast(table) if len(rows) < 200_000 else table
-    rank = F.col("_before") + F.col("_rank")
-    placed = placed.withColumn("_rank", rank).join(table, (placed[length_col] == table["_length"]) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
+    if len(rows) < INTERVALS:  # a few intervals a length as a rule, a row of 48 bytes each
+        table = F.broadcast(table.withColumn("_key", F.lit(0).cast("long")))
+        key = F.lit(0).cast("long")
+    else:  # an interval stands under each stretch of ranks that it touches, so a frequent length is no one key
+        table = table.withColumn("_key", F.explode(F.expr(f"sequence(_lo div {BLOCK}, (_hi - 1) div {BLOCK})")))
+        key = F.floor(F.col("_rank") / BLOCK)
+    placed = placed.withColumn("_rank", F.col("_before") + F.col("_rank")).withColumn("_stretch", key)
+    placed = placed.join(table, (placed[length_col] == table["_length"]) & (F.col("_stretch") == F.col("_key")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
     nth = F.col("_rank") - F.col("_lo")
     return placed.select(
         *items.columns,

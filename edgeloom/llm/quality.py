@@ -158,8 +158,14 @@ def expression(rules: list[Rule]) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000) -> list[Rule]:
-    """Rules for quality 0, from at most `rows` labelled documents, in hashed order, that pass the base rules."""
-    h = F.xxhash64("doc_id")
+    """Rules for quality 0, from at most `rows` labelled documents, in hashed order, that pass the base rules.
+
+    Null ids and null labels take no part; of several labels of an id the lowest counts; a document that is there twice counts
+    twice; labels without a document count nowhere. Other columns are not looked at. Among equally good conditions the first
+    feature and the lowest threshold are taken. Without labels, or without bad rows, there are no rules.
+    """
+    h, kind = F.xxhash64("doc_id"), docs.schema["doc_id"].dataType.simpleString()
+    labels = labels.select(F.expr(f"try_cast(doc_id as {kind})").alias("doc_id"), "quality")
     some = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(h, "doc_id").limit(rows)
     picked = {r["doc_id"]: r["quality"] for r in some.collect()}
     ids = docs.sparkSession.createDataFrame([(k,) for k in picked], docs.select("doc_id").schema)
@@ -173,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000) -> list[Rule]:
 
 
 def judge(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """statistics() and kept: false where the base rules or the list reject the text."""
+    """statistics() and kept: false where the base rules or the list reject the text. Null and repeated rows as in statistics()."""
     return statistics(docs, id_col, text_col).withColumn("kept", ~F.col("base_failed") & expression(rules))
 
 
