@@ -258,7 +258,7 @@ def probabilities(resistances: DataFrame) -> DataFrame:
 
 
 def draws(n: int, eps: float, c: float = 4 / 30) -> int:
-    """How many samples the accuracy eps asks for."""
+    """How many samples the accuracy eps asks for. c = 4 / 30 and the factor 9 c^2."""
     return round(n * math.log(n) * 9 * c**2 / eps**2)
 
 

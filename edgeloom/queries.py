@@ -164,7 +164,7 @@ def _form_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 
 _edges("er_sweep", nation_graph, lambda g: linalg.er_sweep(linalg.probabilities(linalg.resistance_exact(g)), 25, [0.3, 0.5, 1.0], 2))
-_edges("top_eigenvalues", nation_graph, lambda g: linalg.top_eigenvalues(g).withColumn("value", F.round("value", 3)))
+_edges("top_eigenvalues", nation_graph, lambda g: linalg.top_eigenvalues(g, rounds=15).withColumn("value", F.round("value", 3)))
 _edges("electrical_closeness", nation_graph, lambda g: linalg.electrical_closeness(g).withColumn("score", F.round("score", 9)))
 
 # -- properties -------------------------------------------------------------------------------------------------------------
@@ -374,7 +374,7 @@ def _rank_sweep(spark: SparkSession, d: str) -> DataFrame:
 @query("full_sweep")
 def _full_sweep(spark: SparkSession, d: str) -> DataFrame:
     g = nation_graph(spark, d)
-    return sweep.variant_sizes(sweep.sweep(g, sweep.ALGORITHMS, [0.3, 0.7], 2), g)
+    return sweep.variant_sizes(sweep.sweep(g, sweep.ALGORITHMS, [0.5], 1, {"k_neighbor": [2, 8], "lspar": [0.3, 0.6], "spanner": [3], "er": [0.5, 1.0]}), g)
 
 
 @query("mean_of_top", "select k, round(sum(greatest(p, 0)) / 10, 6) top_mean from (select o_custkey % 50 k, o_totalprice p from orders qualify row_number() over (partition by o_custkey % 50 order by o_totalprice desc) <= 10) group by k")
