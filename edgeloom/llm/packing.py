@@ -24,7 +24,7 @@ from edgeloom.llm.bpe import codec
 from edgeloom.llm.common import materialize
 
 #: Items of one length in one block, about; the number of blocks follows the number of items.
-BLOCK = 2000
+BLOCK = 500
 #: Intervals of the plan up to which it is broadcast.
 INTERVALS = 200_000
 
@@ -123,7 +123,7 @@ def pack(items: DataFrame, keys: list[str], length_col: str = "length", cap: Cap
     items = items.where(F.col(length_col) >= 1)
     counts = {int(r[0]): r[1] for r in items.groupBy(length_col).count().collect()}  # at most cap.tokens rows, else plan() refuses
     rows = plan(counts, cap)
-    blocks = max(1, max(counts.values(), default=0) // BLOCK)
+    blocks = 1 + max(counts.values(), default=0) // BLOCK
     placed = items.withColumn("_block", F.pmod(F.xxhash64(*keys), F.lit(blocks)))
     sizes = placed.groupBy(F.col(length_col).alias("_length"), F.col("_block").alias("_b")).count()
     before = Window.partitionBy("_length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
