@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeloom.llm import bpe, chat, langid, license, lm, packing, quality, simhash, structure, topk, toxicity
+from edgeloom.llm import bpe, chat, divergence, langid, license, lm, packing, quality, simhash, structure, subword, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -21,8 +21,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         chat.op8_token_assembly,
         simhash.op9_byte_position_index,
         langid.op10_string_kernel,
+        divergence.op11_radix_tries,
+        subword.op12_subword_embeddings,
         structure.op13_structure_fold,
     )
 }
 
-ORACLES: dict[str, str] = {"op3_tiled_topk": topk.OP3_SQL, "op8_token_assembly": chat.OP8_SQL, "op13_structure_fold": structure.OP13_SQL}
+ORACLES: dict[str, str] = {"op3_tiled_topk": topk.OP3_SQL, "op8_token_assembly": chat.OP8_SQL, "op11_radix_tries": divergence.OP11_SQL, "op13_structure_fold": structure.OP13_SQL}

@@ -1,8 +1,9 @@
 """Quality scores from supervised subword embeddings.
 
-A word and its character n-grams (of <word>, with its ends marked) hash to rows of one table of vectors. A text's vector is the mean
-over all of these of all its words; a soft maximum over a linear map of it gives the chance of each label. Table and map are learned
-together by stochastic gradient descent in numpy, on a bounded sample of labelled documents.
+A word and its character n-grams (of <word>, with its ends marked) hash to rows of one table of vectors. A word that repeats the one
+before it is followed by a token of its own, so pairs of equal words share what they teach. A text's vector is the mean over all of
+these of all its words; a soft maximum over a linear map of it gives the chance of each label. Table and map are learned together by
+stochastic gradient descent in numpy, on a bounded sample of labelled documents.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from edgeloom.llm.common import holdout, process_cache
 
 #: Lengths of n-grams; rows of the table for words, and as many for n-grams; length of a vector.
-GRAMS, BITS, DIM = (3, 4, 5), 16, 16
+GRAMS, BITS, DIM = (3, 4), 16, 16
 #: Labelled documents that the fit looks at, at most.
 FIT_DOCS = 2000
 EPOCHS, BATCH, RATE = 20, 32, 0.5
@@ -28,6 +29,8 @@ EPOCHS, BATCH, RATE = 20, 32, 0.5
 GOOD = 0.3
 #: Bounds of what a worker holds: words whose vectors are remembered, words that are hashed at once.
 WORDS, STRETCH = 200_000, 8192
+#: What follows a word that repeats the one before; no word is one.
+AGAIN = " "
 _P = np.uint32(0x01000193)
 
 
@@ -60,6 +63,15 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids)[order], place[order]
 
 
+def counted(text: str) -> Counter:
+    """How often each token is there."""
+    words = text.split()
+    c = Counter(words)
+    if again := sum(a == b for a, b in zip(words, words[1:])):
+        c[AGAIN] = again
+    return c
+
+
 @dataclass
 class Model:
     table: np.ndarray
@@ -81,7 +93,7 @@ class Model:
 
 
 def fit(texts: list[dict[str, int]], good: np.ndarray, seed: int = 0, epochs: int = EPOCHS, rate: float = RATE) -> Model:
-    """texts: counts of words. Plain gradient descent on the mean cross-entropy of batches, at a rate that falls to zero. A row's
+    """texts: their tokens' counts. Plain gradient descent on the mean cross-entropy of batches, at a rate that falls to zero. A row's
     gradient holds its share of the text, so the rate of the table is divided by the mean square of the texts' shares."""
     r = np.random.default_rng(seed)
     m = Model(r.uniform(-1 / DIM, 1 / DIM, (2 << BITS, DIM)).astype(np.float32), np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32))
@@ -140,12 +152,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_DOCS) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts = [Counter(x.split()) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([" ".join(c) for c in counts], pa.string()), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))], ["doc_id", "words", "counts"])
+            counts = [counted(x) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))], ["doc_id", "words", "counts"])
 
-    schema = StructType([docs.schema["doc_id"], *StructType.fromDDL("words string, counts array<long>").fields])
+    schema = StructType([docs.schema["doc_id"], *StructType.fromDDL("words array<string>, counts array<long>").fields])
     got = sorted((r["doc_id"], r["words"], r["counts"]) for r in chosen.mapInArrow(run, schema).collect())
-    return fit([dict(zip(w.split(), n)) for _, w, n in got], np.array([picked[k] == 1 for k, _, _ in got], bool))
+    return fit([dict(zip(w, n)) for _, w, n in got], np.array([picked[k] == 1 for k, _, _ in got], bool))
 
 
 def rate(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,6 +174,7 @@ def rate(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         if not kept:
             kept.update(at={}, sums=np.zeros((WORDS + 1, DIM), np.float32), sizes=np.zeros(WORDS + 1, np.float32))
         sums, sizes = kept["sums"], kept["sizes"]
+        once, alone = (x[0] for x in m.vectors([AGAIN]))
 
         def places(words: list[str]) -> np.ndarray:
             """Where the words' vectors are kept; at most WORDS words."""
@@ -188,6 +201,10 @@ def rate(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                     first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
                     total[own[first]] += np.add.reduceat(sums[where], first, dtype=np.float64)
                     n[own[first]] += np.add.reduceat(sizes[where], first, dtype=np.float64)
+                    same = np.r_[lo > 0 and words[lo - 1] == words[lo] and owner[lo - 1] == owner[lo], (where[1:] == where[:-1]) & (own[1:] == own[:-1])]
+                    again = np.bincount(own[same], minlength=len(texts))
+                    total[:] += again[:, None] * once.astype(float)
+                    n[:] += again * float(alone)
                 words.clear(), owner.clear()
 
             for k, x in enumerate(texts):
