@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, replace
+from typing import Any
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 @dataclass(frozen=True)
@@ -48,16 +53,95 @@ def canonical(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst").groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("w").alias("w"))
 
 
+#: Folders kept by the calls of tidied() functions that run now, the innermost last.
+_OPEN: list[list[str]] = []
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, removed when the process ends if it is still there then, even after the session's end."""
+    path = f"{shared_folder(spark)}/edgeloom-{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark.sparkContext._jsc.hadoopConfiguration(), path)
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
 def keep(df: DataFrame, name: str = "step") -> DataFrame:
     """Cut the lineage: write df to the folder that the cluster shares (spark.checkpoint.dir) and read it back.
 
-    What iterations need to stay short, and what survives a lost executor. The files go when the process ends.
+    What iterations need to stay short, and what survives a lost executor. The files go when the process ends, or with the tidied()
+    call that kept them.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/edgeloom-{name}-{uuid.uuid4().hex}"
+    path = _folder(df.sparkSession, name)
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _frames(x: Any) -> list[DataFrame]:
+    if isinstance(x, DataFrame):
+        return [x]
+    if isinstance(x, Graph):
+        return [x.vertices, x.edges]
+    return [f for y in x for f in _frames(y)] if isinstance(x, (tuple, list)) else []
+
+
+def tidied(f: Callable) -> Callable:
+    """f, after which only those tables stay that it kept and that its outcome reads."""
+
+    @functools.wraps(f)
+    def run(*args: Any, **more: Any) -> Any:
+        _OPEN.append([])
+        try:
+            out = f(*args, **more)
+        except BaseException:
+            _OPEN.pop()
+            raise
+        made, frames = _OPEN.pop(), _frames(out)
+        read = {part for t in frames for file in t.inputFiles() for part in file.split("/")}
+        for path in made:
+            if path.rsplit("/", 1)[1] not in read:
+                _remove(frames[0].sparkSession if frames else SparkSession.active(), path)
+            elif _OPEN:
+                _OPEN[-1].append(path)
+        return out
+
+    return run
+
+
+class Log:
+    """A table in the shared folder that grows by parts, each written once. However many parts there are, all() is one scan."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path = spark, _folder(spark, name)
+        self.parts: list[str] = []
+        self.schema: StructType | None = None
+
+    def append(self, df: DataFrame) -> DataFrame:
+        """df, written as the next part."""
+        self.schema = self.schema or df.schema
+        self.parts.append(f"{self.path}/{len(self.parts)}")
+        df.select(*self.schema.names).write.parquet(self.parts[-1])
+        return self.last(1)
+
+    def last(self, n: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.parts[-n:])
+
+    def part(self, n: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.parts[n])
+
+    def all(self) -> DataFrame:
+        return self.last(len(self.parts))
+
+
+def adjacency(edges: DataFrame, key: str = "src", name: str = "adjacency") -> DataFrame:
+    """edges, written once in as many buckets by key as there are shuffle partitions, and sorted within them: a join on key shuffles
+    the other side only, however often it is done. The table is in the session's catalog until its files go."""
+    spark = edges.sparkSession
+    path = _folder(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    edges.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(table)
+    return spark.table(table)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -96,9 +180,17 @@ def ranked(df: DataFrame, order: list) -> DataFrame:
     return t.withColumn("rank", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before") + 1).drop("_b", "_at", "_before")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def _delete(conf: Any, path: str) -> None:
+    """Needs no session: the JVM outlives it."""
     try:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session may have ended; the folder's owner clears it then
+        p = SparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    except Exception:  # noqa: BLE001  the JVM may be gone at the end of the process
         pass
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    if spark.catalog.tableExists(table):
+        spark.sql(f"drop table {table}")
+    _delete(spark.sparkContext._jsc.hadoopConfiguration(), path)

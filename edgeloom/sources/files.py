@@ -5,6 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from edgeloom.graph import keep, tidied
+
+
+@tidied
+def numbered_lines(spark: SparkSession, path: str, where: Column | None = None) -> DataFrame:
+    """(file, file_no, split, at, line_no, line): the lines of a file or folder, numbered from 0 within their file (line_no) and over
+    all files in order of their names (at). where: a condition on line; lines that fail it are not numbered.
+
+    Files are read in splits, by as many tasks. A split's lines are numbered as they are read; how many lines the splits before it
+    have, a row a split, shifts the numbers. The lines are kept once, in the order of reading.
+    """
+    t = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").alias("line"))
+    t = keep((t if where is None else t.where(where)).withColumn("_n", F.monotonically_increasing_id()), "lines")
+    size = t.groupBy("file", "split").agg(F.min("_n").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    before = lambda w: F.coalesce(F.sum("_lines").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    size = size.withColumns({"_at": before(Window.orderBy("file", "split")), "_in": before(Window.partitionBy("file").orderBy("split")), "file_no": F.dense_rank().over(Window.orderBy("file")) - 1})  # a row a split
+    t = t.join(size, ["file", "split"])
+    own = F.col("_n") - F.col("_first")
+    return t.select("file", "file_no", "split", (F.col("_at") + own).alias("at"), (F.col("_in") + own).alias("line_no"), "line")
+
+
+def carried(lines: DataFrame, value: Column, name: str) -> DataFrame:
+    """numbered_lines() with the last non-null value up to each line of its file. Each split finds its own; what a split begins with
+    comes from the splits before, a row a split."""
+    t = lines.withColumn("_v", value)
+    ends = t.groupBy("file", "split").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("line_no"))).alias("_end"))
+    ends = ends.select("file", "split", F.last("_end", ignorenulls=True).over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)).alias("_begin"))
+    own = F.last("_v", ignorenulls=True).over(Window.partitionBy("file", "split").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    return t.join(ends, ["file", "split"]).withColumn(name, F.coalesce(own, "_begin")).drop("_v", "_begin")
+
 
 def _numbers(spark: SparkSession, path: str, sep: str = " ", weighted: bool = False) -> DataFrame:
     """Rows of ids and weight; lines that start with # and blank ones are skipped, tabs and commas count as spaces."""
@@ -32,15 +62,18 @@ def read_gr(spark: SparkSession, path: str) -> DataFrame:
 def read_metis(spark: SparkSession, path: str) -> DataFrame:
     """METIS: header `n m [fmt]` with fmt 0, 1 (edge weights) or 100; line i lists the neighbours of vertex i, ids from 1.
 
-    A line's number is what the format rests on, so the file is read as one text whose lines are numbered.
+    A line's number is what the format rests on: see numbered_lines(), which reads a long file by many tasks. Comments are no lines.
     """
-    t = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\n"), lambda s: ~s.startswith("%"))).alias("row", "line"))
-    fmt = t.where("row = 0").first()["line"].split()
+    t = numbered_lines(spark, path, ~F.col("line").startswith("%"))
+    head = t.where("at = 0").first()
+    if head is None:
+        raise ValueError("a METIS file without a header")
+    fmt = head["line"].split()
     code = fmt[2] if len(fmt) > 2 else "0"
     if code not in ("0", "1", "100", "00", "000", "001"):
         raise ValueError(f"unsupported METIS format {code}")
     weighted = code.endswith("1")
-    x = t.where("row > 0").select((F.col("row") - 1).cast("long").alias("src"), F.filter(F.split(F.trim("line"), " +"), lambda s: s != "").alias("x"))
+    x = t.where("at > 0").select((F.col("at") - 1).cast("long").alias("src"), F.filter(F.split(F.trim("line"), " +"), lambda s: s != "").alias("x"))
     e = x.select("src", F.posexplode("x").alias("i", "v"), "x")
     if weighted:
         return e.where("i % 2 = 0").select("src", (F.col("v").cast("long") - 1).alias("dst"), F.get("x", F.col("i") + 1).cast("double").alias("w"))
@@ -77,12 +110,18 @@ def load_graph(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_edge_csv(spark: SparkSession, edge_path: str, weight_path: str | None = None, sep: str = ",") -> DataFrame:
-    """Edges from one file and weights from another, line by line; no weight file: weight 1."""
+    """Edges from one file and weights from another, line by line; no weight file: weight 1. Blank lines count nowhere.
+
+    Either may be a folder of parts: lines are numbered over all parts in order of their names. More edges than weights: the rest
+    weigh 1; more weights than edges: the files don't belong together, which raises.
+    """
     if weight_path is None:
         return _numbers(spark, edge_path, sep)
-    lines = lambda path: spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\n"), lambda s: F.trim(s) != "")).alias("at", "v"))
-    x = lines(edge_path).select("at", F.split(F.trim("v"), f" *[{sep}] *| +").alias("x"))
-    w = lines(weight_path).select(F.col("at").alias("wat"), F.trim("v").cast("double").alias("w"))
+    lines = lambda path: numbered_lines(spark, path, F.trim("line") != "")
+    x = lines(edge_path).select("at", F.split(F.trim("line"), f" *[{sep}] *| +").alias("x"))
+    w = lines(weight_path).select(F.col("at").alias("wat"), F.trim("line").cast("double").alias("w"))
+    if w.count() > x.count():
+        raise ValueError("more weights than edges")
     both = x.join(w, x["at"] == w["wat"], "left")
     return both.select(F.get("x", F.lit(0)).cast("long").alias("src"), F.get("x", F.lit(1)).cast("long").alias("dst"), F.coalesce("w", F.lit(1.0)).alias("w"))
 
@@ -91,14 +130,19 @@ def write_text(edges: DataFrame, path: str, weighted: bool = False, sep: str = "
     edges.select(*(["src", "dst", "w"] if weighted else ["src", "dst"])).write.csv(path, sep=sep, header=header)
 
 
+@tidied
 def write_edge_csv(edges: DataFrame, edge_path: str, weight_path: str | None = None, sep: str = ",") -> None:
-    """Edge file, and weight file in the same order. An empty path is refused."""
+    """Edge file, and weight file in the same order. An empty path is refused.
+
+    Edges are sorted once, in ranges, and kept; both files are written from scans of that one table, so their parts hold the same rows
+    in the same order, parallel edges too.
+    """
     if not edge_path or weight_path in ("", "None"):
         raise ValueError("a path is missing")
-    ordered = edges.orderBy("src", "dst")
-    ordered.select("src", "dst").write.csv(edge_path, sep=sep)
+    t = keep(edges.select("src", "dst", "w").repartitionByRange("src", "dst", "w").sortWithinPartitions("src", "dst", "w"), "ordered")
+    t.select("src", "dst").write.csv(edge_path, sep=sep)
     if weight_path:
-        ordered.select("w").write.csv(weight_path, sep=sep)
+        t.select("w").write.csv(weight_path, sep=sep)
 
 
 def write_variants(variants: DataFrame, path: str) -> None:
@@ -112,9 +156,9 @@ def read_variants(spark: SparkSession, path: str, where: Column | None = None) -
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, tokens) of a metric log: white-space tokens of each line."""
-    t = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    return t.where(F.trim("line") != "").select("file", "line_no", F.split(F.trim("line"), "\\s+").alias("tokens"))
+    """(file, line_no, tokens) of a metric log: white-space tokens of each line that is not blank, numbered within its file."""
+    t = numbered_lines(spark, path).where(F.trim("line") != "")
+    return t.select("file", "line_no", F.split(F.trim("line"), "\\s+").alias("tokens"))
 
 
 def token(i: int) -> Column:
@@ -124,13 +168,9 @@ def token(i: int) -> Column:
 
 
 def parse_profile(lines: DataFrame) -> DataFrame:
-    """(line_no, name, edges, memory, seconds) of a profiling log: each ':consumed' line with the edge count last seen above it.
-
-    lines: (line_no, line).
-    """
-    seen = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    count = F.expr("try_cast(regexp_extract(line, 'edges[: ]+([0-9]+)', 1) as bigint)")
-    t = lines.withColumn("edges", F.last(count, ignorenulls=True).over(seen))
+    """(file, line_no, name, edges, memory, seconds) of a profiling log: each ':consumed' line with the edge count last seen above it
+    in its file. lines: numbered_lines()."""
+    t = carried(lines, F.expr("try_cast(regexp_extract(line, 'edges[: ]+([0-9]+)', 1) as bigint)"), "edges")
     t = t.where(F.col("line").contains(":consumed memory:"))
     number = lambda p: F.expr(f"try_cast(regexp_extract(line, '{p}', 1) as double)")
-    return t.select("line_no", F.regexp_extract("line", "^([^:]+):consumed", 1).alias("name"), "edges", number("consumed memory: *([0-9.,]+)").alias("memory"), number("wall time: *([0-9.]+)").alias("seconds"))
+    return t.select("file", "line_no", F.regexp_extract("line", "^([^:]+):consumed", 1).alias("name"), "edges", number("consumed memory: *([0-9.,]+)").alias("memory"), number("wall time: *([0-9.]+)").alias("seconds"))
