@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from edgeloom.functions.rng import digest
 from edgeloom.functions.stats import bhattacharyya
-from edgeloom.graph import Graph, both_ways, canonical, keep, release
+from edgeloom.graph import Graph, Log, adjacency, both_ways, canonical, keep, release, tidied
 
 KEYS = ["algo", "prune_rate", "run"]
 
 
 def degree_histogram(variants: DataFrame, vertices: DataFrame, directed: bool, nbin: int = 100) -> DataFrame:
     """(KEYS, bin, p): share of vertices in each of nbin bins between the variant's own smallest and largest normalised degree."""
-    e = variants.where("src <> dst")
-    ends = e.select(*KEYS, F.col("src").alias("id")) if directed else e.select(*KEYS, F.explode(F.array("src", "dst")).alias("id"))
-    deg = ends.groupBy(*KEYS, "id").agg(F.count(F.lit(1)).alias("deg"))
-    grid = variants.select(*KEYS).distinct().join(vertices)  # every vertex of every variant, isolated ones too
-    d = grid.join(deg, [*KEYS, "id"], "left").select(*KEYS, F.coalesce("deg", F.lit(0)).alias("deg")).groupBy(*KEYS, "deg").agg(F.count(F.lit(1)).alias("c"))
+    end = lambda c: F.when(F.col("src") != F.col("dst"), F.col(c))  # noqa: E731  a loop has no ends, but stands for its variant
+    ends = variants.select(*KEYS, end("src").alias("id")) if directed else variants.select(*KEYS, F.explode(F.array(end("src"), end("dst"))).alias("id"))
+    deg = ends.groupBy(*KEYS, "id").agg(F.count("id").alias("deg"))
+    some = deg.groupBy(*KEYS, "deg").agg(F.count("id").alias("c"))
+    n = vertices.count()
+    alone = some.groupBy(*KEYS).agg((F.lit(n) - F.sum("c")).alias("c"))  # isolated vertices count by their number; a row a variant
+    d = some.where("c > 0").unionByName(alone.where("c > 0").select(*KEYS, F.lit(0).cast("long").alias("deg"), "c"))
     w = Window.partitionBy(*KEYS)  # one row a distinct degree
     d = d.withColumn("lo", F.min("deg").over(w)).withColumn("hi", F.max("deg").over(w)).withColumn("n", F.sum("c").over(w))
     b = F.when(F.col("hi") == F.col("lo"), F.lit(nbin // 2)).otherwise(F.least(F.floor((F.col("deg") - F.col("lo")) * nbin / (F.col("hi") - F.col("lo"))), F.lit(nbin - 1)))
@@ -33,6 +35,7 @@ def degree_distance(variants: DataFrame, original: Graph, nbin: int = 100) -> Da
     return h.join(base, "bin", "left").groupBy(*KEYS).agg(bhattacharyya(F.col("p"), F.col("q")).alias("distance"))
 
 
+@tidied
 def label_propagation(g: Graph, rounds: int | None = 5) -> DataFrame:
     """(id, comm): each vertex takes the label of the largest weight among its neighbours and itself, ties to the smallest.
 
@@ -54,6 +57,7 @@ def label_propagation(g: Graph, rounds: int | None = 5) -> DataFrame:
     return labels
 
 
+@tidied
 def louvain(g: Graph, rounds: int = 20, levels: int = 8, seed: int = 7) -> DataFrame:
     """(id, comm): communities by moves that raise the weighted modularity, on the graph and then on the graph of its communities.
 
@@ -120,19 +124,103 @@ def cover_f1(a: DataFrame, b: DataFrame) -> DataFrame:
     return sa.join(best, "ca", "left").agg(F.avg(F.coalesce("f", F.lit(0.0))).alias("f1"))
 
 
+@tidied
+def grow_communities(g: Graph, seeds: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """(comm, node): the natural community of each seed (id), which names it. Communities may overlap.
+
+    A community's fitness is k_in / k^alpha, k the weight of its nodes' edges and k_in of those that stay inside, by both ends. In a
+    round every open community takes in the neighbours that raise it most (one, or a quarter of its size once that is more), and then
+    loses the nodes, but for the seed, without which it is fitter. A community whose round brings no more fitness is left as before.
+    """
+    n = adjacency(g.both().where("src <> dst").groupBy("src", "dst").agg(F.sum("w").alias("w")))
+    deg = keep(g.vertices.join(n.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("deg")), "id", "left").select(F.col("id").alias("node"), F.coalesce("deg", F.lit(0.0)).alias("deg")), "degrees")
+    done = Log(g.spark, "cover")
+    now = keep(seeds.select(F.col("id").alias("comm"), F.col("id").alias("node")).distinct(), "cover")
+    fit = keep(now.select("comm", F.lit(0.0).alias("had")).distinct(), "fitness")
+
+    def inner(c: DataFrame) -> DataFrame:
+        """(comm, node, own, inside, deg) of the members and their neighbours."""
+        near = c.join(n, c["node"] == n["src"]).select("comm", F.col("dst").alias("node"), F.lit(0).alias("own"), F.col("w").alias("inside"))
+        t = near.unionByName(c.select("comm", "node", F.lit(1).alias("own"), F.lit(0.0).alias("inside")))
+        return t.groupBy("comm", "node").agg(F.max("own").alias("own"), F.sum("inside").alias("inside")).join(deg, "node")
+
+    def sums(t: DataFrame) -> DataFrame:
+        return t.where("own = 1").groupBy("comm").agg(F.sum("inside").alias("k_in"), F.sum("deg").alias("k"), F.count(F.lit(1)).alias("size"))
+
+    def fitness(k_in: Column, k: Column) -> Column:
+        return F.when(k > 1e-12, k_in / F.pow(k, F.lit(alpha))).otherwise(0.0)
+
+    eps = 1e-12
+    while now.limit(1).count():
+        t = keep(inner(now), "inside")
+        s = sums(t)
+        gain = fitness(F.col("k_in") + 2 * F.col("inside"), F.col("k") + F.col("deg")) - fitness(F.col("k_in"), F.col("k"))
+        w = Window.partitionBy("comm").orderBy(F.desc("gain"), "node")
+        better = t.where("own = 0").join(s, "comm").withColumn("gain", gain).where(F.col("gain") > eps).withColumn("nth", F.row_number().over(w))
+        more = better.where(F.col("nth") <= F.greatest(F.lit(1), F.floor(F.col("size") / 4))).select("comm", "node")
+        grown = keep(now.unionByName(more), "cover")
+        t2 = keep(inner(grown).where("own = 1"), "inside")
+        s2 = sums(t2)
+        loss = fitness(F.col("k_in") - 2 * F.col("inside"), F.col("k") - F.col("deg")) - fitness(F.col("k_in"), F.col("k"))
+        next_ = keep(t2.join(s2, "comm").where((loss <= eps) | (F.col("node") == F.col("comm"))).select("comm", "node"), "cover")
+        now_fit = keep(sums(inner(next_)).select("comm", fitness(F.col("k_in"), F.col("k")).alias("fit")), "fitness")
+        up = keep(now_fit.join(fit, "comm").where(F.col("fit") > F.col("had") + eps).select("comm", F.col("fit").alias("had")), "fitness")
+        done.append(now.join(up, "comm", "left_anti"))
+        last = (now, fit, t, t2, grown, now_fit)
+        now = keep(next_.join(up, "comm", "left_semi"), "cover")
+        fit = up
+        release(*last, next_)
+    return done.all() if done.parts else now
+
+
+@tidied
+def cover(g: Graph, alpha: float = 1.0, seed: int = 7) -> DataFrame:
+    """(comm, node): overlapping communities that together cover every vertex; see grow_communities().
+
+    Seeds are taken among the vertices that are not covered yet: those whose hash is less than that of their uncovered neighbours, so
+    that seeds do not lie side by side. Of equal communities that of the smallest seed stays.
+    """
+    g = Graph(g.vertices, keep(g.edges.select("src", "dst", "w"), "edges"), g.directed)
+    near = adjacency(g.both().select("src", "dst").where("src <> dst").distinct())
+    left = keep(g.vertices.select("id", F.struct(digest(seed, "id").alias("h"), "id").alias("h")), "left")
+    found = Log(g.spark, "cover")
+    while left.limit(1).count():
+        beside = left.join(near, left["id"] == near["src"]).groupBy(F.col("dst").alias("id")).agg(F.min("h").alias("low"))
+        seeds = left.join(beside, "id", "left").where("low is null or h < low").select("id")
+        new = found.append(grow_communities(g, seeds, alpha))
+        last, left = left, keep(left.join(new.select(F.col("node").alias("id")).distinct(), "id", "left_anti"), "left")
+        release(last)
+    if not found.parts:
+        return g.vertices.select(F.col("id").alias("comm"), F.col("id").alias("node")).limit(0)
+    every = found.all()
+    same = every.groupBy("comm").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("a"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("b"))
+    first = same.groupBy("n", "a", "b").agg(F.min("comm").alias("comm")).select("comm")
+    return every.join(first, "comm", "left_semi")
+
+
 def local_communities(g: Graph, seeds: DataFrame, alpha: float = 1.0, rounds: int = 3) -> DataFrame:
     """(comm, node): from each seed, in rounds, the neighbours join whose edges into the community are at least alpha times those
-    out of it: a local expansion by fitness, so communities may overlap."""
+    out of it: a quick expansion in which nothing leaves; see grow_communities() for one by fitness."""
     n = keep(g.both().select("src", "dst"), "nbrs")
     deg = g.degrees()
     c = keep(seeds.select(F.col("id").alias("comm"), F.col("id").alias("node")).unionByName(seeds.join(n, seeds["id"] == n["src"]).select(F.col("id").alias("comm"), F.col("dst").alias("node"))).distinct(), "cover")
     for _ in range(rounds):
-        inner = c.join(n, c["node"] == n["src"]).groupBy("comm", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("inside")).join(deg, F.col("node") == deg["id"])
-        more = inner.where(F.col("inside") >= alpha * (F.col("deg") - F.col("inside"))).select("comm", "node")
-        c = keep(c.unionByName(more).distinct(), "cover")
+        inside = c.join(n, c["node"] == n["src"]).groupBy("comm", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("inside")).join(deg, F.col("node") == deg["id"])
+        more = inside.where(F.col("inside") >= alpha * (F.col("deg") - F.col("inside"))).select("comm", "node")
+        last, c = c, keep(c.unionByName(more).distinct(), "cover")
+        release(last)
     return c
 
 
+def read_cover(spark: SparkSession, path: str) -> DataFrame:
+    """(comm, node) of a text file with a community a line: its nodes, parted by blanks. Communities are numbered by their lines;
+    blank lines and those that begin with # are none."""
+    from edgeloom.sources.files import numbered_lines
+
+    t = numbered_lines(spark, path, (F.trim("line") != "") & ~F.col("line").startswith("#"))
+    return t.select(F.col("at").alias("comm"), F.explode(F.array_distinct(F.split(F.trim("line"), "\\s+"))).cast("long").alias("node"))
+
+
 def degree_centrality(g: Graph) -> DataFrame:
     return g.degrees().select("id", F.col("deg").cast("double").alias("score"))
 

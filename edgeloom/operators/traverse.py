@@ -6,20 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.functions.rng import digest
-from edgeloom.graph import Graph, canonical, keep, ranked, release
+from edgeloom.graph import Graph, Log, adjacency, keep, ranked, release, tidied
+from edgeloom.operators import distances as far
 from edgeloom.operators.neighbors import triangles
 
 
+@tidied
 def connected_components(g: Graph) -> DataFrame:
     """(id, comp): the smallest id of each vertex's (weakly) connected component.
 
     Rounds of the smallest neighbouring label and the label's own label, until nothing moves; about the logarithm of the diameter.
     """
-    n = keep(Graph(g.vertices, g.edges).both().select("src", "dst").where("src <> dst").distinct(), "nbrs")
+    n = adjacency(Graph(g.vertices, g.edges).both().select("src", "dst").where("src <> dst").distinct())
     labels = keep(g.vertices.select("id", F.col("id").alias("comp")), "comp")
     while True:
-        near = n.join(labels, n["dst"] == labels["id"]).groupBy("src").agg(F.min("comp").alias("near"))
-        low = labels.join(near, labels["id"] == near["src"], "left").select("id", "comp", F.least("comp", F.coalesce("near", "comp")).alias("low"))
+        near = n.join(labels, n["src"] == labels["id"]).groupBy("dst").agg(F.min("comp").alias("near"))
+        low = labels.join(near, labels["id"] == near["dst"], "left").select("id", "comp", F.least("comp", F.coalesce("near", "comp")).alias("low"))
         up = labels.select(F.col("id").alias("up"), F.col("comp").alias("upper"))
         new = keep(low.join(up, low["low"] == up["up"]).select("id", F.least("low", "upper").alias("comp"), (F.least("low", "upper") < F.col("comp")).alias("moved")), "comp")
         release(labels)
@@ -28,42 +30,34 @@ def connected_components(g: Graph) -> DataFrame:
             return labels
 
 
+@tidied
 def spanning_forest(g: Graph, seed: int = 7) -> DataFrame:
     """The minimum spanning forest under the order (hash, src, dst): n minus the number of components edges.
 
-    Boruvka: each component takes its least outgoing edge, components merge, until none has one.
+    Boruvka with contraction: each component takes its least outgoing edge, components merge into one vertex, and edges within a
+    component go, so a round has at most half the vertices of the one before.
     """
-    e = keep(g.edges.where("src <> dst").withColumn("h", digest(seed, "src", "dst")), "edges")
-    comp = g.vertices.select("id", F.col("id").alias("comp"))
-    chosen = None
-    while True:
-        a, b = comp.select(F.col("id").alias("src"), F.col("comp").alias("ca")), comp.select(F.col("id").alias("dst"), F.col("comp").alias("cb"))
-        out = e.join(a, "src").join(b, "dst").where("ca <> cb")
-        ways = out.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct("h", "src", "dst", "w").alias("e"))
-        pick = keep(ways.groupBy("c").agg(F.min("e").alias("e")).select("e.src", "e.dst", "e.w").distinct(), "pick")
-        if not pick.limit(1).count():
-            empty = e.select("src", "dst", "w").limit(0)
-            return empty if chosen is None else chosen
-        chosen = pick if chosen is None else chosen.unionByName(pick).distinct()
-        comp = connected_components(Graph(g.vertices, chosen))
+    e = g.edges.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.struct(digest(seed, "src", "dst").alias("h"), "src", "dst", "w").alias("e"))
+    e = keep(e, "edges")
+    chosen = Log(g.spark, "forest")
+    while e.limit(1).count():
+        ways = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x"), "e")
+        least = keep(ways.groupBy("x.a").agg(F.min(F.struct("e", "x.b")).alias("m")).select("a", "m.b", "m.e"), "least")
+        chosen.append(least.select("e.src", "e.dst", "e.w").distinct())
+        comp = connected_components(Graph(least.select(F.col("a").alias("id")), least.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1.0).alias("w"))))
+        ca, cb = comp.select(F.col("id").alias("a"), F.col("comp").alias("ca")), comp.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
+        inner = e.join(ca, "a").join(cb, "b").where("ca <> cb").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.min("e").alias("e"))
+        last, e = e, keep(inner, "edges")
+        release(last, least)
+    return chosen.all() if chosen.parts else g.edges.select("src", "dst", "w").limit(0)
 
 
 def distances(g: Graph, sources: DataFrame, weighted: bool = False, depth: int | None = None) -> DataFrame:
-    """(source, id, dist): shortest distances from each source (source long) along edges.
-
-    State is (source, vertex); a round relaxes only what the last round improved.
-    """
-    e = keep(g.both().groupBy("src", "dst").agg(F.min("w" if weighted else F.lit(1.0)).alias("len")), "len")
-    state = keep(sources.select("source", F.col("source").alias("id"), F.lit(0.0).alias("dist"), F.lit(True).alias("new")), "dist")
-    step = 0
-    while state.where("new").limit(1).count() and (depth is None or step < depth):
-        reach = state.where("new").join(e, state["id"] == e["src"]).groupBy("source", F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("len")).alias("cand"))
-        both = state.select("source", "id", "dist").join(reach, ["source", "id"], "full")
-        better = F.col("dist").isNull() | (F.col("cand") < F.col("dist"))
-        last, state = state, keep(both.select("source", "id", F.least("dist", "cand").alias("dist"), F.coalesce(better, F.lit(False)).alias("new")), "dist")
-        release(last)
-        step += 1
-    return state.select("source", "id", "dist")
+    """(source, id, dist): shortest distances from each source (source long) along edges: hops level by level, weights bucket by
+    bucket. Each row is written once."""
+    if weighted and depth is not None:
+        raise ValueError("a depth is of hops")
+    return far.delta_stepping(g, sources) if weighted else far.hop_distances(g, sources, depth)
 
 
 def sample_vertices(g: Graph, n: int, seed: int = 7, nonzero: bool = False) -> DataFrame:
@@ -79,6 +73,7 @@ def eccentricity(dist: DataFrame, targets: DataFrame | None = None) -> DataFrame
     return dist.select("source").distinct().join(far, "source", "left").select("source", F.when(F.col("far") > 0, F.col("far")).otherwise(F.lit(float("inf"))).alias("ecc"))
 
 
+@tidied
 def largest_component(g: Graph) -> Graph:
     """The subgraph of the component of most vertices; of equally large ones that of the smallest id."""
     comp = keep(connected_components(g), "comp")
@@ -95,6 +90,7 @@ def effective_diameter(g: Graph, sources: DataFrame, share: float = 0.9) -> Data
     return run.where(F.col("upto") >= share * F.col("total")).agg(F.min("dist").alias("effective_diameter"))
 
 
+@tidied
 def pseudo_diameter(g: Graph, starts: DataFrame) -> DataFrame:
     """(start, diameter): from each start to its farthest vertex and on from there, until the distance grows no more."""
     at = keep(starts.select(F.col("source").alias("start"), F.col("source").alias("at"), F.lit(-1.0).alias("best")), "at")
@@ -116,35 +112,36 @@ def closeness(g: Graph, sources: DataFrame) -> DataFrame:
     return s.select(F.col("source").alias("id"), F.when(F.col("total") > 0, r / F.col("total") * r / (F.col("n") - 1)).otherwise(0.0).alias("score"))
 
 
+@tidied
 def betweenness(g: Graph, pivots: DataFrame) -> DataFrame:
     """(id, score): dependencies of shortest paths from the pivots; with every vertex as a pivot, exact betweenness (both ways)."""
-    d = keep(_path_counts(g, pivots), "sigma")
-    e = keep(g.both().select("src", "dst").distinct(), "nbrs")
-    deepest = int(d.agg(F.max("dist")).first()[0] or 0)
-    delta = keep(d.where(F.col("dist") == deepest).select("source", "id", F.lit(0.0).alias("delta")), "delta")
-    every = delta
-    for level in range(deepest - 1, -1, -1):
-        low = d.where(F.col("dist") == level).select("source", F.col("id").alias("v"), F.col("sigma").alias("sv"))
-        high = d.where(F.col("dist") == level + 1).select("source", F.col("id").alias("w"), F.col("sigma").alias("sw"))
-        back = high.join(delta, (high["w"] == delta["id"]) & (high["source"] == delta["source"])).select(high["source"], "w", "sw", "delta")
-        sums = low.join(e, low["v"] == e["src"]).join(back, (F.col("dst") == F.col("w")) & (low["source"] == back["source"])).groupBy(low["source"], "v").agg(F.sum(F.col("sv") / F.col("sw") * (1 + F.col("delta"))).alias("delta"))
-        delta = keep(low.join(sums, ["source", "v"], "left").select("source", F.col("v").alias("id"), F.coalesce("delta", F.lit(0.0)).alias("delta")), "delta")
-        every = every.unionByName(delta)
-    s = every.where("id <> source").groupBy("id").agg(F.sum("delta").alias("score"))
+    e = adjacency(g.both().select("src", "dst").distinct())
+    back = adjacency(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), name="behind") if g.directed else e
+    paths = _path_counts(e, pivots, g.directed)
+    every, delta = Log(g.spark, "delta"), None
+    for level in range(len(paths.parts) - 2, -1, -1):
+        low = paths.part(level)
+        if delta is not None:
+            give = delta.join(back, delta["id"] == back["src"]).groupBy("source", F.col("dst").alias("id")).agg(F.sum((1 + F.col("delta")) / F.col("sigma")).alias("got"))
+            low = low.join(give, ["source", "id"], "left")
+        else:
+            low = low.withColumn("got", F.lit(None).cast("double"))
+        delta = every.append(low.select("source", "id", "sigma", (F.col("sigma") * F.coalesce("got", F.lit(0.0))).alias("delta")))
+    s = every.all().where("id <> source").groupBy("id").agg(F.sum("delta").alias("score"))
     return g.vertices.join(s, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+@tidied
 def betweenness_sampled(g: Graph, pairs: DataFrame) -> DataFrame:
     """(id, score): the mean over sampled pairs (s, t) of the share of their shortest paths that pass through a vertex, an estimate of
-    betweenness over all pairs."""
+    betweenness over all pairs. Pairs are searched from both ends and meet; see between.shortest_path_shares()."""
+    from edgeloom.operators.between import shortest_path_shares
+
+    t = keep(pairs.where("s <> t").select(F.monotonically_increasing_id().alias("pair"), "s", "t"), "pairs")
     n = max(1, pairs.count())
-    a = keep(_path_counts(g, pairs.select(F.col("s").alias("source")).distinct()), "from")
-    back = Graph(g.vertices, g.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"), g.directed)
-    b = keep(_path_counts(back, pairs.select(F.col("t").alias("source")).distinct()), "to")
-    ends = pairs.join(a, (pairs["s"] == a["source"]) & (pairs["t"] == a["id"])).select("s", "t", F.col("dist").alias("d"), F.col("sigma").alias("all"))
-    half = ends.join(a.select(F.col("source").alias("s"), "id", F.col("dist").alias("da"), F.col("sigma").alias("sa")), "s").where("id <> s and id <> t")
-    via = half.join(b.select(F.col("source").alias("t"), "id", F.col("dist").alias("db"), F.col("sigma").alias("sb")), ["t", "id"]).where("da + db = d")
-    s = via.groupBy("id").agg((F.sum(F.col("sa") * F.col("sb") / F.col("all")) / F.lit(float(n))).alias("score"))
+    e = adjacency(g.both().select("src", "dst").where("src <> dst").distinct(), name="ahead")
+    back = adjacency(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), name="behind") if g.directed else e
+    s = shortest_path_shares(g.spark, e, back, t, g.directed).groupBy("id").agg((F.sum("share") / F.lit(float(n))).alias("score"))
     return g.vertices.join(s, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
@@ -154,19 +151,18 @@ def closeness_sampled(g: Graph, pivots: DataFrame) -> DataFrame:
     return g.vertices.join(s, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def _path_counts(g: Graph, sources: DataFrame) -> DataFrame:
-    """(source, id, dist, sigma): hops, and the number of shortest paths."""
-    e = keep(g.both().select("src", "dst").distinct(), "nbrs")
-    front = keep(sources.select("source", F.col("source").alias("id"), F.lit(0).alias("dist"), F.lit(1.0).alias("sigma")), "front")
-    seen, level = front, 0
+def _path_counts(e: DataFrame, sources: DataFrame, directed: bool) -> Log:
+    """(source, id, dist, sigma): hops, and the number of shortest paths, a part a level; the last is empty. e: adjacency (src, dst)."""
+    log = Log(e.sparkSession, "sigma")
+    front = log.append(sources.select("source", F.col("source").alias("id"), F.lit(0).alias("dist"), F.lit(1.0).alias("sigma")))
     while front.limit(1).count():
-        level += 1
         step = front.join(e, front["id"] == e["src"]).groupBy("source", F.col("dst").alias("id")).agg(F.sum("sigma").alias("sigma"))
-        front = keep(step.join(seen.select("source", "id"), ["source", "id"], "left_anti").select("source", "id", F.lit(level).alias("dist"), "sigma"), "front")
-        seen = seen.unionByName(front)
-    return seen
+        known = log.all() if directed else log.last(2)
+        front = log.append(step.join(known.select("source", "id"), ["source", "id"], "left_anti").select("source", "id", F.lit(len(log.parts)).alias("dist"), "sigma"))
+    return log
 
 
+@tidied
 def core_numbers(g: Graph) -> DataFrame:
     """(id, core): the largest k for which the vertex stays when all of degree below k are peeled away again and again.
 
@@ -186,17 +182,21 @@ def core_numbers(g: Graph) -> DataFrame:
             return core
 
 
+@tidied
 def k_path(g: Graph, walks: int = 1000, length: int = 5, seed: int = 7) -> DataFrame:
-    """(id, score): how often hashed walks of the given length visit a vertex."""
+    """(id, score): how often hashed walks of the given length visit a vertex. Walk k starts at the vertex whose place in hashed order
+    is k modulo the number of vertices, so a vertex starts as many walks as fall to it."""
     w = Window.partitionBy("src").orderBy("dst")
     n = keep(g.both().select("src", "dst").distinct().withColumn("at", F.row_number().over(w) - 1).withColumn("deg", F.count(F.lit(1)).over(Window.partitionBy("src"))), "nbrs")
-    start = sample_vertices(g, walks, seed).select(F.col("id").alias("walk"), F.col("id").alias("here"))
-    visits, here = start.select(F.col("here").alias("id")), start
+    order = keep(ranked(g.vertices.select("id", digest(seed, "id").alias("h")), ["h", "id"]), "order")
+    start = order.where(F.col("rank") <= walks).select("id", "rank", F.explode(F.sequence(F.col("rank") - 1, F.lit(walks - 1), F.col("m"))).alias("walk")).select("walk", F.col("id").alias("here"))
+    log = Log(g.spark, "walks")
+    here = log.append(start.select(F.col("walk").cast("long").alias("walk"), "here"))
     for step in range(length):
         pick = F.pmod(F.conv(F.substring(digest(f"{seed}:{step}", "walk"), 1, 8), 16, 10).cast("long"), F.col("deg"))
-        here = keep(here.join(n, here["here"] == n["src"]).where(F.col("at") == pick).select("walk", F.col("dst").alias("here")), "walk")
-        visits = visits.unionByName(here.select(F.col("here").alias("id")))
-    return g.vertices.join(visits.groupBy("id").agg(F.count(F.lit(1)).cast("double").alias("score")), "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+        here = log.append(here.join(n, here["here"] == n["src"]).where(F.col("at") == pick).select("walk", F.col("dst").alias("here")))
+    visits = log.all().groupBy(F.col("here").alias("id")).agg(F.count(F.lit(1)).cast("double").alias("score"))
+    return g.vertices.join(visits, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def local_clustering(g: Graph) -> DataFrame:
@@ -206,6 +206,7 @@ def local_clustering(g: Graph) -> DataFrame:
     return d.select("id", F.when(F.col("deg") > 1, 2 * F.coalesce("t", F.lit(0)) / (F.col("deg") * (F.col("deg") - 1))).otherwise(0.0).alias("score"))
 
 
+@tidied
 def directed_clustering(g: Graph) -> DataFrame:
     """(id, score): of a directed graph, the share of ordered pairs of out-neighbours that have an edge.
 
@@ -233,6 +234,7 @@ def global_clustering(g: Graph) -> DataFrame:
     return t.join(w).select("triangles", "triples", F.when(F.col("triples") > 0, 3 * F.col("triangles") / F.col("triples")).otherwise(0.0).alias("transitivity"))  # one row each
 
 
+@tidied
 def rank_degree(g: Graph, ratio: float, seeds: int = 10, rho: float = 0.1, seed: int = 7) -> DataFrame:
     """Seeds add their top max(1, int(rho * d)) neighbours by degree, which are the next seeds; fresh hashed seeds when none are left;
     rho rises by 0.1 when a thousand rounds bring at most a hundredth; ends once ratio * m edges are chosen."""
@@ -265,6 +267,7 @@ def rank_degree(g: Graph, ratio: float, seeds: int = 10, rho: float = 0.1, seed:
     return chosen if chosen is not None else g.edges.limit(0)
 
 
+@tidied
 def forest_fire(g: Graph, ratio: float, fires: int = 32, burnt_ratio: float = 5.0, seed: int = 7) -> DataFrame:
     """Fires from hashed vertices burn each edge of a burning vertex with chance 0.2 (ratio above one half) or 0.6, each until it is
     out; `fires` at a time are lit until burnt_ratio times as many edges have burnt as there are, or every vertex has lit one. An
