@@ -8,7 +8,8 @@ numbers.
 
 from __future__ import annotations
 
-from collections import Counter
+import gc
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +25,9 @@ DOCUMENTS = 10
 #: Ranks of terms that are reported; shares are in parts of UNIT.
 TOP, UNIT = 10, 1_000_000_000
 #: Bounds on what a task holds: entries counted before they go into the trie, leaves of the trie before it is passed on.
-HELD, LEAVES = 150_000, 200_000
+HELD, LEAVES = 300_000, 400_000
 #: Tails that a node of a trie keeps together before it is split by their first byte.
-TAILS = 48
+TAILS = 256
 #: Sources in a block, terms in a part: a task of the pair sums has one part of the terms of two blocks.
 BLOCK, PART = 64, 20_000
 #: Letters, lower-cased, and all bytes above ASCII; the rest parts terms.
@@ -44,30 +45,37 @@ class Trie:
         self.root: list = [None, {}]  # inner nodes: the leaf that ends here, and children by byte; others: tails to leaves
         self.leaves = 0
 
-    def add(self, counts: dict[bytes, int], key: int) -> None:
-        """Add to the counter `key` of each term's leaf."""
-        for term, n in counts.items():
-            node, up, i = self.root, None, 0
-            while type(node) is list:
-                if i == len(term):
-                    break
-                up, node = node, node[1].get(term[i])
-                i += 1
-            if type(node) is list:
-                leaf = node[0]
-                if leaf is None:
-                    leaf = node[0] = {}
+    def leaf(self, term: bytes) -> dict:
+        """The term's leaf, a new one if there is none."""
+        node, up, i = self.root, None, 0
+        while type(node) is list:
+            if i == len(term):
+                if node[0] is None:
+                    node[0] = {}
                     self.leaves += 1
-            else:
-                if node is None:
-                    node = up[1][term[i - 1]] = {}
-                leaf = node.get(tail := term[i:])
+                return node[0]
+            up, node = node, node[1].get(term[i])
+            i += 1
+        if node is None:
+            node = up[1][term[i - 1]] = {}
+        tail = term[i:]
+        leaf = node.get(tail)
+        if leaf is None:
+            leaf = node[tail] = {}
+            self.leaves += 1
+            if len(node) > TAILS:
+                up[1][term[i - 1]] = self._split(node)
+        return leaf
+
+    def add(self, counts: dict[int, dict[bytes, int]]) -> None:
+        """Add counts of terms to the counters of their leaves, by key; a leaf is looked for once."""
+        at: dict[bytes, dict] = {}
+        for key, own in counts.items():
+            for term, n in own.items():
+                leaf = at.get(term)
                 if leaf is None:
-                    leaf = node[tail] = {}
-                    self.leaves += 1
-                    if len(node) > TAILS:
-                        up[1][term[i - 1]] = self._split(node)
-            leaf[key] = leaf.get(key, 0) + n
+                    leaf = at[term] = self.leaf(term)
+                leaf[key] = leaf.get(key, 0) + n
 
     @staticmethod
     def _split(node: dict[bytes, dict]) -> list:
@@ -98,11 +106,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, text as bytes) to rows of tries: (lang, term, docs, sources, counts)."""
     tries: dict[str, Trie] = {}
     names: dict[str, int] = {}
-    held: dict[tuple[str, int], Counter] = {}
+    held: dict[str, dict[int, Counter]] = {}
 
     def settle() -> None:
-        for (lang, key), c in held.items():
-            tries.setdefault(lang, Trie()).add(c, key)
+        for lang, counts in held.items():
+            tries.setdefault(lang, Trie()).add(counts)
         held.clear()
 
     def out() -> Iterator[pa.RecordBatch]:
@@ -128,16 +136,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries.clear()
         names.clear()
 
+    gc.disable()  # nothing here has cycles, and the collector would walk the tries again and again; the worker's next task sets it anew
     for b in batches:
         for lang, source, text in zip(*(b.column(i).to_pylist() for i in range(3))):
             found = terms(text)
-            held.setdefault((lang, names.setdefault(source, len(names))), Counter()).update(found)
-            held.setdefault((lang, _DOCS), Counter()).update(set(found))
-            if sum(map(len, held.values())) > HELD:
+            own = held.get(lang)
+            if own is None:
+                own = held[lang] = defaultdict(Counter)
+            own[names.setdefault(source, len(names))].update(found)
+            own[_DOCS].update(set(found))
+            if sum(len(c) for x in held.values() for c in x.values()) > HELD:
                 settle()
                 if sum(t.leaves for t in tries.values()) > LEAVES:
                     yield from out()
     yield from out()
+    gc.enable()
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
