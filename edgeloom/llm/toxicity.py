@@ -1,7 +1,9 @@
 """Toxicity by a chain of linear classifiers.
 
 Categories are predicted one after the other; each model sees a text's words and the probabilities of the categories before it. In
-training those probabilities come from models of other folds, so that later models meet errors as they will meet them in use.
+training those probabilities come from models of other folds, so that later models meet errors as they will meet them in use. A
+category that is a kind of an earlier one is learned among that one's documents; its probability is the product of both, and it is
+told only where the wider one is.
 The words that may carry weight and the weights themselves are found on a bounded sample of the labelled documents.
 """
 
@@ -105,6 +107,8 @@ class Chain:
     vocabulary: dict[str, int]
     models: list[tuple[np.ndarray, np.ndarray, float]]
     thresholds: list[float]
+    #: For each category the place of the wider one that it is a kind of, or -1.
+    parents: list[int]
     #: Recall and precision of each category on out-of-fold probabilities.
     found: list[tuple[float, float]] = field(default_factory=list)
 
@@ -113,13 +117,21 @@ class Chain:
 
     def predict(self, x: list[np.ndarray]) -> np.ndarray:
         out = np.zeros((len(x), 0))
-        for model in self.models:
-            out = np.column_stack([out, _chances(x, out, model)])
+        for model, up in zip(self.models, self.parents):
+            own = _chances(x, out, model)
+            out = np.column_stack([out, own if up < 0 else own * out[:, up]])
         return out
 
+    def flags(self, p: np.ndarray) -> np.ndarray:
+        hit = np.zeros(p.shape, bool)
+        for i, (t, up) in enumerate(zip(self.thresholds, self.parents)):
+            hit[:, i] = (p[:, i] >= t) & (True if up < 0 else hit[:, up])
+        return hit
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], folds: int = 5, l2: float = 1e-3, chained: bool = True) -> Chain:
-    """categories, in the chain's order: a condition on labels each (null: not so). labels: doc_id and what the conditions read.
+
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], kinds: dict[str, str] | None = None, folds: int = 5, l2: float = 1e-3, chained: bool = True) -> Chain:
+    """categories, in the chain's order: a condition on labels each (null: not so). labels: doc_id and what the conditions read. kinds:
+    of a category the earlier one that it is a kind of; its condition has to imply that one's.
 
     The fit takes at most FIT_DOCS labelled ids, in hashed order; only these documents' words are read, and only counts of distinct
     words are shuffled. An id with several labels has a category if one of them says so; one that no document has is ignored;
@@ -140,7 +152,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], fol
     worth = F.greatest(*(F.abs(F.col(f"n_{i}") - F.col("n") * (total[i + 1] / total[0])) / F.sqrt(F.col("n")) for i in range(len(names))), F.lit(0.0))
     top = by_word.where(worth > EVIDENCE).orderBy(F.desc(worth), "word").limit(VOCABULARY).collect()
     vocabulary = {r["word"]: i for i, r in enumerate(top)}
-    held = Chain(names, vocabulary, [], [])
+    parents = [names.index(kinds[c]) if kinds and c in kinds else -1 for c in names]
+    if any(up >= i for i, up in enumerate(parents)):
+        raise ValueError("a kind stands before what it is a kind of")
+    held = Chain(names, vocabulary, [], [], parents)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,15 +165,20 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], fol
     x = [np.array(r["x"], np.int64) for r in got]
     y = np.array([picked[r["doc_id"]] for r in got], bool).reshape(len(got), len(names))
     fold = np.arange(len(x)) % folds
-    chain, before = Chain(names, vocabulary, [], []), np.zeros((len(x), 0))
-    for i in range(len(names)):
+    chain, before, told = Chain(names, vocabulary, [], [], parents), np.zeros((len(x), 0)), np.zeros((len(x), len(names)), bool)
+    for i, up in enumerate(parents):
         out, fed = np.zeros(len(x)), before if chained else before[:, :0]
+        among = np.ones(len(x), bool) if up < 0 else y[:, up]
         for k in range(folds):  # probabilities that later models train on come from models that have not seen the row
-            a, b = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+            a, b = np.flatnonzero((fold != k) & among), np.flatnonzero(fold == k)
             out[b] = _chances([x[j] for j in b], fed[b], _logistic([x[j] for j in a], fed[a], y[a, i], len(vocabulary), l2))
-        chain.models.append(_logistic(x, fed, y[:, i], len(vocabulary), l2))
-        chain.thresholds.append(_threshold(out, y[:, i]))
-        hit = out >= chain.thresholds[-1]
+        own = np.flatnonzero(among)
+        chain.models.append(_logistic([x[j] for j in own], fed[own], y[own, i], len(vocabulary), l2))
+        if up >= 0:
+            out *= before[:, up]
+        wide = told[:, up] if up >= 0 else np.ones(len(x), bool)
+        chain.thresholds.append(_threshold(np.where(wide, out, 0.0), y[:, i]))
+        hit = told[:, i] = wide & (out >= chain.thresholds[-1])
         chain.found.append((float(hit[y[:, i]].mean()) if y[:, i].any() else 0.0, float(y[hit, i].mean()) if hit.any() else 0.0))
         before = np.column_stack([before, out])
     return chain
@@ -181,10 +201,13 @@ def classify(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: st
     """(id, p_<category> double and is_<category> boolean of each category): every whole text's categories.
 
     A null or empty text has no words, so its probabilities are those of the biases. Repeated rows and null ids give a row each.
-    Only the two named columns are read, so others may have any name. Rows are independent: no shuffle.
+    Only the two named columns are read, so others may have any name; an id column called as one of the outcome's is refused. Rows
+    are independent: no shuffle.
     """
     held = docs.sparkSession.sparkContext.broadcast(tuple(vars(chain).values()))  # bounded by VOCABULARY
     names = [n for c in chain.categories for n in (f"p_{c}", f"is_{c}")]
+    if id_col in names:
+        raise ValueError(f"the id column is called {id_col}, as a column of the outcome")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Chain(*held.value)
@@ -192,7 +215,8 @@ def classify(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: st
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
                 p = c.predict([c.places(x or "") for x in part.column(1).to_pylist()])
-                cols = [a for i, t in enumerate(c.thresholds) for a in (pa.array(p[:, i]), pa.array(p[:, i] >= t))]
+                hit = c.flags(p)
+                cols = [a for i in range(p.shape[1]) for a in (pa.array(p[:, i]), pa.array(hit[:, i]))]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], [id_col, *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -201,12 +225,17 @@ def classify(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: st
 
 
 def label_categories() -> dict[str, Column]:
-    """The chain of op5, as far as `labels` can tell apart: toxic, toxic junk, and toxic though well written."""
+    """The chain of op5, as far as `labels` can tell apart, whose only fields are `toxic` and `quality`: toxic, and of its kinds toxic junk
+    and toxic though well written."""
     toxic = F.col("toxic") == 1
     return {"toxic": toxic, "toxic_junk": toxic & (F.col("quality") == 0), "toxic_fluent": toxic & (F.col("quality") == 1)}
 
 
+#: What the narrower categories of label_categories() are kinds of.
+LABEL_KINDS = {"toxic_junk": "toxic", "toxic_fluent": "toxic"}
+
+
 def op5_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    chain = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), label_categories())
+    chain = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), label_categories(), LABEL_KINDS)
     return classify(docs, chain)
