@@ -10,7 +10,7 @@ from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark import SparkContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -77,6 +77,19 @@ def keep(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keep_counted(df: DataFrame, name: str = "step", **sums: Column) -> tuple[DataFrame, dict[str, Any]]:
+    """keep(), and aggregates of the rows, by name, taken while they are written: `rows`, their number, and what else is asked for."""
+    path = _folder(df.sparkSession, name)
+    got = _observed(df, path, sums)
+    return df.sparkSession.read.schema(df.schema).parquet(path), got
+
+
+def _observed(df: DataFrame, path: str, sums: dict[str, Column]) -> dict[str, Any]:
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(n) for n, c in sums.items())).write.parquet(path)
+    return seen.get
+
+
 def _frames(x: Any) -> list[DataFrame]:
     if isinstance(x, DataFrame):
         return [x]
@@ -114,15 +127,22 @@ class Log:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.path = spark, _folder(spark, name)
         self.parts: list[str] = []
+        self.sums: list[dict[str, Any]] = []
         self.schema: StructType | None = None
 
-    def append(self, df: DataFrame) -> DataFrame:
-        """df, written as the next part."""
+    def append(self, df: DataFrame, **sums: Column) -> DataFrame:
+        """df, written as the next part; see rows and keep_counted()."""
         self.schema = self.schema or df.schema
-        self.parts.append(f"{self.path}/{len(self.parts)}")
-        df.select(*self.schema.names).write.parquet(self.parts[-1])
+        path = f"{self.path}/{len(self.parts)}"
+        self.sums.append(_observed(df.select(*self.schema.names), path, sums))
+        self.parts.append(path)
         return self.last(1)
 
+    @property
+    def rows(self) -> int:
+        """Rows of the last part."""
+        return self.sums[-1]["rows"] if self.sums else 0
+
     def last(self, n: int) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*self.parts[-n:])
 
@@ -189,6 +209,13 @@ def _delete(conf: Any, path: str) -> None:
         pass
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that a computation has made in the shared one."""
+    if "/edgeloom-" not in path:
+        raise ValueError("not a folder of this package")
+    _remove(spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     table = path.rsplit("/", 1)[1].replace("-", "_")
     if spark.catalog.tableExists(table):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.functions.rng import digest, uniform
-from edgeloom.graph import Graph, Log, adjacency, keep, ranked, release, tidied
+from edgeloom.graph import Graph, Log, adjacency, keep, keep_counted, ranked, release, tidied
 
 
 def shortest_path_shares(spark: SparkSession, ahead: DataFrame, behind: DataFrame, pairs: DataFrame, directed: bool) -> DataFrame:
@@ -23,7 +23,7 @@ def shortest_path_shares(spark: SparkSession, ahead: DataFrame, behind: DataFram
     last, size = {}, {}
     for x, log in sides.items():
         last[x] = log.append(pairs.select("pair", F.col(x).alias("id"), F.lit(1.0).alias("sigma")))
-        size[x] = last[x].count()
+        size[x] = log.rows
     out = Log(spark, "shares")
     while all(size.values()):
         x = min(size, key=size.get)
@@ -31,9 +31,9 @@ def shortest_path_shares(spark: SparkSession, ahead: DataFrame, behind: DataFram
         step = last[x].join(over[x], last[x]["id"] == over[x]["src"]).groupBy("pair", F.col("dst").alias("id")).agg(F.sum("sigma").alias("sigma"))
         known = sides[x].all() if directed else sides[x].last(2)
         new = sides[x].append(step.join(known.select("pair", "id"), ["pair", "id"], "left_anti"))
-        both = keep(new.join(last[y].select("pair", "id", F.col("sigma").alias("other")), ["pair", "id"]), "meet")
+        both, got = keep_counted(new.join(last[y].select("pair", "id", F.col("sigma").alias("other")), ["pair", "id"]), "meet")
         last[x] = new
-        if both.limit(1).count():
+        if got["rows"]:
             total = both.groupBy("pair").agg(F.sum(F.col("sigma") * F.col("other")).alias("total"))
             meet = keep(both.join(total, "pair").select("pair", "id", (F.col("sigma") * F.col("other") / F.col("total")).alias("share"), "sigma", "other"), "meet")
             out.append(meet.select("pair", "id", "share"))
@@ -46,10 +46,10 @@ def shortest_path_shares(spark: SparkSession, ahead: DataFrame, behind: DataFram
                     out.append(here.select("pair", "id", "share"))
                     here = here.select("pair", "id", "part")
             for z in last:
-                last[z] = keep(last[z].join(meet.select("pair").distinct(), "pair", "left_anti"), "open")
-                size[z] = last[z].count()
+                last[z], got = keep_counted(last[z].join(meet.select("pair").distinct(), "pair", "left_anti"), "open")
+                size[z] = got["rows"]
         else:
-            size[x] = new.count()
+            size[x] = sides[x].rows
     if not out.parts:
         return pairs.select("pair", F.col("s").alias("id"), F.lit(0.0).alias("share")).limit(0)
     ends = pairs.select("pair", F.explode(F.array("s", "t")).alias("id"))

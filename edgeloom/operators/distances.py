@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.graph import Graph, Log, adjacency, keep, ranked, release, tidied
+from edgeloom.graph import Graph, Log, adjacency, keep, keep_counted, ranked, release, tidied
 
 
 def levels(adj: DataFrame, sources: DataFrame, directed: bool, depth: int | None = None) -> Log:
@@ -17,7 +17,7 @@ def levels(adj: DataFrame, sources: DataFrame, directed: bool, depth: int | None
     """
     log = Log(adj.sparkSession, "levels")
     front = log.append(sources.select("source", F.col("source").alias("id"), F.lit(0).alias("dist")).distinct())
-    while front.limit(1).count() and (depth is None or len(log.parts) <= depth):
+    while log.rows and (depth is None or len(log.parts) <= depth):
         step = front.join(adj, front["id"] == adj["src"]).select("source", F.col("dst").alias("id")).distinct()
         known = log.all() if directed else log.last(2)
         front = log.append(step.join(known.select("source", "id"), ["source", "id"], "left_anti").select("source", "id", F.lit(len(log.parts)).alias("dist")))
@@ -35,27 +35,27 @@ def hop_distances(g: Graph, sources: DataFrame, depth: int | None = None) -> Dat
 def delta_stepping(g: Graph, sources: DataFrame, delta: float | None = None) -> DataFrame:
     """(source, id, dist): weighted distances from each source (source long) along edges; weights are not negative.
 
-    Distances are settled in buckets of width delta (default: the mean weight). Within a bucket only light edges (up to delta) are
+    Distances are settled in buckets of width delta (default: four mean weights, as a bucket costs a few jobs). Within a bucket only light edges (up to delta) are
     relaxed, round by round, from what the last round improved; then the bucket is settled and its heavy edges are relaxed, whose
     ends lie in later buckets. Settled rows are written once; open ones wait, as candidates, in the part of their bucket. In an
     undirected graph a settled vertex is met again only from buckets that lie within the largest weight, so a round reads as many.
     """
-    e = keep(g.both().where("src <> dst").groupBy("src", "dst").agg(F.min("w").alias("len")), "lengths")
-    size = e.agg(F.avg("len").alias("mean"), F.max("len").alias("most"), F.min("len").alias("least")).first()
+    e, size = keep_counted(g.both().where("src <> dst").groupBy("src", "dst").agg(F.min("w").alias("len")), "lengths", mean=F.avg("len"), most=F.max("len"), least=F.min("len"))
     if size["least"] is not None and size["least"] < 0:
         raise ValueError("a weight is negative")
-    delta = float(delta or size["mean"] or 1.0)
-    light, heavy = adjacency(e.where(F.col("len") <= delta), name="light"), adjacency(e.where(F.col("len") > delta), name="heavy")
-    any_heavy = heavy.limit(1).count() > 0
+    delta = float(delta or 4 * (size["mean"] or 0.0) or 1.0)
+    light = adjacency(e.where(F.col("len") <= delta), name="light")
+    any_heavy = (size["most"] or 0.0) > delta
+    heavy = adjacency(e.where(F.col("len") > delta), name="heavy") if any_heavy else None
     back = 2 * math.ceil((size["most"] or 0.0) / delta) + 2
     bucket = F.floor(F.col("dist") / F.lit(delta))
     waiting: dict[int, list[DataFrame]] = {}
     settled, at = Log(g.spark, "settled"), []
 
     def wait(found: DataFrame) -> None:
-        t = keep(found.groupBy("source", "id").agg(F.min("dist").alias("dist")).withColumn("bucket", bucket), "candidates")
-        for r in t.groupBy("bucket").count().collect():  # a row a bucket
-            waiting.setdefault(r["bucket"], []).append(t.where(F.col("bucket") == r["bucket"]).select("source", "id", "dist"))
+        t, got = keep_counted(found.groupBy("source", "id").agg(F.min("dist").alias("dist")).withColumn("bucket", bucket), "candidates", buckets=F.collect_set("bucket"))
+        for b in got["buckets"]:  # a number a bucket
+            waiting.setdefault(b, []).append(t.where(F.col("bucket") == b).select("source", "id", "dist"))
 
     def relax(front: DataFrame, edges: DataFrame) -> DataFrame:
         return front.join(edges, front["id"] == edges["src"]).select("source", F.col("dst").alias("id"), (F.col("dist") + F.col("len")).alias("dist"))
@@ -75,22 +75,20 @@ def delta_stepping(g: Graph, sources: DataFrame, delta: float | None = None) ->
         fresh = lambda t: t if old is None else t.join(old, ["source", "id"], "left_anti")  # noqa: B023, E731
         own = Log(g.spark, "bucket")
         front = own.append(fresh(best(first)))
-        while front.limit(1).count():
-            step = keep(best(relax(front, light)).withColumn("bucket", bucket), "relaxed")
-            later = step.where(F.col("bucket") > now).drop("bucket")
-            if later.limit(1).count():
-                wait(later)
+        while own.rows:
+            step, got = keep_counted(best(relax(front, light)).withColumn("bucket", bucket), "relaxed", latest=F.max("bucket"))
+            if (got["latest"] or 0) > now:
+                wait(step.where(F.col("bucket") > now).drop("bucket"))
             have = best(own.all()).withColumnRenamed("dist", "had")
             inside = step.where(F.col("bucket") <= now).drop("bucket").join(have, ["source", "id"], "left").where("had is null or dist < had").drop("had")
             front = own.append(fresh(inside))
             release(step)
-        done = best(own.all())
-        if not done.limit(1).count():
+        if not any(x["rows"] for x in own.sums):
             continue
         at.append(now)
-        done = settled.append(done)
-        if any_heavy and (reach := keep(relax(done, heavy), "heavy")).limit(1).count():
-            wait(reach)
+        done = settled.append(best(own.all()))
+        if any_heavy:
+            wait(relax(done, heavy))
     return settled.all()
 
 
@@ -131,28 +129,27 @@ def top_closeness(g: Graph, k: int, slack: float = 1e-8, batch: int | None = Non
     done, kth, lo, width, made = Log(g.spark, "scores"), -1.0, 0, batch or max(k, 16), 0
     while lo < n:
         todo = order.where((F.col("rank") > lo) & (F.col("rank") <= lo + width) & (F.col("bound") >= kth - slack))
-        state = keep(todo.select(F.col("id").alias("source"), "most", F.lit(0).cast("long").alias("reached"), F.lit(0).cast("long").alias("far")), "state")
-        if not state.limit(1).count():
+        state, got = keep_counted(todo.select(F.col("id").alias("source"), "most", F.lit(0).cast("long").alias("reached"), F.lit(0).cast("long").alias("far")), "state")
+        if not got["rows"]:
             break
         log = Log(g.spark, "search")
         front = log.append(state.select("source", F.col("source").alias("id")))
         d = 0
         while True:
-            got = front.join(deg, "id").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("on").alias("on"))
-            new = state.join(got, "source", "left").select("source", "most", (F.col("reached") + F.coalesce("n", F.lit(0))).alias("reached"), (F.col("far") + d * F.coalesce("n", F.lit(0))).alias("far"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("on", F.lit(0)).alias("on"))
-            last, state = state, keep(new, "state")
-            release(last)
-            made += state.agg(F.sum("n")).first()[0] or 0
+            level = front.join(deg, "id").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("on").alias("on"))
+            new = state.join(level, "source", "left").select("source", "most", (F.col("reached") + F.coalesce("n", F.lit(0))).alias("reached"), (F.col("far") + d * F.coalesce("n", F.lit(0))).alias("far"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("on", F.lit(0)).alias("on"))
             ended = (F.col("n") == 0) | (F.col("reached") == F.col("most"))
-            whole = state.where(ended)
-            if whole.limit(1).count():
+            last, (state, got) = state, keep_counted(new, "state", made=F.sum("n"), ended=F.count(F.when(ended, 1)))
+            release(last)
+            made += got["made"] or 0
+            if got["ended"]:
                 r = F.col("reached") - 1
-                done.append(whole.select(F.col("source").alias("id"), F.when(F.col("far") > 0, r / F.col("far") * r / F.lit(max(n - 1, 1))).otherwise(0.0).alias("score")))
+                done.append(state.where(ended).select(F.col("source").alias("id"), F.when(F.col("far") > 0, r / F.col("far") * r / F.lit(max(n - 1, 1))).otherwise(0.0).alias("score")))
                 best = done.all().orderBy(F.desc("score")).limit(k).agg(F.min("score"), F.count(F.lit(1))).first()  # k rows
                 kth = best[0] if best[1] == k else -1.0
             on = F.col("on") + (back if d == 0 else 0)
             state = state.where(~ended & (bound(d, F.col("reached"), F.col("far"), on, F.col("most")) >= kth - slack)).select("source", "most", "reached", "far")
-            if not state.limit(1).count():
+            if got["ended"] == got["rows"] or not state.limit(1).count():
                 break
             d += 1
             alive = front.join(state.select("source"), "source", "left_semi")
@@ -174,16 +171,17 @@ def neighbourhood(g: Graph, log_k: int = 12, tolerance: float = 1e-4) -> DataFra
     are of 2^log_k bytes at most and merge before they are shuffled. Ends when a round adds less than tolerance.
     """
     adj = adjacency(g.both().select(F.col("dst").alias("near"), F.col("src").alias("far")).where("near <> far").distinct(), "near")
-    own = keep(g.vertices.groupBy("id").agg(F.hll_sketch_agg("id", F.lit(log_k)).alias("s")), "sketches")
+    size = F.sum(F.hll_sketch_estimate("s").cast("double"))
+    own, got = keep_counted(g.vertices.groupBy("id").agg(F.hll_sketch_agg("id", F.lit(log_k)).alias("s")), "sketches", size=size)
     rows, hop = [], 0
     while True:
-        total = own.agg(F.sum(F.hll_sketch_estimate("s")).cast("double")).first()[0] or 0.0
+        total = got["size"] or 0.0
         if rows and total <= rows[-1][1] * (1 + tolerance):
             break
         rows.append((hop, total))
         hop += 1
         seen = own.join(adj, own["id"] == adj["near"]).select(F.col("far").alias("id"), "s").unionByName(own)
-        last, own = own, keep(seen.groupBy("id").agg(F.hll_union_agg("s").alias("s")), "sketches")
+        last, (own, got) = own, keep_counted(seen.groupBy("id").agg(F.hll_union_agg("s").alias("s")), "sketches", size=size)
         release(last)
     return g.spark.createDataFrame(rows, "hops int, pairs double")
 

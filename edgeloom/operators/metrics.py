@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.functions.rng import digest
 from edgeloom.functions.stats import bhattacharyya
-from edgeloom.graph import Graph, Log, adjacency, both_ways, canonical, keep, release, tidied
+from edgeloom.graph import Graph, Log, adjacency, both_ways, canonical, keep, keep_counted, release, tidied
 
 KEYS = ["algo", "prune_rate", "run"]
 
@@ -135,7 +135,7 @@ def grow_communities(g: Graph, seeds: DataFrame, alpha: float = 1.0) -> DataFram
     n = adjacency(g.both().where("src <> dst").groupBy("src", "dst").agg(F.sum("w").alias("w")))
     deg = keep(g.vertices.join(n.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("deg")), "id", "left").select(F.col("id").alias("node"), F.coalesce("deg", F.lit(0.0)).alias("deg")), "degrees")
     done = Log(g.spark, "cover")
-    now = keep(seeds.select(F.col("id").alias("comm"), F.col("id").alias("node")).distinct(), "cover")
+    now, left = keep_counted(seeds.select(F.col("id").alias("comm"), F.col("id").alias("node")).distinct(), "cover")
     fit = keep(now.select("comm", F.lit(0.0).alias("had")).distinct(), "fitness")
 
     def inner(c: DataFrame) -> DataFrame:
@@ -151,7 +151,7 @@ def grow_communities(g: Graph, seeds: DataFrame, alpha: float = 1.0) -> DataFram
         return F.when(k > 1e-12, k_in / F.pow(k, F.lit(alpha))).otherwise(0.0)
 
     eps = 1e-12
-    while now.limit(1).count():
+    while left["rows"]:
         t = keep(inner(now), "inside")
         s = sums(t)
         gain = fitness(F.col("k_in") + 2 * F.col("inside"), F.col("k") + F.col("deg")) - fitness(F.col("k_in"), F.col("k"))
@@ -167,7 +167,7 @@ def grow_communities(g: Graph, seeds: DataFrame, alpha: float = 1.0) -> DataFram
         up = keep(now_fit.join(fit, "comm").where(F.col("fit") > F.col("had") + eps).select("comm", F.col("fit").alias("had")), "fitness")
         done.append(now.join(up, "comm", "left_anti"))
         last = (now, fit, t, t2, grown, now_fit)
-        now = keep(next_.join(up, "comm", "left_semi"), "cover")
+        now, left = keep_counted(next_.join(up, "comm", "left_semi"), "cover")
         fit = up
         release(*last, next_)
     return done.all() if done.parts else now
@@ -182,13 +182,13 @@ def cover(g: Graph, alpha: float = 1.0, seed: int = 7) -> DataFrame:
     """
     g = Graph(g.vertices, keep(g.edges.select("src", "dst", "w"), "edges"), g.directed)
     near = adjacency(g.both().select("src", "dst").where("src <> dst").distinct())
-    left = keep(g.vertices.select("id", F.struct(digest(seed, "id").alias("h"), "id").alias("h")), "left")
+    left, got = keep_counted(g.vertices.select("id", F.struct(digest(seed, "id").alias("h"), "id").alias("h")), "left")
     found = Log(g.spark, "cover")
-    while left.limit(1).count():
+    while got["rows"]:
         beside = left.join(near, left["id"] == near["src"]).groupBy(F.col("dst").alias("id")).agg(F.min("h").alias("low"))
         seeds = left.join(beside, "id", "left").where("low is null or h < low").select("id")
         new = found.append(grow_communities(g, seeds, alpha))
-        last, left = left, keep(left.join(new.select(F.col("node").alias("id")).distinct(), "id", "left_anti"), "left")
+        last, (left, got) = left, keep_counted(left.join(new.select(F.col("node").alias("id")).distinct(), "id", "left_anti"), "left")
         release(last)
     if not found.parts:
         return g.vertices.select(F.col("id").alias("comm"), F.col("id").alias("node")).limit(0)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.functions.rng import digest
-from edgeloom.graph import Graph, Log, adjacency, keep, ranked, release, tidied
+from edgeloom.graph import Graph, Log, adjacency, keep, keep_counted, ranked, release, tidied
 from edgeloom.operators import distances as far
 from edgeloom.operators.neighbors import triangles
 
@@ -23,10 +23,10 @@ def connected_components(g: Graph) -> DataFrame:
         near = n.join(labels, n["src"] == labels["id"]).groupBy("dst").agg(F.min("comp").alias("near"))
         low = labels.join(near, labels["id"] == near["dst"], "left").select("id", "comp", F.least("comp", F.coalesce("near", "comp")).alias("low"))
         up = labels.select(F.col("id").alias("up"), F.col("comp").alias("upper"))
-        new = keep(low.join(up, low["low"] == up["up"]).select("id", F.least("low", "upper").alias("comp"), (F.least("low", "upper") < F.col("comp")).alias("moved")), "comp")
+        new, got = keep_counted(low.join(up, low["low"] == up["up"]).select("id", F.least("low", "upper").alias("comp"), (F.least("low", "upper") < F.col("comp")).alias("moved")), "comp", moved=F.max("moved"))
         release(labels)
         labels = new.select("id", "comp")
-        if not new.where("moved").limit(1).count():
+        if not got["moved"]:
             return labels
 
 
@@ -38,16 +38,16 @@ def spanning_forest(g: Graph, seed: int = 7) -> DataFrame:
     component go, so a round has at most half the vertices of the one before.
     """
     e = g.edges.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.struct(digest(seed, "src", "dst").alias("h"), "src", "dst", "w").alias("e"))
-    e = keep(e, "edges")
+    e, got = keep_counted(e, "edges")
     chosen = Log(g.spark, "forest")
-    while e.limit(1).count():
+    while got["rows"]:
         ways = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x"), "e")
         least = keep(ways.groupBy("x.a").agg(F.min(F.struct("e", "x.b")).alias("m")).select("a", "m.b", "m.e"), "least")
         chosen.append(least.select("e.src", "e.dst", "e.w").distinct())
         comp = connected_components(Graph(least.select(F.col("a").alias("id")), least.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1.0).alias("w"))))
         ca, cb = comp.select(F.col("id").alias("a"), F.col("comp").alias("ca")), comp.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
         inner = e.join(ca, "a").join(cb, "b").where("ca <> cb").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.min("e").alias("e"))
-        last, e = e, keep(inner, "edges")
+        last, (e, got) = e, keep_counted(inner, "edges")
         release(last, least)
     return chosen.all() if chosen.parts else g.edges.select("src", "dst", "w").limit(0)
 
@@ -155,7 +155,7 @@ def _path_counts(e: DataFrame, sources: DataFrame, directed: bool) -> Log:
     """(source, id, dist, sigma): hops, and the number of shortest paths, a part a level; the last is empty. e: adjacency (src, dst)."""
     log = Log(e.sparkSession, "sigma")
     front = log.append(sources.select("source", F.col("source").alias("id"), F.lit(0).alias("dist"), F.lit(1.0).alias("sigma")))
-    while front.limit(1).count():
+    while log.rows:
         step = front.join(e, front["id"] == e["src"]).groupBy("source", F.col("dst").alias("id")).agg(F.sum("sigma").alias("sigma"))
         known = log.all() if directed else log.last(2)
         front = log.append(step.join(known.select("source", "id"), ["source", "id"], "left_anti").select("source", "id", F.lit(len(log.parts)).alias("dist"), "sigma"))
@@ -176,9 +176,10 @@ def core_numbers(g: Graph) -> DataFrame:
     while True:
         values = n.join(core, n["dst"] == core["id"]).groupBy("src", "core").agg(F.count(F.lit(1)).alias("c"))  # a row for each distinct value
         h = values.withColumn("upto", F.sum("c").over(down)).groupBy("src").agg(F.max(F.least("core", "upto")).cast("int").alias("h"))
-        new = keep(core.join(h, core["id"] == h["src"], "left").select("id", F.coalesce("h", F.lit(0)).alias("core"), (F.coalesce("h", F.lit(0)) < F.col("core")).alias("moved")), "core")
-        core = new.select("id", "core")
-        if not new.where("moved").limit(1).count():
+        new, got = keep_counted(core.join(h, core["id"] == h["src"], "left").select("id", F.coalesce("h", F.lit(0)).alias("core"), (F.coalesce("h", F.lit(0)) < F.col("core")).alias("moved")), "core", moved=F.max("moved"))
+        last, core = core, new.select("id", "core")
+        release(last)
+        if not got["moved"]:
             return core
 
 
@@ -189,7 +190,7 @@ def k_path(g: Graph, walks: int = 1000, length: int = 5, seed: int = 7) -> DataF
     w = Window.partitionBy("src").orderBy("dst")
     n = keep(g.both().select("src", "dst").distinct().withColumn("at", F.row_number().over(w) - 1).withColumn("deg", F.count(F.lit(1)).over(Window.partitionBy("src"))), "nbrs")
     order = keep(ranked(g.vertices.select("id", digest(seed, "id").alias("h")), ["h", "id"]), "order")
-    start = order.where(F.col("rank") <= walks).select("id", "rank", F.explode(F.sequence(F.col("rank") - 1, F.lit(walks - 1), F.col("m"))).alias("walk")).select("walk", F.col("id").alias("here"))
+    start = order.where(F.col("rank") <= walks).select("id", "rank", F.explode(F.sequence(F.col("rank") - 1, F.lit(walks - 1).cast("long"), F.col("m"))).alias("walk")).select("walk", F.col("id").alias("here"))
     log = Log(g.spark, "walks")
     here = log.append(start.select(F.col("walk").cast("long").alias("walk"), "here"))
     for step in range(length):
@@ -234,37 +235,58 @@ def global_clustering(g: Graph) -> DataFrame:
     return t.join(w).select("triangles", "triples", F.when(F.col("triples") > 0, 3 * F.col("triangles") / F.col("triples")).otherwise(0.0).alias("transitivity"))  # one row each
 
 
-@tidied
 def rank_degree(g: Graph, ratio: float, seeds: int = 10, rho: float = 0.1, seed: int = 7) -> DataFrame:
     """Seeds add their top max(1, int(rho * d)) neighbours by degree, which are the next seeds; fresh hashed seeds when none are left;
     rho rises by 0.1 when a thousand rounds bring at most a hundredth; ends once ratio * m edges are chosen."""
+    return rank_degree_at(g, [ratio], seeds, rho, seed).select("src", "dst", "w")
+
+
+@tidied
+def rank_degree_at(g: Graph, ratios: list[float], seeds: int = 10, rho: float = 0.1, seed: int = 7) -> DataFrame:
+    """(src, dst, w, ratio): rank_degree() for several ratios, of which each is one stage of the same walk.
+
+    An edge is written once, with the round that chose it; a ratio's edges are those up to the round that reached it.
+    """
     d = g.degrees()
     rows = g.both().join(d.select(F.col("id").alias("src"), F.col("deg").alias("d")), "src").join(d.select(F.col("id").alias("dst"), F.col("deg").alias("dn")), "dst")
-    ranked = keep(rows.withColumn("rk", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("dn"), "dst"))), "ranked")
-    order = keep(d.where("deg > 0").select("id", digest(seed, "id").alias("h")), "order")
-    target = int(g.edges.count() * ratio)
-    seen = order.select("id").limit(0)
-    chosen, size, front, still = None, 0, None, 0
-    while size < target:
-        fresh = order.join(seen, "id", "left_anti")
-        if front is None or not front.limit(1).count():
-            front = keep(fresh.orderBy("h", "id").limit(seeds).select("id"), "front")
-            if not front.limit(1).count():
+    top = adjacency(rows.withColumn("rk", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("dn"), "dst"))), name="ranked")
+    order = keep(ranked(d.where("deg > 0").select("id", digest(seed, "id").alias("h")), ["h", "id"]).select("id", "rank"), "order")
+    m = g.edges.count()
+    targets = {r: int(m * r) for r in ratios}
+    reached = {r: 0 for r, n in targets.items() if n <= 0}
+    chosen, seen, since = Log(g.spark, "chosen"), Log(g.spark, "seen"), 0
+    front, size, still, round_ = None, 0, 0, 0
+    while size < max(targets.values(), default=0):
+        if front is None:
+            fresh = order if len(seen.parts) == since else order.join(seen.last(len(seen.parts) - since), "id", "left_anti")
+            front, got = keep_counted(fresh.orderBy("rank").limit(seeds).select("id"), "front")
+            if not got["rows"]:
                 if rho >= 0.99:
                     break
-                rho, seen = min(1.0, rho + 0.1), order.select("id").limit(0)
+                rho, since, front = min(1.0, rho + 0.1), len(seen.parts), None
                 continue
-        got = ranked.join(front, ranked["src"] == front["id"], "left_semi").where(F.col("rk") <= F.greatest(F.lit(1), F.floor(F.lit(rho) * F.col("d"))))
+        seen.append(front)
+        got = keep(front.join(top, front["id"] == top["src"]).where(F.col("rk") <= F.greatest(F.lit(1), F.floor(F.lit(rho) * F.col("d")))).select("src", "dst", "w"), "got")
         pick = got.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w").distinct()
-        before = size
-        chosen = keep((pick if chosen is None else chosen.unionByName(pick)).distinct(), "chosen")
-        size = chosen.count()
-        seen = keep(seen.unionByName(front).distinct(), "seen")
-        front = keep(got.select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti"), "front")
-        still = still + 1 if size - before <= 0.01 * target else 0
+        pick = pick if not chosen.parts else pick.join(chosen.all().select("src", "dst"), ["src", "dst"], "left_anti")
+        chosen.append(pick.withColumn("round", F.lit(round_)))
+        more = chosen.rows
+        size, round_ = size + more, round_ + 1
+        for r, n in targets.items():
+            if size >= n:
+                reached.setdefault(r, round_)
+        still = still + 1 if more <= 0.01 * max(targets.values()) else 0
         if still > 1000 and rho < 0.99:
-            rho, seen, still = rho + 0.1, order.select("id").limit(0), 0
-    return chosen if chosen is not None else g.edges.limit(0)
+            rho, since, still = rho + 0.1, len(seen.parts), 0
+        ahead = got.select(F.col("dst").alias("id")).distinct()
+        last, (front, left) = front, keep_counted(ahead if len(seen.parts) == since else ahead.join(seen.last(len(seen.parts) - since), "id", "left_anti"), "front")
+        release(last, got)
+        if not left["rows"]:
+            front = None
+    if not chosen.parts:
+        return g.edges.select("src", "dst", "w", F.lit(0.0).alias("ratio")).limit(0)
+    ends = F.array(*(F.struct(F.lit(r).alias("ratio"), F.lit(reached.get(r, round_)).alias("end")) for r in ratios))
+    return chosen.all().withColumn("x", F.explode(ends)).where("round < x.end").select("src", "dst", "w", "x.ratio")
 
 
 @tidied
@@ -275,24 +297,23 @@ def forest_fire(g: Graph, ratio: float, fires: int = 32, burnt_ratio: float = 5.
     from edgeloom.functions.rng import uniform
 
     chance = 0.2 if ratio > 0.5 else 0.6
-    n = keep(g.both().select("src", "dst"), "nbrs")
+    n = adjacency(g.both().select("src", "dst"))
     starts = keep(ranked(g.degrees().where("deg > 0").select("id", digest(seed, "id").alias("h")), ["h", "id"]), "starts")
-    left, goal, lit, burnt = starts.count(), burnt_ratio * g.edges.count(), 0, None
-    total = 0
+    left, goal, lit = starts.count(), burnt_ratio * g.edges.count(), 0
+    total, burnt = 0, Log(g.spark, "burnt")
     while total < goal and lit < left:
-        front = keep(starts.where((F.col("rank") > lit) & (F.col("rank") <= lit + fires)).select(F.col("id").alias("fire"), "id"), "front")
-        lit, seen, r = lit + fires, front, 0
-        while front.limit(1).count():
-            fire = keep(front.join(n, front["id"] == n["src"]).where(uniform(digest(f"{seed}:{r}", "fire", "src", "dst")) < chance).select("fire", "src", "dst"), "fire")
-            burnt = fire if burnt is None else burnt.unionByName(fire)
-            total += fire.count()
-            front = keep(fire.select("fire", F.col("dst").alias("id")).distinct().join(seen, ["fire", "id"], "left_anti"), "front")
-            last, seen = seen, keep(seen.unionByName(front), "seen")
+        front, got = keep_counted(starts.where((F.col("rank") > lit) & (F.col("rank") <= lit + fires)).select(F.col("id").alias("fire"), "id"), "front")
+        lit, r, seen = lit + fires, 0, Log(g.spark, "seen")
+        while got["rows"]:
+            seen.append(front)
+            fire = burnt.append(front.join(n, front["id"] == n["src"]).where(uniform(digest(f"{seed}:{r}", "fire", "src", "dst")) < chance).select("fire", "src", "dst"))
+            total += burnt.rows
+            last, (front, got) = front, keep_counted(fire.select("fire", F.col("dst").alias("id")).distinct().join(seen.all(), ["fire", "id"], "left_anti"), "front")
+            release(last)
             r += 1
-            if r > 1:
-                release(last)
-    if burnt is None:
+    if not burnt.parts:
         return g.edges.select("src", "dst", "w").limit(0)
+    burnt = burnt.all()
     s = burnt.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.countDistinct("fire").alias("visits"))
     e = g.edges.join(s, ["src", "dst"], "left").withColumn("visits", F.coalesce("visits", F.lit(0))).withColumn("h", digest(seed, "src", "dst"))
     e = ranked(e, [F.desc("visits"), "h", "src", "dst"])

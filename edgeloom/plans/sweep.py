@@ -27,11 +27,11 @@ def _measured(edges: DataFrame, algo: str, m: int, run: int) -> DataFrame:
     return e.select("*", F.lit(algo).alias("algo"), F.lit(round(1 - e.count() / max(m, 1), 2)).alias("prune_rate"), F.lit(run).alias("run"))
 
 
-def sweep(g: Graph, algos: list[str], rates: list[float] | float = RATES, runs: int = 1, grids: dict[str, list] | None = None) -> DataFrame:
+def sweep(g: Graph, algos: list[str], rates: list[float] | float = RATES, runs: int = 1, grids: dict[str, list] | None = None, dense: int = linalg.DENSE) -> DataFrame:
     """Variants (src, dst, w, algo, prune_rate, run) of the named ALGORITHMS; random ones run several times, others once.
 
     Algorithms with a target take the rates; the others take their grid, and their rate is what it came to. Forests and spanners are of
-    the undirected graph.
+    the undirected graph. dense: up to so many vertices resistances are exact.
     """
     rates, grids = rates if isinstance(rates, list) else [rates], GRIDS | (grids or {})
     if unknown := set(algos) - set(ALGORITHMS):
@@ -40,7 +40,7 @@ def sweep(g: Graph, algos: list[str], rates: list[float] | float = RATES, runs:
     plain = g if not g.directed else Graph(g.vertices, canonical(g.edges))
     m, parts = g.edges.count(), []
     one: dict[str, Callable] = {"k_neighbor": lambda k, run: sparsify.k_neighbor(g, k, run), "lspar": lambda c, run: sparsify.l_spar(plain, c), "spanner": lambda t, run: flow.greedy_spanner(plain, t)}
-    target: dict[str, Callable] = {"rank_degree": lambda r, run: traverse.rank_degree(plain, 1 - r, seed=run), "forest_fire": lambda r, run: traverse.forest_fire(plain, 1 - r, seed=run)}
+    target: dict[str, Callable] = {"forest_fire": lambda r, run: traverse.forest_fire(plain, 1 - r, seed=run)}
     for a in algos:
         for run in range(runs if a in RANDOM else 1):
             if a == "random":
@@ -49,19 +49,22 @@ def sweep(g: Graph, algos: list[str], rates: list[float] | float = RATES, runs:
                 parts.append(RANKED[a](plain, rates))
             elif a in one:
                 parts += [_measured(one[a](x, run), a, m, run) for x in grids[a]]
+            elif a == "rank_degree":
+                ratio = F.round(1 - F.col("ratio"), 6)
+                parts.append(traverse.rank_degree_at(plain, [1 - r for r in rates], seed=run).select("src", "dst", "w", F.lit(a).alias("algo"), ratio.alias("prune_rate"), F.lit(run).alias("run")))
             elif a in target:
                 parts += [target[a](r, run).select("src", "dst", "w", F.lit(a).alias("algo"), F.lit(r).alias("prune_rate"), F.lit(run).alias("run")) for r in rates]
             elif a == "spanning_forest":
                 parts.append(_measured(traverse.spanning_forest(plain), a, m, run))
         if a == "er":
-            p = keep(linalg.probabilities(resistances(plain)), "probabilities")  # solved once, sampled at every accuracy and run
+            p = keep(linalg.probabilities(resistances(plain, dense)), "probabilities")  # solved once, sampled at every accuracy and run
             parts.append(linalg.er_sweep(p, plain.vertices.count(), grids[a], runs))
     return union_rows(parts)
 
 
-def resistances(g: Graph) -> DataFrame:
-    """edges with r: exact for graphs that one task can hold, else the approximation."""
-    return linalg.resistance_exact(g) if g.vertices.count() <= linalg.DENSE else linalg.resistance(g)
+def resistances(g: Graph, dense: int = linalg.DENSE) -> DataFrame:
+    """edges with r: exact for graphs of up to `dense` vertices, which one task can hold, else the approximation."""
+    return linalg.resistance_exact(g) if g.vertices.count() <= dense else linalg.resistance(g)
 
 
 def variant_sizes(variants: DataFrame, original: Graph) -> DataFrame:

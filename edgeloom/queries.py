@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from edgeloom.functions import stats
 from edgeloom.functions.rng import digest
-from edgeloom.graph import Graph, canonical, keep, release, shared_folder
-from edgeloom.operators import flow, generators, linalg, metrics, neighbors, normalize, sparsify, traverse
+from edgeloom.graph import Graph, canonical, keep, release, remove_folder, shared_folder
+from edgeloom.operators import between, distances, flow, generators, linalg, metrics, neighbors, normalize, sparsify, traverse
 from edgeloom.plans import summary, sweep
 from edgeloom.sources import files
 from edgeloom.sources.views import nation_graph, part_graph, part_supplier_graph, supplier_graph, user_graph
@@ -91,7 +91,7 @@ a as (select src id, 0 part, min(rn) rn from f group by 1 union all select dst,
 m as (select id old_id, min(part * 1000000000 + rn) k from a group by 1), i as (select old_id, cast(row_number() over (order by k) - 1 as bigint) new_id from m)"""
 _edges("renumber_map", user_graph, lambda g: normalize.renumber(g.edges)[1], f"{_RENUMBER} select old_id, new_id from i")
 _edges("renumber_dense", user_graph, lambda g: normalize.renumber(g.edges)[0], f"{_RENUMBER} select a.new_id src, b.new_id dst, w from e join i a on a.old_id = e.src join i b on b.old_id = e.dst")
-_edges("relabel_by_degree", part_graph, lambda g: normalize.relabel_by_degree(g).edges, f"with {PART}, {BOTH}, i as materialized (select id, cast(row_number() over (order by deg desc, id desc) - 1 as bigint) r from d) select least(a.r, b.r) src, greatest(a.r, b.r) dst, w from e join i a on a.id = src join i b on b.id = dst")
+_edges("relabel_by_degree", _symmetric_user, lambda g: normalize.relabel_by_degree(g).edges, f"with {_SYM}, {BOTH}, i as materialized (select id, cast(row_number() over (order by deg desc, id desc) - 1 as bigint) r from d) select least(a.r, b.r) src, greatest(a.r, b.r) dst, w from e join i a on a.id = src join i b on b.id = dst")
 _edges("match_reference", user_graph, lambda g: normalize.match_reference(g.edges, g.edges.where("w > 1")), f"with {USER} select src, dst, w from e where w > 1")
 _edges("degrees", user_graph, normalize.degree_table, f"""with {USER}, o as (select src id, count(*) c, sum(w) s from e group by 1), i as (select dst id, count(*) c, sum(w) s from e group by 1)
 select v.id, coalesce(o.c, 0) out_deg, coalesce(i.c, 0) in_deg, coalesce(i.s, 0) in_weight, coalesce(o.s, 0) out_weight from v left join o using (id) left join i using (id)""")
@@ -133,7 +133,10 @@ _edges("bernoulli_symmetric", user_graph, lambda g: normalize.symmetrize(sparsif
 _edges("cut_sparsify", part_graph, lambda g: sparsify.cut_sparsify(g, g.vertices.count()), f"with {PART} select src, dst, w from e where {u(h(7, 'src', 'dst'))} < least(1, 16 * 3 * ln((select count(*) from v)) / 100 / 10)")
 _edges("pruned_edges", user_graph, lambda g: normalize.removed(g.edges, sparsify.bernoulli(g.edges, 0.4)), f"with {USER} select src, dst, w from e where not {u(h(1, 'src', 'dst'))} < 0.6")
 _edges("over_degree", user_graph, lambda g: sparsify.over_degree(g.edges, 50), f"with {USER} select count(*) n from (select dst from e group by dst having count(*) > 50)")
-_edges("spanning_forest", _symmetric_user, traverse.spanning_forest)
+#: An edge is in the minimum spanning forest if no other way joins its ends by smaller edges only: least largest edges by doubling.
+_WAYS = ", ".join(f"m{i + 1} as materialized (select a, b, min(r) r from (select a, b, r from m{i} union all select x.a, y.b, greatest(x.r, y.r) from m{i} x join m{i} y on x.b = y.a where x.a <> y.b) group by 1, 2)" for i in range(8))
+_edges("spanning_forest", _symmetric_user, traverse.spanning_forest, f"""with {_SYM}, o as materialized (select *, row_number() over (order by {h(7, 'src', 'dst')}, src, dst) r from e),
+m0 as materialized (select src a, dst b, r from o union all select dst, src, r from o), {_WAYS} select src, dst, w from o join m8 on a = src and b = dst and m8.r = o.r""")
 _edges("rank_degree", _symmetric_user, lambda g: traverse.rank_degree(g, 0.3))
 _edges("forest_fire", _symmetric_user, lambda g: traverse.forest_fire(g, 0.3))
 _edges("spanner", nation_graph, lambda g: flow.greedy_spanner(g, 3))
@@ -144,7 +147,7 @@ _edges("laplacian", part_graph, linalg.laplacian, f"with {PART}, {BOTH} select s
 _edges("incidence", part_graph, lambda g: linalg.incidence(g).withColumn("v", F.round("v", 9)), f"with {PART} select src, dst, src node, round(sqrt(w), 9) v from e union all select src, dst, dst, round(-sqrt(w), 9) from e")
 _edges("er_exact_small", nation_graph, lambda g: linalg.resistance_exact(g).withColumn("r", F.round("r", 9)))
 _edges("er_probability", nation_graph, lambda g: linalg.probabilities(linalg.resistance_exact(g)).withColumn("p", F.round("p", 9)).withColumn("r", F.round("r", 9)))
-_edges("er_approximate", nation_graph, lambda g: linalg.resistance(g, k=16).withColumn("r", F.round("r", 6)))
+_edges("er_approximate", _symmetric_user, lambda g: linalg.resistance(g).withColumn("r", F.round("r", 6)))
 _edges("er_sample", nation_graph, lambda g: linalg.er_sample(linalg.probabilities(linalg.resistance_exact(g)), linalg.draws(25, 0.5)))
 _edges("er_sample_min1", nation_graph, lambda g: linalg.er_sample_min1(linalg.resistance_exact(g), 25, 1.0))
 _BIT = "((cast(('0x' || substr(md5(concat_ws(':', '7:0', {})), 1 + vector // 32 * 8, 8)) as bigint) >> (vector % 32)) & 1)"
@@ -242,22 +245,45 @@ _edges("kcore", part_graph, traverse.core_numbers, _cores(PART, 40))
 _edges("kcore_nations", nation_graph, traverse.core_numbers, _cores(NATION, 25))
 _edges("eccentricity", part_graph, lambda g: traverse.eccentricity(traverse.distances(g, _five(g))), _reach(PART, _SRC.format(5), "select source, case when max(dist) > 0 then cast(max(dist) as double) else 'Infinity'::double end ecc from XX group by 1"))
 _HOPS = "select dist, sum(count(*)) over (order by dist) upto, sum(count(*)) over () total from XX where dist > 0 group by dist"
-_edges("effective_diameter", part_graph, lambda g: traverse.effective_diameter(g, _five(g)), _reach(PART, _SRC.format(5), f"select cast(min(dist) as double) effective_diameter from ({_HOPS}) where upto >= 0.9 * total"))
-_edges("pseudo_diameter", part_graph, lambda g: traverse.pseudo_diameter(g, _sources(g, 10)))
-_edges("closeness_topk", _symmetric_user, lambda g: stats.top_n(traverse.closeness(g, g.vertices.select(F.col("id").alias("source"))).withColumn("score", F.round("score", 9)), 100), _reach(_SYM, "v", "select id, score, cast(row_number() over (order by score desc, id) as integer) rank from (select source id, case when sum(dist) > 0 then round(cast(count(*) - 1 as double) / sum(dist) * (count(*) - 1) / ((select count(*) from v) - 1), 9) else 0.0 end score from XX group by 1) qualify rank <= 100"))
-_edges("betweenness_pivot", _symmetric_user, lambda g: traverse.betweenness(g, _sources(g, 500)).withColumn("score", F.round("score", 6)))
-_edges("k_path", user_graph, traverse.k_path)
-_edges("betweenness_sampled", _symmetric_user, lambda g: traverse.betweenness_sampled(g, metrics.sample_pairs(g, 30, 30).select(F.col("source").alias("s"), F.col("id").alias("t"))).withColumn("score", F.round("score", 9)))
+_edges("effective_diameter_sampled", part_graph, lambda g: traverse.effective_diameter(g, _five(g)), _reach(PART, _SRC.format(5), f"select cast(min(dist) as double) effective_diameter from ({_HOPS}) where upto >= 0.9 * total"))
+_BIG = "XX where source in (select id from XX where source = (select source from XX group by 1 order by count(*) desc, 1 limit 1))"
+_DIAMETER = _reach(_SYM, "v", f"select cast(min(dist) as double) effective_diameter from ({_HOPS.replace('XX where', _BIG + ' and')}) where upto >= 0.9 * total")
+_edges("effective_diameter", _symmetric_user, distances.effective_diameter, _DIAMETER)
+_edges("effective_diameter_sketched", _symmetric_user, lambda g: distances.effective_diameter(g, sketched=True), _DIAMETER)
+_AGAIN = ", ".join(f"a{i + 1} as (select start, case when fd > best then fid else spot end spot, greatest(best, fd) best from a{i} join far on source = spot)" for i in range(8))
+_edges("pseudo_diameter", _symmetric_user, lambda g: traverse.pseudo_diameter(g, _sources(g, 10)), _reach(_SYM, "v", f"""select start, cast(best as double) diameter from (with far as materialized (select source, id fid, dist fd from XX qualify row_number() over (partition by source order by dist desc, id desc) = 1),
+a0 as (select id start, id spot, -1 best from {_SRC.format(10)} q), {_AGAIN} select start, best from a8)"""))
+_edges("closeness_topk", _symmetric_user, lambda g: stats.top_n(distances.top_closeness(g, 100).withColumn("score", F.round("score", 9)), 100), _reach(_SYM, "v", "select id, score, cast(row_number() over (order by score desc, id) as integer) rank from (select source id, case when sum(dist) > 0 then round(cast(count(*) - 1 as double) / sum(dist) * (count(*) - 1) / ((select count(*) from v) - 1), 9) else 0.0 end score from XX group by 1) qualify rank <= 100"))
+
+
+def _paths(sources: str) -> str:
+    """Hops and numbers of shortest paths (source, id, dist, sigma) from the sources (id); the last are p followed by _FAR."""
+    step = "select source, id, dist, sigma from XX union all select x.source, n.dst, x.dist + 1, sum(x.sigma) from XX x join n on n.src = x.id left join XX o on o.source = x.source and o.id = n.dst where x.dist = RR and o.id is null group by 1, 2, 3"
+    return f"p0 as materialized (select id source, id, 0 dist, cast(1 as double) sigma from {sources} q), " + ", ".join(f"p{i + 1} as materialized ({step.replace('XX', f'p{i}').replace('RR', str(i))})" for i in range(_FAR))
+
+
+_VIA = f"select a.id, sum(a.sigma * b.sigma / c.sigma) x from p{_FAR} a join p{_FAR} b on b.source = a.id join p{_FAR} c on c.source = a.source and c.id = b.id and c.dist = a.dist + b.dist where a.id <> a.source and b.id <> a.id and {{}} group by 1"
+_edges("betweenness_pivot", _symmetric_user, lambda g: traverse.betweenness(g, _sources(g, 500)).withColumn("score", F.round("score", 6)), f"with {_SYM}, {BOTH}, {_paths('v')} select v.id, round(coalesce(x, 0), 6) score from v left join ({_VIA.format('a.source in ' + _SRC.format(500))}) using (id)")
+_edges("betweenness_approx", _symmetric_user, lambda g: between.approximate_betweenness(g, 0.05).withColumn("score", F.round("score", 9)))
+_STEPS = ", ".join(f"w{i + 1} as materialized (select walk, dst here from w{i} join nn on src = here where nth = cast(('0x' || substr({h(f'7:{i}', 'walk')}, 1, 8)) as bigint) % deg)" for i in range(5))
+_edges("k_path", user_graph, traverse.k_path, f"""with {USER}, nn as materialized (select src, dst, row_number() over (partition by src order by dst) - 1 nth, count(*) over (partition by src) deg from e),
+o as (select id, row_number() over (order by {h(7, 'id')}, id) - 1 r from v), w0 as materialized (select k walk, o.id here from range(1000) t(k) join o on o.r = k % (select count(*) from v)), {_STEPS}
+select v.id, cast(count(here) as double) score from v left join ({' union all '.join(f'select here from w{i}' for i in range(6))}) x on here = id group by 1""")
+_SOME = "(a.source, b.id) in (select s.id, t.id from (select id from v order by md5(concat_ws(':', '7s', id)), id limit 30) s, (select id from v order by md5(concat_ws(':', '7t', id)), id limit 30) t where s.id <> t.id)"
+_edges("betweenness_sampled", _symmetric_user, lambda g: traverse.betweenness_sampled(g, metrics.sample_pairs(g, 30, 30).select(F.col("source").alias("s"), F.col("id").alias("t"))).withColumn("score", F.round("score", 9)), f"""with {_SYM}, {BOTH}, {_paths('v')}
+select v.id, round(coalesce(x, 0) / (select count(*) from p0 a, p0 b where {_SOME}), 9) score from v left join ({_VIA.format(_SOME)}) using (id)""")
 _edges("closeness_sampled", _symmetric_user, lambda g: traverse.closeness_sampled(g, _sources(g, 100)).withColumn("score", F.round("score", 9)), _reach(_SYM, _SRC.format(100), "select v.id, coalesce(round(count(*) filter (source <> v.id) / sum(dist) filter (source <> v.id), 9), 0) score from v left join XX x on x.id = v.id group by v.id"))
 _edges("louvain", _symmetric_user, metrics.louvain)
-_edges("largest_component", _symmetric_user, lambda g: traverse.largest_component(g.with_edges(sparsify.bernoulli(g.edges, 0.99))).vertices)
+_edges("largest_component", _symmetric_user, lambda g: traverse.largest_component(g.with_edges(sparsify.bernoulli(g.edges, 0.99))).vertices, f"""with {_SYM}, k as (select src, dst from e where {u(h(1, 'src', 'dst'))} < {1 - 0.99!r}),
+n as materialized (select src, dst from k union all select dst, src from k), c0 as materialized (select id, id comp from v), {_labels(_FAR)} select id from c{_FAR} where comp = (select comp from c{_FAR} group by 1 order by count(*) desc, 1 limit 1)""")
 _edges("label_communities", part_graph, lambda g: metrics.label_propagation(g, None))
 _edges("modularity", user_graph, lambda g: metrics.modularity(g.with_edges(canonical(g.edges)), g.vertices.select("id", F.pmod("id", F.lit(7)).alias("comm"))).withColumn("modularity", F.round("modularity", 9)), f"""with {USER}, k as (select distinct least(src, dst) src, greatest(src, dst) dst from e), m as (select count(*) m from k),
 s as (select c, sum(i) l, count(*) d from (select src % 7 c, case when src % 7 = dst % 7 then 1 else 0 end i from k union all select dst % 7, 0 from k) group by 1)
 select count(*) communities, round(sum(l / m - power(d / (2.0 * m), 2)), 9) modularity from s, m""")
 _F1 = "with {v}, a as (select id % 7 c, id from v), b as (select id % 5 c, id from v), x as (select a.c ca, b.c cb, count(*) x from a join b using (id) group by 1, 2), na as (select c, count(*) n from a group by 1), nb as (select c, count(*) n from b group by 1) select round(avg(f), 9) f1 from (select ca, max(2 * x / (na.n + nb.n)) f from x join na on na.c = ca join nb on nb.c = cb group by 1)"
 _edges("cover_f1", user_graph, lambda g: metrics.cover_f1(*(g.vertices.select(F.pmod("id", F.lit(k)).alias("comm"), F.col("id").alias("node")) for k in (7, 5))).withColumn("f1", F.round("f1", 9)), _F1.format(v=USER))
-_edges("overlapping_communities", user_graph, lambda g: metrics.local_communities(Graph(g.vertices, canonical(g.edges)), traverse.sample_vertices(g, 8)))
+_edges("overlapping_communities", user_graph, lambda g: metrics.cover(Graph(g.vertices, canonical(g.edges))))
+_edges("seed_communities", user_graph, lambda g: metrics.local_communities(Graph(g.vertices, canonical(g.edges)), traverse.sample_vertices(g, 8)))
 _edges("max_flow", nation_graph, lambda g: flow.max_flow(g, metrics.sample_pairs(g, 10, 10).select(F.col("source").alias("s"), F.col("id").alias("t"))))
 
 
@@ -283,12 +309,25 @@ def _stretch(spark: SparkSession, d: str) -> DataFrame:
     return t.select(*(F.round(c, 9).alias(c) for c in t.columns))
 
 
-@query("spsp_stretch_weighted")
+def _weighted(n: str, x: str) -> str:
+    """Weighted distances from 100 sources, by 16 rounds of relaxation: more than any least way here has edges."""
+    step = f"select source, id, min(dist) dist from (select source, id, dist from XX union all select x.source, n.dst, x.dist + n.w from XX x join {n} n on n.src = x.id) group by 1, 2"
+    return f"{x}0 as materialized (select id source, id, cast(0 as double) dist from {_SRC.format(100)} q), " + ", ".join(f"{x}{i + 1} as materialized ({step.replace('XX', f'{x}{i}')})" for i in range(16))
+
+
+_WEIGHTED = f"""with {_SYM}, {BOTH}, k as materialized (select src, dst, w from e where {u(h(1, 'src', 'dst'))} < {1 - 0.8!r}), nk as materialized (select src, dst, w from k union all select dst, src, w from k), {_PAIRS}, {_weighted('n', 'x')}, {_weighted('nk', 'y')}, r as ({{}})
+select round(min(ratio), 9) ratio_min, round(max(ratio), 9) ratio_max, round(avg(ratio), 9) ratio_mean, round(stddev_pop(ratio), 9) ratio_std, round(avg(case when ratio is null then 1.0 else 0.0 end), 9) unreachable from r"""
+
+
+@query("spsp_stretch_weighted", _WEIGHTED.format("select case when x.dist > 0 and y.dist is not null then y.dist / x.dist end ratio from pq left join x16 x using (source, id) left join y16 y using (source, id)"))
 def _stretch_weighted(spark: SparkSession, d: str) -> DataFrame:
     return _stretches(_symmetric_user(spark, d))[0]
 
 
-@query("eccentricity_stretch")
+_ECCS = "select source, max(dist) m from {} where id in (select id from v order by md5(concat_ws(':', '8', id)), id limit 1000) group by 1"
+
+
+@query("eccentricity_stretch", _WEIGHTED.format(f"select case when a.m > 0 and b.m > 0 then b.m / a.m end ratio from ({_ECCS.format('x16')}) a join ({_ECCS.format('y16')}) b using (source)"))
 def _stretch_eccentricity(spark: SparkSession, d: str) -> DataFrame:
     return _stretches(_symmetric_user(spark, d))[1]
 
@@ -299,19 +338,40 @@ def _stretches(g: Graph) -> tuple[DataFrame, DataFrame]:
     a, b = (traverse.distances(x, s, weighted=True) for x in (g, g.with_edges(sparsify.bernoulli(g.edges, 0.8))))
     near = metrics.spsp_stretch(a, b, s.join(F.broadcast(t), F.col("source") != F.col("id")))  # 100 000 rows at most
     far = traverse.eccentricity(a, t).withColumnRenamed("ecc", "base").join(traverse.eccentricity(b, t), "source").select(stats.ratio(F.col("ecc"), F.col("base")).alias("ratio"))
-    return tuple(x.agg(*stats.ratio_stats(F.col("ratio"))) for x in (near, far))
+    found = [x.agg(*stats.ratio_stats(F.col("ratio"))) for x in (near, far)]
+    return tuple(t.select(*(F.round(c, 9).alias(c) for c in t.columns)) for t in found)
+
 
+_KEYED = "select k, source, id, min(dist) dist from (select k, source, id, dist from XX union all select x.k, x.source, nk.dst, x.dist + 1 from XX x join nk on nk.k = x.k and nk.src = x.id where x.dist = RR) group by 1, 2, 3"
+_VARIANTS = f"{_V.replace('p(', 'pr(')}, r as materialized ({_RANDOM.split(_V)[1].strip().replace(', p where', ', pr where')})"
+_ECC_PARTS = "select k, ceil(({c} + 1) * 20.0::double / n) - 1 part, count(*) / first(all_) share from (select k, {c}, max({c}) over (partition by k) + 1 n, count(*) over (partition by k) all_ from t) group by 1, 2"
+_ECC_DISTANCE = f"""with {_SYM}, {_VARIANTS}, nk as materialized (select cast(prune_rate as double) k, src, dst from r union all select prune_rate, dst, src from r union all select -1, src, dst from e union all select -1, dst, src from e),
+x0 as materialized (select k, id source, id, 0 dist from (select distinct k from nk) q, {_SRC.format(100)} s), {", ".join(f"x{i + 1} as materialized ({_KEYED.replace('XX', f'x{i}').replace('RR', str(i))})" for i in range(_FAR))},
+m as (select k, source, cast(max(dist) as double) ecc from x{_FAR} group by 1, 2), t as materialized (select a.k, a.source, a.ecc, b.ecc base from m a join m b on b.source = a.source and b.k = -1 where a.k <> -1),
+pe as ({_ECC_PARTS.format(c='ecc')}), pb as ({_ECC_PARTS.format(c='base')}), d as (select k, sum(sqrt(coalesce(pe.share, 0) * coalesce(pb.share, 0))) s from pe full join pb using (k, part) group by 1),
+z as (select k, min(ecc / base) a, max(ecc / base) b, avg(ecc / base) c, stddev_pop(ecc / base) e from t where base <> 0 group by 1)
+select 'random' algo, k prune_rate, 7 run, round(case when s <= 0 then 'Infinity'::double else -ln(s) end, 9) + 0.0 distance, round(a, 9) ratio_min, round(b, 9) ratio_max, round(c, 9) ratio_mean, round(e, 9) ratio_std from d join z using (k)"""
 
-@query("eccentricity_distance")
+
+@query("eccentricity_distance", _ECC_DISTANCE)
 def _eccentricity_distance(spark: SparkSession, d: str) -> DataFrame:
     g = _symmetric_user(spark, d)
-    return metrics.eccentricity_distance(metrics.eccentricities(sparsify.random_edges(g, RATES), g, _sources(g, 100)))
+    t = metrics.eccentricity_distance(metrics.eccentricities(sparsify.random_edges(g, RATES), g, _sources(g, 100)))
+    return t.select(*metrics.KEYS, *((F.round(c, 9) + 0.0).alias(c) for c in t.columns if c not in metrics.KEYS))
+
 
+def _closed(e: str, x: str) -> str:
+    """Directed clustering of every vertex by the edges e."""
+    return f"""d{x} as (select src id, count(*) deg from {e} group by 1), t{x} as (select x.src id, count(*) t from {e} x join {e} z on x.dst = z.src join {e} y on y.src = x.src and y.dst = z.dst group by 1),
+s{x} as (select v.id, case when deg > 1 then coalesce(t, 0) / (deg * (deg - 1)) else 0 end score from v left join d{x} using (id) left join t{x} using (id))"""
 
-@query("clustering_ratios")
+
+@query("clustering_ratios", f"""with {USER}, k as materialized (select src, dst from e where {u(h(1, 'src', 'dst'))} < 0.5), {_closed('e', 'a')}, {_closed('k', 'b')}, z as (select case when a.score <> 0 then b.score / a.score end r, b.score from sa a join sb b using (id))
+select round(min(r), 9) ratio_min, round(max(r), 9) ratio_max, round(avg(r), 9) ratio_mean, round(stddev_pop(r), 9) ratio_std, round(avg(score), 9) mean from z""")
 def _clustering_ratios(spark: SparkSession, d: str) -> DataFrame:
     g = user_graph(spark, d)
-    return metrics.score_ratios(traverse.directed_clustering(g), traverse.directed_clustering(g.with_edges(sparsify.bernoulli(g.edges, 0.5))))
+    t = metrics.score_ratios(traverse.directed_clustering(g), traverse.directed_clustering(g.with_edges(sparsify.bernoulli(g.edges, 0.5))))
+    return t.select(*(F.round(c, 9).alias(c) for c in t.columns))
 
 
 _HIST = f"""k as (select algo, prune_rate, run, id, count(*) deg from (select algo, prune_rate, run, src id from a union all select algo, prune_rate, run, dst from a) group by all),
@@ -373,8 +433,10 @@ def _rank_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 @query("full_sweep")
 def _full_sweep(spark: SparkSession, d: str) -> DataFrame:
-    g = nation_graph(spark, d)
-    return sweep.variant_sizes(sweep.sweep(g, sweep.ALGORITHMS, [0.5], 1, {"k_neighbor": [2, 8], "lspar": [0.3, 0.6], "spanner": [3], "er": [0.5, 1.0]}), g)
+    """Every algorithm that is not one task's work, at three rates and in two runs; resistances are approximate whatever the size."""
+    g = _symmetric_user(spark, d)
+    algos = [a for a in sweep.ALGORITHMS if a != "spanner"]
+    return sweep.variant_sizes(sweep.sweep(g, algos, [0.3, 0.5, 0.7], 2, {"k_neighbor": [2, 8], "lspar": [0.3, 0.6], "er": [0.5, 1.0]}, dense=0), g)
 
 
 @query("mean_of_top", "select k, round(sum(greatest(p, 0)) / 10, 6) top_mean from (select o_custkey % 50 k, o_totalprice p from orders qualify row_number() over (partition by o_custkey % 50 order by o_totalprice desc) <= 10) group by k")
@@ -432,23 +494,70 @@ def _parse_log(spark: SparkSession, d: str) -> DataFrame:
     return t
 
 
-# -- generators -------------------------------------------------------------------------------------------------------------
+# -- edge files -------------------------------------------------------------------------------------------------------------
+
+
+@query("edge_csv", f"with {PART} select src, dst, w from e")
+def _edge_csv(spark: SparkSession, d: str) -> DataFrame:
+    """The part graph written as an edge file and a weight file of several parts, and read again."""
+    path = f"{shared_folder(spark)}/edgeloom-csv-{uuid.uuid4().hex}"
+    files.write_edge_csv(part_graph(spark, d).edges, f"{path}/edges", f"{path}/weights")
+    t = keep(files.read_edge_csv(spark, f"{path}/edges", f"{path}/weights"), "csv")
+    remove_folder(spark, path)
+    return t
+
+
+# -- generators: their sizes come from the tables ----------------------------------------------------------------------------
 
 _W = "cast(1 as double) w"
-query("gen_ring", f"select i src, (i + 1) % 100 dst, {_W} from range(100) t(i) union all select (i + 1) % 100, i, {_W} from range(100) t(i)")(lambda spark, d: generators.ring(spark, 100))
-query("gen_complete", f"select a.i src, b.i dst, {_W} from range(60) a(i) join range(60) b(i) on a.i < b.i")(lambda spark, d: generators.complete(spark, 60))
-query("gen_dumbbell", f"select a.i src, b.i dst, {_W} from range(40) a(i) join range(40) b(i) on a.i < b.i and a.i // 20 = b.i // 20 union all select 19, 20, 1")(lambda spark, d: generators.dumbbell(spark, 40))
-_CLIQUES = " union all ".join(f"select a.i + {f} src, b.i + {f} dst, {_W} from range({n}) a(i) join range({n}) b(i) on a.i < b.i" for f, n in ((0, 10), (10, 20), (30, 15)))
-_BRIDGES = f"select distinct f + cast(floor({u(h('7a', 'i', 'f'))} * s) as bigint) src, f2 + cast(floor({u(h('7b', 'i', 'f'))} * s2) as bigint) dst, {_W} from range(5) t(i), (values (0, 10, 10, 20), (10, 20, 30, 15)) q(f, s, f2, s2)"
-query("gen_communities", f"{_CLIQUES} union all ({_BRIDGES})")(lambda spark, d: generators.communities(spark, [10, 20, 15], 5))
-query("gen_uniform", f"select cast(floor({u(h('7a', 'i'))} * 256) as bigint) src, cast(floor({u(h('7b', 'i'))} * 256) as bigint) dst, {_W} from range(2048) t(i)")(lambda spark, d: generators.uniform_graph(spark, 8, 8))
-_QUAD = [u(h(f"7:{bit}", "i")) for bit in range(8)]
-_MAT = {"src": " + ".join(f"case when {x} >= {0.57 + 0.19!r} then {128 >> k} else 0 end" for k, x in enumerate(_QUAD)), "dst": " + ".join(f"case when {x} >= 0.57 and {x} < {0.57 + 0.19!r} or {x} >= {0.57 + 0.19 + 0.19!r} then {128 >> k} else 0 end" for k, x in enumerate(_QUAD))}
-query("gen_rmat", f"select {', '.join(f'cast((({x}) * 2654435761 + 12345) % 256 as bigint) {c}' for c, x in _MAT.items())}, {_W} from range(2048) t(i)")(lambda spark, d: generators.rmat(spark, 8, 8))
-_WALK = f"select cast(floor({u(h(7, 'i'))} * 64) as bigint) a, cast(floor({u(h(7, 'i + 1'))} * 64) as bigint) b from range(500) t(i)"
-query("gen_random_walk", f"with s as ({_WALK}) select distinct src, dst, {_W} from (select a src, b dst from s where a <> b union all select b, a from s where a <> b)")(lambda spark, d: generators.random_walk(spark, 64, 500))
-query("gen_uniform_numbers", f"select i id, {u(h(7, 'i'))} x from range(1000) t(i)")(lambda spark, d: generators.random_numbers(spark, 1000))
-query("gen_normal_numbers", f"select i id, round(sqrt(-2 * ln(1 - {u(h(7, 'i'))})) * cos(2 * pi() * {u(h(7, 'i'), 9)}), 9) x from range(1000) t(i)")(lambda spark, d: generators.random_numbers(spark, 1000, "normal").withColumn("x", F.round("x", 9)))
+
+
+def _rows(spark: SparkSession, d: str, table: str) -> int:
+    return spark.read.parquet(f"{d}/{table}.parquet").count()
+
+
+def _scale(spark: SparkSession, d: str) -> int:
+    return max(1, _rows(spark, d, "customer").bit_length() - 1)
+
+
+def _count(table: str) -> str:
+    return f"(select count(*) from {table})"
+
+
+def _upto(n: str) -> str:
+    return f"(select unnest(range({n})) i)"
+
+
+_SUP = _count("supplier")
+query("gen_ring", f"select i src, (i + 1) % {_SUP} dst, {_W} from {_upto(_SUP)} union all select (i + 1) % {_SUP}, i, {_W} from {_upto(_SUP)}")(lambda spark, d: generators.ring(spark, _rows(spark, d, "supplier")))
+query("gen_complete", f"select a.i src, b.i dst, {_W} from {_upto(_SUP)} a join {_upto(_SUP)} b on a.i < b.i")(lambda spark, d: generators.complete(spark, _rows(spark, d, "supplier")))
+query("gen_dumbbell", f"select a.i src, b.i dst, {_W} from {_upto(_SUP + ' // 2 * 2')} a join {_upto(_SUP + ' // 2 * 2')} b on a.i < b.i and a.i // ({_SUP} // 2) = b.i // ({_SUP} // 2) union all select {_SUP} // 2 - 1, {_SUP} // 2, 1")(lambda spark, d: generators.dumbbell(spark, _rows(spark, d, "supplier")))
+_CLIQUES = f"""with z as (select n_regionkey r, count(*) s from supplier join nation on n_nationkey = s_nationkey group by 1), q as materialized (select r, s, coalesce(sum(s) over (order by r rows between unbounded preceding and 1 preceding), 0)::bigint f from z),
+m as (select f + a.i x, f, s from (select f, s, unnest(range(s)) i from q) a), n as (select f, s, lead(f) over (order by f) f2, lead(s) over (order by f) s2 from q)
+select a.x src, b.x dst, {_W} from m a join m b on a.f = b.f and a.x < b.x
+union all (select distinct f + cast(floor({u(h('7a', 'i', 'f'))} * s) as bigint), f2 + cast(floor({u(h('7b', 'i', 'f'))} * s2) as bigint), {_W} from range(5) t(i), n where f2 is not null)"""
+
+
+@query("gen_communities", _CLIQUES)
+def _gen_communities(spark: SparkSession, d: str) -> DataFrame:
+    """A clique of each region's suppliers, and bridges."""
+    s, n = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("supplier", "nation"))
+    sizes = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey").count().orderBy("n_regionkey").collect()  # a row a region
+    return generators.communities(spark, [r["count"] for r in sizes], 5)
+
+
+_BITS = f"(select greatest(1, floor(log2({_count('customer')})))::int)"
+_SIZE = "(1::bigint << sc)"
+_FROM = f"from (select sc, unnest(range({_SIZE} * 8)) i from {_BITS} t(sc))"
+query("gen_uniform", f"select cast(floor({u(h('7a', 'i'))} * {_SIZE}) as bigint) src, cast(floor({u(h('7b', 'i'))} * {_SIZE}) as bigint) dst, {_W} {_FROM}")(lambda spark, d: generators.uniform_graph(spark, _scale(spark, d), 8))
+_QUAD = [u(h(f"7:{bit}", "i")) for bit in range(14)]
+_BIT_OF = "case when {k} < sc and ({cond}) then 1::bigint << (sc - 1 - {k}) else 0 end"
+_MAT = {"src": " + ".join(_BIT_OF.format(k=k, cond=f"{x} >= {0.57 + 0.19!r}") for k, x in enumerate(_QUAD)), "dst": " + ".join(_BIT_OF.format(k=k, cond=f"{x} >= 0.57 and {x} < {0.57 + 0.19!r} or {x} >= {0.57 + 0.19 + 0.19!r}") for k, x in enumerate(_QUAD))}
+query("gen_rmat", f"select {', '.join(f'cast((({x}) * 2654435761 + 12345) % {_SIZE} as bigint) {c}' for c, x in _MAT.items())}, {_W} {_FROM}")(lambda spark, d: generators.rmat(spark, _scale(spark, d), 8))
+_WALK = f"select cast(floor({u(h(7, 'i'))} * {_SUP}) as bigint) a, cast(floor({u(h(7, 'i + 1'))} * {_SUP}) as bigint) b from {_upto(_count('customer'))}"
+query("gen_random_walk", f"with s as ({_WALK}) select distinct src, dst, {_W} from (select a src, b dst from s where a <> b union all select b, a from s where a <> b)")(lambda spark, d: generators.random_walk(spark, _rows(spark, d, "supplier"), _rows(spark, d, "customer")))
+query("gen_uniform_numbers", f"select i id, {u(h(7, 'i'))} x from {_upto(_count('customer'))}")(lambda spark, d: generators.random_numbers(spark, _rows(spark, d, "customer")))
+query("gen_normal_numbers", f"select i id, round(sqrt(-2 * ln(1 - {u(h(7, 'i'))})) * cos(2 * pi() * {u(h(7, 'i'), 9)}), 9) x from {_upto(_count('customer'))}")(lambda spark, d: generators.random_numbers(spark, _rows(spark, d, "customer"), "normal").withColumn("x", F.round("x", 9)))
 query("top_pairs", f"with {PART} select src, dst, w from e order by w desc, src, dst limit 20")(lambda spark, d: part_graph(spark, d).edges.orderBy(F.desc("w"), "src", "dst").limit(20))
 query("pick_source", f"with {USER} select src id from e group by 1 order by md5(concat_ws(':', '3', src)), 1 limit 1")(lambda spark, d: user_graph(spark, d).edges.select(F.col("src").alias("id")).distinct().orderBy(digest(3, "id"), "id").limit(1))
 query("empty_graph", f"with {USER} select id src, id dst, {_W} from v")(lambda spark, d: user_graph(spark, d).vertices.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w")))
