@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.functions.rng import digest, normal, sign, uniform
-from edgeloom.graph import Graph, keep, release
+from edgeloom.graph import Graph, adjacency, keep, release, tidied
 
 #: Up to so many vertices the pseudo-inverse is taken densely, in one task (72 MB).
 DENSE = 3000
@@ -58,6 +58,7 @@ def form_similarity(variants: DataFrame, original: Graph, keys: list[str], vecto
     return r.groupBy(*keys).agg(F.min("r").alias("ratio_min"), F.max("r").alias("ratio_max"), F.avg("r").alias("ratio_mean"), F.stddev_pop("r").alias("ratio_std"))
 
 
+@tidied
 def top_eigenvalues(g: Graph, k: int = 4, rounds: int = 30, seed: int = 7) -> DataFrame:
     """(nth, value): the largest eigenvalues of the Laplacian, by orthogonal iteration on k hashed columns: products are joins, the k by
     k matrices of inner products reach the driver."""
@@ -103,6 +104,7 @@ def _propagate(x: DataFrame, e: DataFrame, value: Column) -> DataFrame:
     return e.join(x, e["src"] == x["id"]).groupBy(F.col("dst").alias("to")).agg(F.sum(value).alias("got"))
 
 
+@tidied
 def pagerank(g: Graph, rounds: int = 20, damping: float = 0.85, tolerance: float | None = None) -> DataFrame:
     """(id, score): x' = d * sum over in-edges of w / outw * x + (1 - d) / n * sum(x). Vertices without out-edges pass nothing on.
 
@@ -111,7 +113,7 @@ def pagerank(g: Graph, rounds: int = 20, damping: float = 0.85, tolerance: float
     n = g.vertices.count()
     e = g.both()
     out = e.groupBy(F.col("src").alias("s")).agg(F.sum("w").alias("outw"))
-    e = keep(e.join(out, e["src"] == out["s"]).select("src", "dst", (F.col("w") / F.col("outw")).alias("p")), "transition")
+    e = adjacency(e.join(out, e["src"] == out["s"]).select("src", "dst", (F.col("w") / F.col("outw")).alias("p")), name="transition")
     x = keep(g.vertices.select("id", F.lit(1.0 / max(n, 1)).alias("score")), "rank")
     for _ in range(rounds):
         total = x.agg(F.sum("score")).first()[0]
@@ -134,9 +136,10 @@ def eigenvector(g: Graph, rounds: int = 20) -> DataFrame:
     return _power(g, rounds, 1.0, 0.0)
 
 
+@tidied
 def _power(g: Graph, rounds: int, alpha: float, beta: float) -> DataFrame:
     n = g.vertices.count()
-    e = keep(g.both(), "edges")
+    e = adjacency(g.both(), name="edges")
     x = keep(g.vertices.select("id", F.lit(1.0 / math.sqrt(max(n, 1))).alias("score")), "power")
     for _ in range(rounds):
         y = _propagate(x, e, F.col("w") * F.col("score"))
@@ -147,10 +150,11 @@ def _power(g: Graph, rounds: int, alpha: float, beta: float) -> DataFrame:
     return x
 
 
+@tidied
 def hits(g: Graph, rounds: int = 20) -> DataFrame:
     """(id, hub, score): score is the authority; both of unit norm after each round."""
-    e = keep(g.both(), "edges")
-    back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
+    e = adjacency(g.both().select("src", "dst", "w"), name="edges")
+    back = adjacency(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"), name="behind") if g.directed else e
     n = g.vertices.count()
     hub = keep(g.vertices.select("id", F.lit(1.0 / math.sqrt(max(n, 1))).alias("score")), "hub")
     auth = hub
@@ -195,6 +199,7 @@ def resistance_exact(g: Graph) -> DataFrame:
     return g.edges.select("src", "dst", "w").groupBy(F.lit("all").alias("one")).applyInPandas(run, "src long, dst long, w double, r double")
 
 
+@tidied
 def embedding(g: Graph, k: int | None = None, tolerance: float = 1e-2, rounds: int = 300, seed: int = 7) -> DataFrame:
     """(id, col, z): L+ times k random sign combinations of the weighted incidence rows (k = round(4 ln n) by default).
 
