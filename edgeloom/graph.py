@@ -74,7 +74,14 @@ def keep(df: DataFrame, name: str = "step") -> DataFrame:
     """
     path = _folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    t = df.sparkSession.read.schema(df.schema).parquet(path)
+    t.__dict__["_edgeloom_kept"] = True
+    return t
+
+
+def based(g: Graph) -> Graph:
+    """g with its edges kept, unless they are a kept table: for plans that read them more than once."""
+    return g if g.edges.__dict__.get("_edgeloom_kept") else g.with_edges(keep(g.edges.select("src", "dst", "w"), "base"))
 
 
 def keep_counted(df: DataFrame, name: str = "step", **sums: Column) -> tuple[DataFrame, dict[str, Any]]:

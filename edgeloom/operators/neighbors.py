@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.graph import Graph
+from edgeloom.graph import Graph, based
 
 
 def triangles(g: Graph) -> DataFrame:
@@ -13,6 +13,7 @@ def triangles(g: Graph) -> DataFrame:
 
     Edges point from lower to higher (degree, id), so no vertex has more than about sqrt(2m) of them and hubs do not square.
     """
+    g = based(g)
     d = g.degrees()
     e = g.edges.select("src", "dst").join(d.select(F.col("id").alias("src"), F.col("deg").alias("ds")), "src").join(d.select(F.col("id").alias("dst"), F.col("deg").alias("dd")), "dst")
     low = (F.col("ds") < F.col("dd")) | ((F.col("ds") == F.col("dd")) & (F.col("src") < F.col("dst")))
@@ -24,6 +25,7 @@ def triangles(g: Graph) -> DataFrame:
 
 def common_neighbors(g: Graph) -> DataFrame:
     """edges with du, dv (degrees of both ends) and common (shared neighbours)."""
+    g = based(g)
     pair = lambda x, y: F.struct(F.least(x, y).alias("src"), F.greatest(x, y).alias("dst"))
     t = triangles(g).select(F.explode(F.array(pair("a", "b"), pair("a", "c"), pair("b", "c"))).alias("e")).groupBy("e.src", "e.dst").agg(F.count(F.lit(1)).alias("common"))
     d = g.degrees()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.functions.rng import digest
-from edgeloom.graph import Graph, Log, adjacency, keep, keep_counted, ranked, release, tidied
+from edgeloom.graph import Graph, Log, adjacency, based, keep, keep_counted, ranked, release, tidied
 from edgeloom.operators import distances as far
 from edgeloom.operators.neighbors import triangles
 
@@ -202,6 +202,7 @@ def k_path(g: Graph, walks: int = 1000, length: int = 5, seed: int = 7) -> DataF
 
 def local_clustering(g: Graph) -> DataFrame:
     """(id, score): closed share of each vertex's pairs of neighbours; 0 below two neighbours."""
+    g = based(g)
     t = triangles(g).select(F.explode(F.array("a", "b", "c")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("t"))
     d = g.degrees().join(t, "id", "left")
     return d.select("id", F.when(F.col("deg") > 1, 2 * F.coalesce("t", F.lit(0)) / (F.col("deg") * (F.col("deg") - 1))).otherwise(0.0).alias("score"))
@@ -230,6 +231,7 @@ def directed_clustering(g: Graph) -> DataFrame:
 
 def global_clustering(g: Graph) -> DataFrame:
     """One row: triangles, triples, transitivity."""
+    g = based(g)
     t = triangles(g).agg(F.count(F.lit(1)).alias("triangles"))
     w = g.degrees().agg(F.coalesce(F.sum(F.expr("deg * (deg - 1) div 2")), F.lit(0)).alias("triples"))
     return t.join(w).select("triangles", "triples", F.when(F.col("triples") > 0, 3 * F.col("triangles") / F.col("triples")).otherwise(0.0).alias("transitivity"))  # one row each

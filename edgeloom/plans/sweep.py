@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.graph import Graph, canonical, keep
+from edgeloom.graph import Graph, based, canonical, keep
 from edgeloom.operators import flow, linalg, sparsify, traverse
 from edgeloom.plans.summary import union_rows, with_prune_rate
 
@@ -36,7 +36,7 @@ def sweep(g: Graph, algos: list[str], rates: list[float] | float = RATES, runs:
     rates, grids = rates if isinstance(rates, list) else [rates], GRIDS | (grids or {})
     if unknown := set(algos) - set(ALGORITHMS):
         raise ValueError(f"unknown algorithms {sorted(unknown)}; known: {ALGORITHMS}")
-    g = g.with_edges(keep(g.edges.select("src", "dst", "w"), "original"))
+    g = based(g)
     plain = g if not g.directed else Graph(g.vertices, canonical(g.edges))
     m, parts = g.edges.count(), []
     one: dict[str, Callable] = {"k_neighbor": lambda k, run: sparsify.k_neighbor(g, k, run), "lspar": lambda c, run: sparsify.l_spar(plain, c), "spanner": lambda t, run: flow.greedy_spanner(plain, t)}

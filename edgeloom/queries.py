@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from edgeloom.functions import stats
 from edgeloom.functions.rng import digest
-from edgeloom.graph import Graph, canonical, keep, release, remove_folder, shared_folder
+from edgeloom.graph import Graph, based, canonical, keep, release, remove_folder, shared_folder
 from edgeloom.operators import between, distances, flow, generators, linalg, metrics, neighbors, normalize, sparsify, traverse
-from edgeloom.plans import summary, sweep
+from edgeloom.plans import profile, summary, sweep
 from edgeloom.sources import files
 from edgeloom.sources.views import nation_graph, part_graph, part_supplier_graph, supplier_graph, user_graph
 
@@ -379,10 +379,11 @@ g as (select q.*, v.id, coalesce(k.deg, 0) deg from (select distinct algo, prune
 l as (select *, min(deg) over w lo, max(deg) over w hi, count(*) over w n from g window w as (partition by algo, prune_rate, run)),
 b as (select algo, prune_rate, run, case when hi = lo then 50 else least(floor((deg - lo) * 100 / (hi - lo)), 99) end bin, count(*) / max(n) p from l group by all)"""
 _DIST = f"with {PART}, {_V}, r as ({_RANDOM.split(_V)[1].strip()}), a as (select algo, prune_rate, run, src, dst from r union all select 'original', 0.0, 0, src, dst from e), {_HIST}, s as (select b.algo, b.prune_rate, b.run, sum(sqrt(b.p * coalesce(o.p, 0))) s from b left join b o on o.bin = b.bin and o.algo = 'original' group by all)"
-_edges("degree_distribution_distance", part_graph, lambda g: metrics.degree_distance(sparsify.random_edges(g, RATES), g).withColumn("distance", F.round("distance", 9) + 0.0), f"{_DIST} select algo, cast(prune_rate as double) prune_rate, run, round(case when s <= 0 then 'Infinity'::double else -ln(s) end, 9) + 0.0 distance from s")
+_edges("degree_distribution_distance", lambda spark, d: based(part_graph(spark, d)), lambda g: metrics.degree_distance(sparsify.random_edges(g, RATES), g).withColumn("distance", F.round("distance", 9) + 0.0), f"{_DIST} select algo, cast(prune_rate as double) prune_rate, run, round(case when s <= 0 then 'Infinity'::double else -ln(s) end, 9) + 0.0 distance from s")
 
 
 def _agreement(g: Graph) -> DataFrame:
+    g = based(g)
     other = g.with_edges(sparsify.bernoulli(g.edges, 0.5))
     a = stats.top_n_agreement(metrics.degree_centrality(g), metrics.degree_centrality(other))
     return a.select("precision", F.round("correlation", 9).alias("correlation"))
@@ -404,7 +405,7 @@ def _sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _summary(spark: SparkSession, d: str) -> DataFrame:
-    g = user_graph(spark, d)
+    g = based(user_graph(spark, d))
     v = sweep.sweep(g, ["random"], runs=3)
     t = metrics.degree_distance(v, g).where("algo <> 'original'")
     s = summary.summarize(t, "Bhattacharyya_distance", "distance")
@@ -425,6 +426,18 @@ def _figure(spark: SparkSession, d: str) -> DataFrame:
     return summary.figure_frame(_summary(spark, d), ["original"], names={"random": "Random"})
 
 
+_DONE = "select {} name, 'done' status, count(*) as rows from {}"
+_PROFILED = f"with {PART}, {BOTH} " + " union all ".join(_DONE.format(f"'{a}'", b) for a, b in (("bernoulli", f"e where {u(h(1, 'src', 'dst'))} < 0.6"), ("both_ways", "n"), ("cap", f"(select *, row_number() over (partition by src order by {h(6, 'src', 'dst')}, src, dst) rk from e) where rk <= 20")))
+
+
+@query("profiled_pruning", _PROFILED)
+def _profiled(spark: SparkSession, d: str) -> DataFrame:
+    """Prunings side by side: what each came to. How long they took is in the record, too, but no SQL can say it."""
+    g = based(part_graph(spark, d))
+    tasks = {"bernoulli": lambda: sparsify.bernoulli(g.edges, 0.4), "both_ways": lambda: normalize.to_directed(g.edges), "cap": lambda: sparsify.degree_cap(g, 20, "out")}
+    return profile.profiled(spark, tasks, limit=3600).select("name", "status", "rows")
+
+
 @query("rank_sweep", f"with {PART}, {_V}, m as (select count(*) m from e), c as (select algo, prune_rate asked, 0 run, cast(floor(ratio * m + 0.5) as bigint) edges from p, m, (values ('random'), ('gspar'), ('local_degree')) t(algo) union all select 'original', 0, 0, m from m) select algo, cast(asked as double) asked, run, edges, round_even(1 - edges / (select m from m), 2) prune_rate from c")
 def _rank_sweep(spark: SparkSession, d: str) -> DataFrame:
     g = part_graph(spark, d)
